@@ -75,7 +75,7 @@ def rare_levels(orig: DataFrame, new: DataFrame, keys: Sequence[str], targets: S
                 threshold: float = 5.0) -> DataFrame:
     """Percent of new rows that hold a rare target level (share below the threshold, among the new
     rows whose key occurs in the original)."""
-    n_new = new.agg(F.count("*").alias("n_all"))
+    n_new = new.agg(F.count("*")).scalar()
     per_key = long_values(new, targets, keys, "string", "target", "level").groupBy("target", *keys, "level").agg(
         F.count("*").alias("n"))
     per_level = (null_safe_join(per_key, orig.select(*keys).distinct(), keys, "left_semi")
@@ -84,5 +84,4 @@ def rare_levels(orig: DataFrame, new: DataFrame, keys: Sequence[str], targets: S
     rare = ratio(100 * F.col("n"), F.col("n_target")) < threshold
     return (per_level.join(totals, "target")
             .groupBy("target").agg(F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("n_rare"))
-            .crossJoin(n_new)
-            .select("target", "n_rare", ratio(100 * F.col("n_rare"), F.col("n_all")).alias("p_outliers")))
+            .select("target", "n_rare", ratio(100 * F.col("n_rare"), n_new).alias("p_outliers")))

@@ -16,7 +16,7 @@ BASE = ("region nation customer supplier part orders lineitem events documents e
 def session(cpus="8"):
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("mirrorcheck")
              .config("spark.sql.shuffle.partitions", cpus)
-             .config("spark.ui.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "16g")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.extraJavaOptions", "-Duser.timezone=UTC")
