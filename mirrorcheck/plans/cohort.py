@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.session import stable
 from ..operators import cohort, concepts, episodes, facts
 from .registry import query
 
@@ -129,6 +130,11 @@ def cohort_of(t):
     return cohort.cohort_persons(t.person, t.visit_occurrence, t.manifest, AS_OF)
 
 
+def stored_cohort(t):
+    """The cohort is read by every fact table, so it is computed and stored once."""
+    return stable(cohort_of(t))
+
+
 def custom_sets(t):
     return t.spark.createDataFrame(CUSTOM, "concept_id long, indicator_prefix string")
 
@@ -263,7 +269,7 @@ def _(t):
 
 @query("b16_patient_deaths", f"WITH {COHORT}, {DEATHS} SELECT * FROM deaths")
 def _(t):
-    return deaths_of(t, cohort_of(t))
+    return deaths_of(t, stored_cohort(t))
 
 
 @query("b17_macrovisits", f"""WITH {STAYS} SELECT s.person_id, visit_occurrence_id, CAST(s.person_id AS STRING) || '_' || CAST(CAST(s.n AS BIGINT) AS STRING) AS macrovisit_id,
@@ -280,7 +286,7 @@ def _(t):
 
 @query("b19_fact_days", f"WITH {FACTS} SELECT * FROM fact_days")
 def _(t):
-    people = cohort_of(t)
+    people = stored_cohort(t)
     sources, deaths = fact_days_of(t, people)
     return facts.fact_days(t.visit_occurrence, sources, deaths, FLOOR)
 
@@ -288,7 +294,7 @@ def _(t):
 @query("b20_fact_day_table", f"""WITH {FACTS} SELECT f.*, combined_macrovisit_id, combined_macrovisit_start_date, combined_macrovisit_end_date
 FROM fact_days f LEFT JOIN episodes e ON f.person_id = e.person_id AND f.date BETWEEN combined_macrovisit_start_date AND combined_macrovisit_end_date""")
 def _(t):
-    return fact_table_of(t, cohort_of(t))
+    return fact_table_of(t, stored_cohort(t))
 
 
 _IND = [c for c in FACT_COLS if c != "patient_death_at_visit"]
@@ -302,6 +308,6 @@ SELECT c.* REPLACE (coalesce(total_visits, 0) AS total_visits, coalesce(observat
   coalesce(d.patient_death, 0) AS patient_death_indicator
 FROM cohort c LEFT JOIN s ON c.person_id = s.person_id LEFT JOIN deaths d ON c.person_id = d.person_id""")
 def _(t):
-    people = cohort_of(t)
+    people = stored_cohort(t)
     sources, deaths = fact_days_of(t, people)
     return facts.person_summary(facts.fact_days(t.visit_occurrence, sources, deaths, FLOOR), people, deaths, diagnosis="FLU")

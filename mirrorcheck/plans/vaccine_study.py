@@ -6,7 +6,7 @@ from ..functions.session import stable
 from ..functions.stats import normal_quantile
 from ..operators import episodes, facts
 from ..operators import vaccine_study as vs
-from .cohort import FACTS, FLOOR, cohort_of, fact_days_of
+from .cohort import FACTS, FLOOR, cohort_of, fact_days_of, stored_cohort
 from .registry import query
 
 Z = normal_quantile(0.975)
@@ -42,7 +42,7 @@ def upto(n, tail):
 
 def inputs(t):
     """Fact days (stored once, several steps read them), cohort and episodes."""
-    people = cohort_of(t)
+    people = stored_cohort(t)
     sources, deaths = fact_days_of(t, people)
     days = stable(facts.fact_days(t.visit_occurrence, sources, deaths, FLOOR))
     return days, people, episodes.combined_episodes(t.visit_occurrence)

@@ -124,17 +124,17 @@ VIEWS["concept"] = """
 SELECT CAST(1000 + p_partkey % 200 AS INT) AS concept_id, min(p_name) AS concept_name, 'Condition' AS domain_id FROM part GROUP BY CAST(1000 + p_partkey % 200 AS INT)
 UNION ALL SELECT CAST(2000 + s_suppkey % 100 AS INT), min(s_name), 'Drug' FROM supplier GROUP BY CAST(2000 + s_suppkey % 100 AS INT)
 UNION ALL SELECT CAST(3000 + p_partkey % 40 AS INT), min(p_type), 'Procedure' FROM part GROUP BY CAST(3000 + p_partkey % 40 AS INT)
-UNION ALL SELECT CAST(5000 + l_linenumber AS INT), 'device', 'Device' FROM lineitem GROUP BY CAST(5000 + l_linenumber AS INT)
-UNION ALL SELECT CAST(4000 + l_linenumber AS INT), CASE WHEN l_linenumber < 4 THEN 'vital sign' ELSE 'laboratory test' END, 'Measurement' FROM lineitem GROUP BY CAST(4000 + l_linenumber AS INT), CASE WHEN l_linenumber < 4 THEN 'vital sign' ELSE 'laboratory test' END"""
+UNION ALL SELECT CAST(5000 + n_nationkey AS INT), 'device', 'Device' FROM nation
+UNION ALL SELECT CAST(4000 + n_nationkey AS INT), CASE WHEN n_nationkey < 4 THEN 'vital sign' ELSE 'laboratory test' END, 'Measurement' FROM nation"""
 
 # Concept sets: three diagnosis sets, one device set, the measurement sets and the two discharge sets.
 VIEWS["concept_set_members"] = """
 SELECT CASE concept_id % 10 WHEN 0 THEN 'set A' WHEN 1 THEN 'set B' WHEN 2 THEN 'set C' ELSE 'not on the sheet' END AS concept_set_name,
   (concept_id % 7 <> 0) AS is_most_recent_version, concept_id
 FROM concept WHERE domain_id <> 'Measurement'
-UNION ALL SELECT CASE l_linenumber WHEN 1 THEN 'bmi' WHEN 2 THEN 'height' WHEN 3 THEN 'weight' WHEN 4 THEN 'influenza test'
-    WHEN 5 THEN 'virus test' WHEN 6 THEN 'antibody test' ELSE 'other test' END, true, CAST(4000 + l_linenumber AS INT)
-  FROM lineitem GROUP BY l_linenumber
+UNION ALL SELECT CASE n_nationkey WHEN 1 THEN 'bmi' WHEN 2 THEN 'height' WHEN 3 THEN 'weight' WHEN 4 THEN 'influenza test'
+    WHEN 5 THEN 'virus test' WHEN 6 THEN 'antibody test' ELSE 'other test' END, true, CAST(4000 + n_nationkey AS INT)
+  FROM nation
 UNION ALL SELECT 'result positive', true, 45884084
 UNION ALL SELECT 'result negative', true, 45878583
 UNION ALL SELECT 'deceased', true, 4216643
@@ -145,6 +145,16 @@ SELECT 'set A' AS concept_set_name, 'FLU' AS indicator_prefix, 'condition,observ
 UNION ALL SELECT 'set B', 'ARI', 'condition,device'
 UNION ALL SELECT 'set C', 'VACC', 'condition,drug,procedure'"""
 
+VIEWS["flag_sheet"] = """
+SELECT concept_id,
+  CASE domain_id WHEN 'Condition' THEN CASE concept_id % 10 WHEN 0 THEN 'COPD' WHEN 1 THEN 'DIABETES' ELSE 'OTHER_CO' END
+    WHEN 'Drug' THEN CASE WHEN concept_id % 10 = 3 THEN 'STATIN' ELSE 'OTHER_DE' END
+    WHEN 'Procedure' THEN CASE WHEN concept_id % 20 = 4 THEN 'SURGERY' ELSE 'OTHER_PO' END
+    ELSE 'NONE' END AS indicator_suffix,
+  CASE domain_id WHEN 'Condition' THEN 'CO' WHEN 'Drug' THEN 'DE' WHEN 'Procedure' THEN 'PO' ELSE '' END AS table_code
+FROM concept
+UNION ALL SELECT 9201, 'INPATIENT', 'VO' UNION ALL SELECT 8717, 'INPATIENT', 'VO'"""
+
 # The order lines as a wide table of numbers and categories, and its altered twin.
 VIEWS["lines"] = """
 SELECT l_orderkey, l_linenumber, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
@@ -245,10 +255,13 @@ class ClinicalTables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in VIEWS:
-            return self.sql(f"SELECT * FROM {name}")
-        raise AttributeError(name)
+            df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        elif name in VIEWS:
+            df = self.sql(f"SELECT * FROM {name}")
+        else:
+            raise AttributeError(name)
+        self.__dict__[name] = df
+        return df
 
     def sql(self, text: str) -> DataFrame:
         full = with_views(text)
