@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import critical_value
 from .episodes import spread_days
+from .models import logistic_fit
 
 START, END, EPISODE = "combined_macrovisit_start_date", "combined_macrovisit_end_date", "combined_macrovisit_id"
 
@@ -145,33 +146,20 @@ def unadjusted_estimates(analysis: DataFrame, level: float = 0.95) -> DataFrame:
 
 
 def _cells(analysis: DataFrame, covariates: Sequence[str]) -> DataFrame:
-    """Equal rows of the model collapse to one weighted row before any fitting pass."""
-    cols = ["vaccinated", *covariates, "positive_influenza_test"]
-    cond = F.lit(True)
+    """Rows that are equal in the predictors collapse to one with the share of cases."""
+    cols = ["vaccinated", *covariates]
+    rows = analysis.where(F.col("positive_influenza_test").isNotNull())
     for c in cols:
-        cond = cond & F.col(c).isNotNull()
-    return analysis.where(cond).groupBy(*cols).agg(F.count("*").cast("double").alias("__w"))
-
-
-def fit_logistic(cells: DataFrame, covariates: Sequence[str], exposure: str = "vaccinated",
-                 outcome: str = "positive_influenza_test", fixed: float | None = None):
-    """Weighted logistic regression by Spark; with ``fixed`` the exposure effect is held at that value."""
-    from pyspark.ml.feature import RFormula
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    terms = ([] if fixed is not None else [exposure]) + list(covariates)
-    data = cells
-    if fixed is not None:
-        data = data.withColumn("__off", F.col(exposure).cast("double") * F.lit(float(fixed)))
-        if not terms:
-            data = data.withColumn("__zero", F.lit(0.0))
-            terms = ["__zero"]
-    design = RFormula(formula=f"{outcome} ~ {' + '.join(terms)}", featuresCol="__x", labelCol="__y").fit(data).transform(data)
-    glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="__x", labelCol="__y",
-                                      weightCol="__w", maxIter=50, tol=1e-10)
-    if fixed is not None:
-        glm = glm.setOffsetCol("__off")
-    return glm.fit(design)
+        rows = rows.where(F.col(c).isNotNull())
+    return rows.groupBy(*cols).agg(F.count("*").cast("double").alias("__w"), F.avg("positive_influenza_test").alias("share_of_ones"))
+
+
+def fit_logistic(cells: DataFrame, covariates: Sequence[str], exposure: str = "vaccinated", fixed: float | None = None):
+    """Logistic regression on collapsed rows; with ``fixed`` the exposure effect is held at that value."""
+    if fixed is None:
+        return logistic_fit(cells, [exposure, *covariates], "share_of_ones", "__w")[0]
+    held = cells.withColumn("__off", F.col(exposure).cast("double") * F.lit(float(fixed)))
+    return logistic_fit(held, covariates, "share_of_ones", "__w", "__off")[0]
 
 
 def _profile_limit(cells, covariates, beta, se, deviance, cut, sign, rounds=25):
