@@ -17,9 +17,14 @@ def require_columns(df: DataFrame, names: Sequence[str], side: str = "data") ->
         raise ValueError(f"columns not in {side}: {', '.join(absent)}")
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys where null equals null; the keys appear once in the result."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   small: bool = False) -> DataFrame:
+    """Join on equal keys where null equals null; the keys appear once in the result.
+
+    ``small`` sends the right side to every task; callers set it after checking its size.
+    """
     right = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    right = F.broadcast(right) if small else right
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     out = left.join(right, cond, how)
     if how in ("left_semi", "left_anti"):

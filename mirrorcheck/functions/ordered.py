@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from .columns import null_safe_join, ratio
 from .session import stable
 
-# Up to this many distinct (group, value) rows a plain window per group is used.
-SINGLE_WINDOW_ROWS = 500_000
-RANGES = 256
+# A plain window per group is used while the largest group has at most this many distinct values;
+# beyond it groups are cut into ranges of about a quarter of this number.
+SINGLE_WINDOW_ROWS = 2_000_000
+MAX_RANGES = 4096
+# Per-group frames are sent to every task only up to this many numbers (a few megabytes).
+BROADCAST_CELLS = 500_000
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, sums: dict) -> DataFrame:
@@ -27,32 +30,42 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, sums: dict) -> Da
     ))
 
 
+def _range_number(value, step: int):
+    """How many bounds lie below the value: look at every step-th bound, then at the few after it."""
+    done = F.size(F.filter("__coarse", lambda b: b < value)) * step
+    return done + F.size(F.filter(F.slice("__bounds", done + 1, F.lit(step)), lambda b: b < value))
+
+
 def running_sums(counts: DataFrame, by: Sequence[str], value: str, sums: Sequence[str],
                  single_window_rows: int | None = None, ranges: int | None = None) -> DataFrame:
-    """Add ``cum_<s>``, the sum over all values up to and including this one, per group.
+    """Add ``cum_<s>``, the sum over all values up to and including this one, and ``total_<s>`` per group.
 
     ``counts`` must hold one row per (group, value) and give the same rows each time it is read.
     """
     limit = SINGLE_WINDOW_ROWS if single_window_rows is None else single_window_rows
-    if counts.count() <= limit:
-        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
-    n = RANGES if ranges is None else ranges
+    whole = stable(counts.groupBy(*by).agg(F.count("*").alias("__rows"), *[F.sum(s).alias(f"total_{s}") for s in sums]))
+    size = whole.agg(F.count("*").alias("groups"), F.coalesce(F.max("__rows"), F.lit(0)).alias("rows")).first()
+    if size["rows"] <= limit:
+        group = Window.partitionBy(*by)
+        w = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums} | {f"total_{s}": F.sum(s).over(group) for s in sums})
+    n = ranges or max(4, min(MAX_RANGES, 4 * size["rows"] // max(limit, 1)))
+    small = size["groups"] * n <= BROADCAST_CELLS
     cuts = F.array(*[F.lit(i / n) for i in range(1, n)])
+    step = max(1, int(n ** 0.5))
     bounds = stable(counts.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(20 * n))).alias("__bounds")
-    ))
-    ranged = null_safe_join(counts, bounds, by).withColumn(
-        "__range", F.size(F.filter("__bounds", lambda b: b < F.col(value).cast("double")))
-    ).drop("__bounds")
+    )).withColumn("__coarse", F.filter("__bounds", lambda b, i: i % step == step - 1))
+    ranged = null_safe_join(counts, bounds, by, small=small).withColumn(
+        "__range", _range_number(F.col(value).cast("double"), step)).drop("__bounds", "__coarse")
     totals = ranged.groupBy(*by, "__range").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__range", *[
+    offsets = null_safe_join(totals.select(*by, "__range", *[
         F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums
-    ])
+    ]), whole.drop("__rows"), by, small=small)
     inside = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
-    return (null_safe_join(local, offsets, [*by, "__range"])
+    return (null_safe_join(local, offsets, [*by, "__range"], small=small)
             .withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"__o_{s}") for s in sums})
             .drop("__range", *[f"__o_{s}" for s in sums]))
 
@@ -73,14 +86,13 @@ def quantile_columns(probs: dict, value: str, cum: str, n: str) -> list:
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict, **kw) -> DataFrame:
     """Per group: n, min, mean, max and the named quantiles of the non-null values."""
     counts = value_counts(df.withColumn(value, F.col(value).cast("double")), by, value, {"n": F.count("*")})
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("__n"))
-    run = null_safe_join(running_sums(counts, by, value, ["n"], **kw), totals, by)
+    run = running_sums(counts, by, value, ["n"], **kw)
     return run.groupBy(*by).agg(
         F.sum("n").alias("n"),
         F.min(value).alias("min"),
         ratio(F.sum(F.col(value) * F.col("n")), F.sum("n")).alias("mean"),
         F.max(value).alias("max"),
-        *quantile_columns(probs, value, "cum_n", "__n"),
+        *quantile_columns(probs, value, "cum_n", "total_n"),
     )
 
 

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
     count_new, count_orig, long_values, null_safe_join, ratio, require_columns, stack_sides, union_all,
@@ -20,7 +21,7 @@ PERCENTILES = {"q01": 0.01, "q05": 0.05, "q10": 0.10, "q25": 0.25, "median": 0.5
 SUMMARY = ["min", *PERCENTILES, "mean", "max", "sd"]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(stat: pd.Series, df: pd.Series) -> pd.Series:
     """Upper chi-square tail for the few rows of a result table."""
     return pd.Series([
@@ -192,11 +193,9 @@ def paired_distances(df: DataFrame, variables: Sequence[str], suffixes: Sequence
     counts = value_counts(rows, by, "dist", {
         "n": F.count("*"), "w": F.coalesce(F.sum(F.when(positive, F.col("__w"))), F.lit(0.0))})
     run = running_sums(counts, by, "dist", ["n", "w"])
-    totals = counts.groupBy(*by).agg(F.sum("n").alias("__n"), F.sum("w").alias("__wt"))
-    run = run.join(totals, by)
     pick = []
     for name, p in QUARTILES.items():
-        h = (F.col("__n") - 1) * F.lit(p)
+        h = (F.col("total_n") - 1) * F.lit(p)
         lo = F.min(F.when(F.col("cum_n") > F.floor(h), F.col("dist")))
         hi = F.min(F.when(F.col("cum_n") > F.ceil(h), F.col("dist")))
         pick.append((lo + (hi - lo) * F.max(h - F.floor(h))).alias(name))
@@ -206,7 +205,7 @@ def paired_distances(df: DataFrame, variables: Sequence[str], suffixes: Sequence
                  F.max(F.when(heavy, F.col("dist"))).alias("w_max"),
                  ratio(F.sum(F.col("dist") * F.col("w")), F.sum("w")).alias("w_mean")]
         for name, p in QUARTILES.items():
-            share = F.col("cum_w") / F.col("__wt")
+            share = F.try_divide(F.col("cum_w"), F.col("total_w"))
             below = F.max(F.when(heavy & (share <= p), F.struct(F.col("dist").alias("x"), share.alias("s"))))
             above = F.min(F.when(heavy & (share >= p), F.struct(F.col("dist").alias("x"), share.alias("s"))))
             gap = above["s"] - below["s"]
@@ -226,10 +225,9 @@ def ks_distance(orig: DataFrame, new: DataFrame, variables: Sequence[str], p_val
     rows = long_values(stack_sides(orig, new, variables), variables, ["is_new"], "double")
     counts = value_counts(rows, ["variable"], "value", {"c_orig": count_orig(), "c_new": count_new()})
     run = running_sums(counts, ["variable"], "value", ["c_orig", "c_new"])
-    totals = counts.groupBy("variable").agg(F.sum("c_orig").alias("n_orig"), F.sum("c_new").alias("n_new"))
-    gap = F.abs(ratio(F.col("cum_new"), F.col("n_new")) - ratio(F.col("cum_orig"), F.col("n_orig")))
-    out = (run.withColumnsRenamed({"cum_c_orig": "cum_orig", "cum_c_new": "cum_new"}).join(totals, "variable")
-           .groupBy("variable", "n_orig", "n_new").agg(F.max(gap).alias("ks_distance")))
+    run = run.withColumnsRenamed({"total_c_orig": "n_orig", "total_c_new": "n_new"})
+    gap = F.abs(ratio(F.col("cum_c_new"), F.col("n_new")) - ratio(F.col("cum_c_orig"), F.col("n_orig")))
+    out = run.groupBy("variable", "n_orig", "n_new").agg(F.max(gap).alias("ks_distance"))
     if p_values:
         a, b = F.col("n_orig").cast("double"), F.col("n_new").cast("double")
         out = out.withColumn("p_value", kolmogorov_tail(F.col("ks_distance") * F.sqrt(a * b / (a + b))))

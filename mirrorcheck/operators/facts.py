@@ -32,7 +32,9 @@ def domain_facts(events: DataFrame, persons: DataFrame, concepts: DataFrame, id_
         "person_id", F.col(date_col).cast("date").alias("date"), F.col(id_col).cast("long").alias("concept_id"))
     return (dated.join(concepts, "concept_id")
             .join(persons.select("person_id").distinct(), "person_id", "left_semi")
-            .groupBy("person_id", "date").pivot("indicator_prefix", list(indicators)).agg(F.lit(1)).na.fill(0))
+            .where(F.col("indicator_prefix").isin(list(indicators)))
+            .groupBy("person_id", "date").agg(*[
+                F.max(F.when(F.col("indicator_prefix") == i, 1).otherwise(0)).alias(i) for i in indicators]))
 
 
 def measurement_facts(measurement: DataFrame, members: DataFrame, persons: DataFrame,

@@ -39,7 +39,8 @@ def _long(df: DataFrame, variables: Sequence[str], suffixes: Sequence[str], stat
                 cells.append(F.struct(
                     F.lit(v).alias("variable"), F.lit("".join(c for c in s if c.isdigit())).alias("implicate"),
                     F.lit(sub or "").alias("subset"), F.col(f"{v}{s}").cast(kind).alias("value"), flag.alias("inside")))
-    return df.select(*keep, F.inline(F.filter(F.array(*cells), lambda c: c["inside"]))).drop("inside")
+    rows = df.select(*keep, F.inline(F.array(*cells)))
+    return (rows.where("inside") if subsets else rows).drop("inside")
 
 
 KEYS = ["variable", "implicate", "subset"]

@@ -36,7 +36,8 @@ def person_flags(person: DataFrame, events: Mapping[str, tuple[DataFrame, str]],
     if obesity is not None:
         marks = marks.unionByName(obesity.where("OBESITY = 1").select("person_id", F.lit("obesity").alias("indicator_suffix")))
     names = [*indicators, *(["death"] if deaths is not None else []), *(["obesity"] if obesity is not None else [])]
-    wide = marks.groupBy("person_id").pivot("indicator_suffix", names).agg(F.lit(1))
+    wide = marks.groupBy("person_id").agg(*[
+        F.max(F.when(F.col("indicator_suffix") == n, 1).otherwise(0)).alias(n) for n in names])
     return person.select("person_id").join(wide, "person_id", "left").select(
         "person_id", *[F.coalesce(F.col(n), F.lit(0)).alias(f"flag_{n}") for n in names])
 

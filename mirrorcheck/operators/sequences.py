@@ -32,13 +32,15 @@ def qualified_concepts(tables: Sequence[tuple[DataFrame, str]], min_persons: int
 # ------------------------------------------------------------------ building
 
 
-def build_sequences(person: DataFrame, visits: DataFrame, events: DataFrame) -> DataFrame:
+def build_sequences(person: DataFrame, visits: DataFrame, events: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """One row per person: tokens in time order with parallel value arrays.
 
     ``events`` has person_id, visit_occurrence_id, concept_id, number_value, concept_value. Tokens:
     year and age at the first visit and the gender concept; per visit a gap token with the days since
     the start of the visit before, the start marker, the visit type, the concepts, the end marker.
-    The array of a person is one output value; everything before it is plain rows.
+    The array of a person is one output value; everything before it is plain rows. With
+    ``max_tokens`` longer sequences, which the cleaning step leaves out, are found by counting and
+    never collected.
     """
     born = person.select("person_id", "year_of_birth", "gender_concept_id")
     order = Window.partitionBy("person_id").orderBy("visit_start_date", "visit_occurrence_id")
@@ -69,6 +71,9 @@ def build_sequences(person: DataFrame, visits: DataFrame, events: DataFrame) ->
              F.lpad(F.col("concept_id").cast("string"), 20, "0")),
     ]
     tokens = union_all(parts).join(born.select("person_id", "year_of_birth"), "person_id", "left")
+    if max_tokens is not None:
+        short = tokens.groupBy("person_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_tokens)
+        tokens = tokens.join(short, "person_id", "left_semi")
     item = F.struct("day", "visit", "part", "sort", "number", "text", "token", "year_of_birth")
     seq = tokens.groupBy("person_id").agg(F.sort_array(F.collect_list(item)).alias("s"))
     has_value = lambda x: (x["number"].isNotNull() | x["text"].isNotNull()).cast("int")

@@ -46,12 +46,12 @@ tok AS (
     FROM vis v JOIN ev ON v.person_id = ev.person_id AND v.visit_occurrence_id = ev.visit_occurrence_id)"""
 
 
-def seqs_of(t):
+def seqs_of(t, max_tokens=None):
     events = t.sequence_tokens.select(
         "person_id", F.col("l_orderkey").alias("visit_occurrence_id"), (1000 + F.col("l_partkey") % 203).alias("concept_id"),
         F.when(F.col("l_linenumber") % 2 == 1, F.col("l_quantity")).alias("number_value"),
         F.when(F.col("l_linenumber") == 4, F.col("l_returnflag")).alias("concept_value"))
-    return sq.build_sequences(t.person, t.visit_occurrence, events)
+    return sq.build_sequences(t.person, t.visit_occurrence, events, max_tokens)
 
 
 @query("i03_clean_sequences", f"""WITH {TOKENS}, s AS (SELECT tok.person_id, count(*) AS num_of_concepts, CAST(sum(coalesce(year(day) - year_of_birth, 0)) AS BIGINT) AS age_sum,
@@ -59,7 +59,7 @@ def seqs_of(t):
 SELECT * FROM s WHERE num_of_concepts <= 120""")
 def _(t):
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return sq.clean_sequences(seqs_of(t), 120).select(
+    return sq.clean_sequences(seqs_of(t, 120), 120).select(
         "person_id", F.col("num_of_concepts").cast("long").alias("num_of_concepts"), total("ages").alias("age_sum"), total("dates").alias("date_sum"))
 
 
