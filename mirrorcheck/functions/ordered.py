@@ -17,7 +17,7 @@ from .session import stable
 
 # A plain window per group is used while the largest group has at most this many distinct values;
 # beyond it groups are cut into ranges of about a quarter of this number.
-SINGLE_WINDOW_ROWS = 2_000_000
+SINGLE_WINDOW_ROWS = 250_000
 MAX_RANGES = 4096
 # Per-group frames are sent to every task only up to this many numbers (a few megabytes).
 BROADCAST_CELLS = 500_000
@@ -46,9 +46,9 @@ def running_sums(counts: DataFrame, by: Sequence[str], value: str, sums: Sequenc
     whole = stable(counts.groupBy(*by).agg(F.count("*").alias("__rows"), *[F.sum(s).alias(f"total_{s}") for s in sums]))
     size = whole.agg(F.count("*").alias("groups"), F.coalesce(F.max("__rows"), F.lit(0)).alias("rows")).first()
     if size["rows"] <= limit:
-        group = Window.partitionBy(*by)
-        w = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums} | {f"total_{s}": F.sum(s).over(group) for s in sums})
+        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        run = counts.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
+        return null_safe_join(run, whole.drop("__rows"), by, small=size["groups"] <= BROADCAST_CELLS)
     n = ranges or max(4, min(MAX_RANGES, 4 * size["rows"] // max(limit, 1)))
     small = size["groups"] * n <= BROADCAST_CELLS
     cuts = F.array(*[F.lit(i / n) for i in range(1, n)])

@@ -38,7 +38,10 @@ def _correlate(rows: DataFrame, pairs, columns) -> DataFrame:
         aggs, cells = [], []
         for j, (a, b) in enumerate(part):
             x, y = columns((a, b))
-            aggs.append(F.corr(x, y).alias(f"r{j}"))
+            # the built-in correlation fails on a constant column, so it is put together from moments
+            vx = F.var_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+            vy = F.var_pop(F.when(F.col(x).isNotNull(), F.col(y)))
+            aggs.append(ratio(F.covar_pop(x, y), F.sqrt(vx) * F.sqrt(vy)).alias(f"r{j}"))
             cells.append(F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(f"r{j}").alias("r")))
         out.append(rows.groupBy("is_new").agg(*aggs).select("is_new", F.inline(F.array(*cells))))
     return union_all(out).where(F.col("r").isNotNull() & ~F.isnan("r"))
