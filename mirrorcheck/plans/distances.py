@@ -101,12 +101,12 @@ s AS (SELECT variable, implicate, min(d) AS min, avg(d) AS mean, max(d) AS max,
 c AS (SELECT variable, implicate, d, sum(w) AS w FROM r WHERE d IS NOT NULL GROUP BY 1, 2, 3),
 k AS (SELECT *, sum(w) OVER (PARTITION BY variable, implicate ORDER BY d ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY variable, implicate) AS sh FROM c),
 z AS (SELECT variable, implicate, {wq} FROM k GROUP BY 1, 2)
-SELECT s.variable, s.implicate, round(min, 5) AS min, round(q1, 5) AS q1, round(median, 5) AS median, round(mean, 5) AS mean, round(q3, 5) AS q3, round(max, 5) AS max,
-  na_count, round(min, 5) AS w_min, round(w_q1, 5) AS w_q1, round(w_median, 5) AS w_median, round(w_mean, 5) AS w_mean, round(w_q3, 5) AS w_q3, round(max, 5) AS w_max, na_count AS w_na_count
+SELECT s.variable, s.implicate, round(min, 8) AS min, round(q1, 8) AS q1, round(median, 8) AS median, round(mean, 8) AS mean, round(q3, 8) AS q3, round(max, 8) AS max,
+  na_count, round(min, 8) AS w_min, round(w_q1, 8) AS w_q1, round(w_median, 8) AS w_median, round(w_mean, 8) AS w_mean, round(w_q3, 8) AS w_q3, round(max, 8) AS w_max, na_count AS w_na_count
 FROM s JOIN z ON s.variable = z.variable AND s.implicate = z.implicate"""
 
 
-@query("f05_paired_distances", _paired_sql(), digits=5)
+@query("f05_paired_distances", _paired_sql(), digits=8)
 def _(t):
     return di.paired_distances(t.implicates, PAIRED, ["_1", "_2", "_3"], weight="weight")
 
