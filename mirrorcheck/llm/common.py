@@ -69,3 +69,15 @@ def running_sums(df: DataFrame, group: str, uniform_hex: str, value: Column, out
     return (cut.join(before, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
             .withColumn(out, F.col("_before") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
             .drop("_g", "_r", "_range", "_value", "_before"))
+
+
+#: Keys up to this many are sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def without(documents: DataFrame, tie: Column, keys: DataFrame) -> DataFrame:
+    """Documents whose (doc_id, tie) is not among ``keys`` (columns doc_id and tie; null ids match null ids)."""
+    keys = stored(keys.distinct()).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return documents.join(keys, documents["doc_id"].eqNullSafe(keys["_id"]) & (tie == keys["_tie"]), "left_anti")

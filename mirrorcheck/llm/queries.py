@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from . import sql
 from .common import table
+from .decontaminate import contamination_table
 from .licenses import license_table
 from .secrets import secret_table
 from .sharding import shard_table
 from .token_blocks import token_table
+from .toxicity import toxicity_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,12 +22,15 @@ def tokenizer_path() -> str:
 
 QUERIES = {
     "op1_token_blocks": lambda spark, sf_dir: token_table(table(spark, sf_dir, "documents"), tokenizer_path()),
+    "op2_positional_index": lambda spark, sf_dir: contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op5_subword_softmax": lambda spark, sf_dir: toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op8_secret_ownership": lambda spark, sf_dir: secret_table(table(spark, sf_dir, "documents")),
     "op9_rendezvous_shards": lambda spark, sf_dir: shard_table(table(spark, sf_dir, "documents")),
     "op10_license_blocks": lambda spark, sf_dir: license_table(table(spark, sf_dir, "documents")),
 }
 
 SQL: dict[str, str] = {
+    "op2_positional_index": sql.CONTAMINATION,
     "op8_secret_ownership": sql.SECRETS,
     "op9_rendezvous_shards": sql.SHARDS,
     "op10_license_blocks": sql.LICENSES,

@@ -77,3 +77,17 @@ SELECT doc_id, n AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(list_tra
   array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(names, [])))), ',') AS labels,
   CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0.0)::DOUBLE END AS score
 FROM d JOIN places USING (r) LEFT JOIN best USING (r)"""
+
+CONTAMINATION = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM benchmark),
+windows AS (SELECT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + 10], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT r, n, i, array_to_string(w[i + 1:i + n], ' ') AS phrase
+  FROM (SELECT r, n, w, unnest(range(len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS (SELECT r, n, i, item_id FROM places JOIN windows USING (n, phrase)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+items AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
