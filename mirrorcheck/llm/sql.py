@@ -91,3 +91,15 @@ items AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM found
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
+
+COMPONENTS = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1:i + 3], ' ')) END) AS g FROM d)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+links AS (SELECT a, b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y USING (g) GROUP BY x.r, y.r)
+  JOIN n p ON p.r = a JOIN n q ON q.r = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (SELECT r AS a, r AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN least ON a = d.r"""
