@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import sql
 from .common import table
 from .decontaminate import contamination_table
+from .hilbert import neighbour_table
 from .jaccard import component_table
 from .licenses import license_table
 from .secrets import secret_table
@@ -26,6 +27,7 @@ QUERIES = {
     "op2_positional_index": lambda spark, sf_dir: contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op5_subword_softmax": lambda spark, sf_dir: toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_combination_prefixes": lambda spark, sf_dir: component_table(table(spark, sf_dir, "documents")),
+    "op7_hilbert_windows": lambda spark, sf_dir: neighbour_table(table(spark, sf_dir, "embeddings")),
     "op8_secret_ownership": lambda spark, sf_dir: secret_table(table(spark, sf_dir, "documents")),
     "op9_rendezvous_shards": lambda spark, sf_dir: shard_table(table(spark, sf_dir, "documents")),
     "op10_license_blocks": lambda spark, sf_dir: license_table(table(spark, sf_dir, "documents")),
