@@ -8,8 +8,10 @@ from .decontaminate import contamination_table
 from .hilbert import neighbour_table
 from .jaccard import component_table
 from .licenses import license_table
+from .mixing import mix_table
 from .secrets import secret_table
 from .sharding import shard_table
+from .surrogates import surrogate_table
 from .token_blocks import token_table
 from .toxicity import toxicity_table
 
@@ -25,6 +27,8 @@ def tokenizer_path() -> str:
 QUERIES = {
     "op1_token_blocks": lambda spark, sf_dir: token_table(table(spark, sf_dir, "documents"), tokenizer_path()),
     "op2_positional_index": lambda spark, sf_dir: contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op3_surrogates": lambda spark, sf_dir: surrogate_table(table(spark, sf_dir, "documents")),
+    "op4_temperature_mixing": lambda spark, sf_dir: mix_table(table(spark, sf_dir, "documents")),
     "op5_subword_softmax": lambda spark, sf_dir: toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op6_combination_prefixes": lambda spark, sf_dir: component_table(table(spark, sf_dir, "documents")),
     "op7_hilbert_windows": lambda spark, sf_dir: neighbour_table(table(spark, sf_dir, "embeddings")),
