@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ranges_for, running_sums, stored
@@ -70,8 +70,8 @@ def mixture(documents: DataFrame, target: Target, source: str = "source", tokens
     """One row per document: doc_id, tie (hash of the text), source, n_tokens, block, weight, copies.
 
     ``copies`` says how often the mixture reads the document: once for every whole pass over its source, and once
-    more if its block comes, in the order of a keyed hash of the blocks, before the rest of the source's tokens is
-    used up (the block in which that happens is read whole). Blocks hold about ``docs_per_block`` documents of
+    more if it comes, in the order of a keyed hash of the blocks and then of the documents in a block, before the rest
+    of the source's tokens is used up. Blocks hold about ``docs_per_block`` documents of
     a source, chosen by a hash of id and text, so they can be as many as the source needs and a hot source is spread
     over all tasks. Tokens are words between white space unless given. A null source is a source; null and empty
     texts have no tokens and are read as often as their block.
@@ -95,8 +95,10 @@ def mixture(documents: DataFrame, target: Target, source: str = "source", tokens
               .withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("\x00")), F.col("block").cast("string"), F.col("whole").cast("string")))))
     n_blocks = int(sum(max(1, d // docs_per_block) for d in totals["docs"])) if len(totals) else 0
     drawn = running_sums(stored(blocks), "source", "order", F.col("size"), "before", ranges_for(n_blocks, 1, 2_000), ["block"])
-    drawn = drawn.select(F.col("source").alias("_s"), F.col("block").alias("_b"), (F.col("whole") + F.when(F.col("before") < F.col("rest"), 1).otherwise(0)).alias("copies"))
+    drawn = drawn.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "before")
+    upto = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", "tie", F.lit(seed), "whole"), "doc_id", "tie"))
     return (planned.join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+            .withColumn("copies", F.col("whole") + F.when(F.col("before") + upto <= F.col("rest"), 1).otherwise(0))
             .select("doc_id", "tie", "source", "n_tokens", "block", "weight", "copies"))
 
 
