@@ -123,7 +123,7 @@ class PieceEncoder:
     _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
     NAMES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))} | {1: " ", 2: f" {TAB} "}  # 1 and 2 part the parts and pieces
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,6 +142,12 @@ class PieceEncoder:
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.at, self.n, self.second = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.uint64)
 
+    def _shrink(self) -> None:
+        """Make room: only what was learnt first stays, as frequent pieces come early."""
+        n = min(len(self.slots), self.keep // 4)
+        self.slots = {k: i for k, i in self.slots.items() if i < n}
+        self.used = int(self.at[n - 1] + self.n[n - 1]) if n else 0
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
@@ -192,7 +198,7 @@ class PieceEncoder:
             one, two = hash_spans(data, starts, ends, 0), hash_spans(data, starts, ends, 1)
             keys, first, inverse = np.unique(one, return_index=True, return_inverse=True)
             if len(self.slots) + len(keys) > self.keep:
-                self._empty()
+                self._shrink()
             listed = keys.tolist()
             new = [i for i, k in enumerate(listed) if k not in self.slots]
             if new:
@@ -216,6 +222,16 @@ class PieceEncoder:
         return ids, counts
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder_for(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS,
                  key: str = "doc_id", text: str = "text") -> None:
     """Encode every text, add ``end_id`` and write segments to ``path`` in ascending order of the key.
@@ -227,7 +243,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     key_type = documents.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
         keys: list = []
         held: list[np.ndarray] = []
         lengths: list[int] = []
