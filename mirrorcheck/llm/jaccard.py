@@ -154,7 +154,7 @@ def describe(documents: DataFrame, join: Join) -> DataFrame:
             count = np.where(known[at] == short, counts[at], 0) if len(known) else np.zeros(len(value), np.int64)
             n = np.bincount(row, minlength=batch.num_rows)
             ends = np.cumsum(n)
-            bins = np.minimum(np.bincount(row * BINS + (value >> np.uint64(58)).astype(np.int64), minlength=batch.num_rows * BINS), 65535).astype("<u2").reshape(-1, BINS)
+            bins = np.minimum(np.bincount(row * BINS + (value >> np.uint64(58)).astype(np.int64), minlength=batch.num_rows * BINS), 255).astype(np.uint8).reshape(-1, BINS)
             one, two = mix(value), mix(value ^ _B)
             order = np.lexsort((value, count, row))
             ordered, ordered_count = value[order], count[order]
@@ -174,15 +174,19 @@ def describe(documents: DataFrame, join: Join) -> DataFrame:
 
 
 def _may_link(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """Pairs (a, b) whose n-grams by hash range leave an overlap that is large enough possible."""
+    """Pairs (a, b) whose n-grams by hash range leave an overlap that is large enough possible.
+
+    A range holds at most 255 here, which stands for that many or more; then nothing is ruled out by it.
+    """
     own = classes.select("sid", "bins")
     both = (pairs.join(own.withColumnsRenamed({"sid": "a", "bins": "bins_a"}), "a").join(own.withColumnsRenamed({"sid": "b", "bins": "bins_b"}), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS).astype(np.int64) for c in ("bins_a", "bins_b"))
-            least = np.where((x == 65535) | (y == 65535), np.maximum(x, y), np.minimum(x, y)).sum(axis=1)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for c in ("bins_a", "bins_b"))
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            unknown = ((x == 255) | (y == 255)).any(axis=1)
+            least = np.where(unknown, n, np.minimum(x, y).sum(axis=1))
             keep = (100 + join.percent) * least >= join.percent * n
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
 
@@ -237,9 +241,8 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
     postings = classes.select("sid", "n", F.explode("keys").alias("key"))
     common = stored(postings.join(postings.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "sid", "n"))
     involved = stored(common.select("sid").distinct())
-    contents = _contents(documents, classes.join(involved, "sid").select("sid", "rep.doc_id", "rep.tie"), join)
     group = involved.select("sid", F.col("sid").alias("root"))
-    links = done = None
+    links = done = contents = None
     for turn in range(stars + 1):
         placed = common.join(group, "sid")
         mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"),
@@ -257,6 +260,10 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         tried = stored(_may_link(stored(pairs), classes, join))
+        new = tried.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        new = new if contents is None else new.join(contents.select("sid"), "sid", "left_anti")
+        own = _contents(documents, stored(classes.join(new, "sid").select("sid", "rep.doc_id", "rep.tie")), join)
+        contents = own if contents is None else contents.unionAll(own)
         found = stored(_links(tried, contents, join))
         links = found if links is None else links.unionAll(found)
         done = tried if done is None else done.unionAll(tried)
