@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import LOWER, NOT_SPACE, as_bytes, find_words, hash_spans, mix, slices
-from .common import BROADCAST_KEYS, stored, without
+from .common import BROADCAST_KEYS, arrow_rows, stored, without
 from .components import connected
 
 K, BINS = 2, 64
@@ -29,14 +29,16 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 @dataclass(frozen=True)
 class Join:
-    """size: words of an n-gram. percent: least 100 * intersection / union. frequent: an n-gram that stands in
-    texts at least that often is frequent; the least number is raised until at most ``table`` n-grams are, since their
-    list goes to every task. The choice changes the work, never the result."""
+    """size: words of an n-gram. percent: least 100 * intersection / union. listed: n-grams that stand in the texts at
+    least that often are ordered by their number, after all others; it is raised until at most ``table`` n-grams
+    are listed, since the list goes to every task. frequent: listed n-grams of at least that number are keys in pairs.
+    These choices change the work, never the result."""
 
     size: int = 3
     percent: int = 90
+    listed: int = 3
     frequent: int = 32
-    table: int = 2_000_000
+    table: int = 1_000_000
     single_from: int = 400
     docs_per_range: int = 4_000
 
@@ -86,8 +88,8 @@ def sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], value[new]
 
 
-def frequent_grams(documents: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """40-bit hashes of the frequent n-grams of all texts, sorted, and how often each stands there.
+def listed_grams(documents: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """40-bit hashes of the listed n-grams of all texts, sorted, and how often each stands there.
 
     Tasks send sorted hashes, five bytes each, to ranges of the hash; each range is counted by itself. Two
     n-grams with one 40-bit hash are counted together, which only moves them back in the order.
@@ -96,7 +98,7 @@ def frequent_grams(documents: DataFrame, join: Join) -> tuple[np.ndarray, np.nda
     bits = n_ranges.bit_length() - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4_000_000):
+        for batch in slices(batches, 1_000_000):
             value = np.sort(grams(batch.column("text"), join.size)[1] >> np.uint64(24))
             cuts = np.searchsorted(value, np.arange(n_ranges + 1, dtype=np.uint64) << np.uint64(40 - bits))
             raw = value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
@@ -113,24 +115,24 @@ def frequent_grams(documents: DataFrame, join: Join) -> tuple[np.ndarray, np.nda
             value = np.zeros((len(raw), 8), np.uint8)
             value[:, :5] = raw
             found, n = np.unique(value.view("<u8").ravel(), return_counts=True)
-            keep = n >= join.frequent
+            keep = n >= join.listed
             yield pa.RecordBatch.from_arrays([pa.array(found[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], ["gram", "n"])
 
     table = stored(documents.select("text").mapInArrow(send, "part int, hashes binary").repartition(n_ranges, "part").mapInArrow(count, "gram long, n long"))
-    least = join.frequent
+    least = join.listed
     while table.where(F.col("n") >= least).count() > join.table:
-        least *= 2
+        least += max(1, least // 2)
     rows = table.where(F.col("n") >= least).toArrow()
-    gram, n = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy()
+    gram, n = rows.column("gram").to_numpy().astype(np.uint64), rows.column("n").to_numpy().astype(np.int32)
     order = np.argsort(gram)
     return gram[order], n[order]
 
 
 def _keys(value: np.ndarray, count: np.ndarray, n: int, join: Join) -> np.ndarray:
-    """Keys of one set; its n-grams in the common order, with their counts (0: rare)."""
+    """Keys of one set; its n-grams in the common order, with their counts (0: not listed)."""
     prefix = n - join.least_overlap(n) + K
     value, count = value[:prefix], count[:prefix]
-    rare, often = value[count == 0], value[count > 0]
+    rare, often = value[count < join.frequent], value[count >= join.frequent]
     keys = [rare]
     if len(often) and n * join.percent <= 100 * join.single_from:
         i, j = np.triu_indices(len(often), 1)
@@ -143,11 +145,11 @@ def _keys(value: np.ndarray, count: np.ndarray, n: int, join: Join) -> np.ndarra
 def describe(documents: DataFrame, join: Join) -> DataFrame:
     """One row per document: doc_id, tie, set_id (16 bytes; null without n-grams), n, keys, bins (n-grams by hash range)."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_grams(documents, join))
+    shared = spark.sparkContext.broadcast(listed_grams(documents, join))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, 1_000_000):
             row, value = sets(batch.column("text"), join.size)
             short = value >> np.uint64(24)
             at = np.minimum(np.searchsorted(known, short), max(0, len(known) - 1))
@@ -218,7 +220,7 @@ def _contents(documents: DataFrame, chosen: DataFrame, join: Join) -> DataFrame:
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (tie == F.col("_tie")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 1_000_000):
             row, value = sets(batch.column("text"), join.size)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array([value[a:b].astype("<u8").tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], ["sid", "grams"])
@@ -234,7 +236,9 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
     classes of different groups, against another leader; and last, all pairs of different groups. Null and empty texts
     have no n-grams and are groups of their own, each document by itself. Null ids come after all others.
     """
-    docs = describe(documents, join)
+    spark = documents.sparkSession
+    with arrow_rows(spark, 1_000):
+        docs = describe(documents, join)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
     classes = stored(docs.where("set_id is not null").groupBy("set_id").agg(F.min(order).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
                      .withColumn("sid", F.monotonically_increasing_id()))
@@ -264,7 +268,8 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
         new = new if contents is None else new.join(contents.select("sid"), "sid", "left_anti")
         own = _contents(documents, stored(classes.join(new, "sid").select("sid", "rep.doc_id", "rep.tie")), join)
         contents = own if contents is None else contents.unionAll(own)
-        found = stored(_links(tried, contents, join))
+        with arrow_rows(spark, 200):  # whole sets are large rows
+            found = stored(_links(tried, contents, join))
         links = found if links is None else links.unionAll(found)
         done = tried if done is None else done.unionAll(tried)
         roots = connected(links)
