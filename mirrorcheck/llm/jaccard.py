@@ -5,7 +5,8 @@ order. N-grams are put in the order of how often they stand in all texts, rare o
 a key by itself; of the frequent ones, every pair in the (k = 2)-prefix is a key, so what stands in very many texts
 leads to few candidates. Two sets that are similar share a rare n-gram of their prefixes or two frequent ones, so
 none is lost. Sets above ``single_from`` n-grams use their frequent n-grams one by one, and sets around that size both.
-Candidates are verified on the whole sets. Equal sets are one class and are never paired.
+Places in the prefix bound what
+two sets can share, and the length filter compares their sizes. Candidates are verified on the whole sets. Equal sets are one class and are never paired.
 """
 
 from __future__ import annotations
@@ -128,22 +129,27 @@ def listed_grams(documents: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarr
     return gram[order], n[order]
 
 
-def _keys(value: np.ndarray, count: np.ndarray, n: int, join: Join) -> np.ndarray:
-    """Keys of one set; its n-grams in the common order, with their counts (0: not listed)."""
+def _keys(value: np.ndarray, count: np.ndarray, n: int, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, bounds) of one set; its n-grams come in the common order, with their counts (0: not listed).
+
+    The bound of a key is the greatest overlap possible if its n-grams are the first that two sets share.
+    """
     prefix = n - join.least_overlap(n) + K
     value, count = value[:prefix], count[:prefix]
-    rare, often = value[count < join.frequent], value[count >= join.frequent]
-    keys = [rare]
+    rare, often = np.flatnonzero(count < join.frequent), np.flatnonzero(count >= join.frequent)
+    keys, bounds = [value[rare]], [n - rare]
     if len(often) and n * join.percent <= 100 * join.single_from:
-        i, j = np.triu_indices(len(often), 1)
-        keys.append(mix(often[i] * _A + often[j]) * _B)
+        i, j = (often[x] for x in np.triu_indices(len(often), 1))
+        keys.append(mix(value[i] * _A + value[j]) * _B)
+        bounds.append(n - j + 1)
     if len(often) and n >= join.single_from:
-        keys.append(often)
-    return np.concatenate(keys)
+        keys.append(value[often])
+        bounds.append(n - often)
+    return np.concatenate(keys), np.concatenate(bounds)
 
 
 def describe(documents: DataFrame, join: Join) -> DataFrame:
-    """One row per document: doc_id, tie, set_id (16 bytes; null without n-grams), n, keys, bins (n-grams by hash range)."""
+    """One row per document: doc_id, tie, set_id (16 bytes; null without n-grams), n, keys, bounds, bins (n-grams by hash range)."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(listed_grams(documents, join))
 
@@ -164,14 +170,15 @@ def describe(documents: DataFrame, join: Join) -> DataFrame:
             for i in range(batch.num_rows):
                 a, b = int(ends[i] - n[i]), int(ends[i])
                 ids.append(np.array([one[a:b].sum(dtype=np.uint64), two[a:b].sum(dtype=np.uint64)], ">u8").tobytes() if n[i] else None)
-                keys.append(_keys(ordered[a:b], ordered_count[a:b], int(n[i]), join) if n[i] >= join.least_size else ordered[:0])
-            lengths = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                keys.append(_keys(ordered[a:b], ordered_count[a:b], int(n[i]), join) if n[i] >= join.least_size else (ordered[:0], ends[:0]))
+            lengths = np.concatenate(([0], np.cumsum([len(k) for k, _ in keys]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tie"), pa.array(ids, pa.binary()), pa.array(n, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys).astype(np.int64))), pa.array([x.tobytes() for x in bins], pa.binary())],
-                ["doc_id", "tie", "set_id", "n", "keys", "bins"])
+                 pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([k for k, _ in keys]).astype(np.int64))),
+                 pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([b for _, b in keys]).astype(np.int32))), pa.array([x.tobytes() for x in bins], pa.binary())],
+                ["doc_id", "tie", "set_id", "n", "keys", "bounds", "bins"])
 
-    schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string("tie long, set_id binary, n long, keys array<long>, bins binary").fields])
+    schema = T.StructType([documents.schema["doc_id"], *T._parse_datatype_string("tie long, set_id binary, n long, keys array<long>, bounds array<int>, bins binary").fields])
     return stored(documents.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema))
 
 
@@ -233,31 +240,32 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
 
     A group is what links reach. Within the classes that share a key, each is first verified against one leader, so
     that a large group of near copies is joined by about as many pairs as it has classes; then, where a key still has
-    classes of different groups, against another leader; and last, all pairs of different groups. Null and empty texts
+    classes of different groups, against another leader; and last, all pairs of different groups. The first leader is the
+    class with the most shared keys, which has the fewest n-grams of its own and so stands in the middle of its copies. Null and empty texts
     have no n-grams and are groups of their own, each document by itself. Null ids come after all others.
     """
     spark = documents.sparkSession
     with arrow_rows(spark, 1_000):
         docs = describe(documents, join)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
-    classes = stored(docs.where("set_id is not null").groupBy("set_id").agg(F.min(order).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bins").alias("bins"))
+    classes = stored(docs.where("set_id is not null").groupBy("set_id").agg(F.min(order).alias("rep"), F.first("n").alias("n"), F.first(F.struct("keys", "bounds")).alias("k"), F.first("bins").alias("bins"))
                      .withColumn("sid", F.monotonically_increasing_id()))
-    postings = classes.select("sid", "n", F.explode("keys").alias("key"))
-    common = stored(postings.join(postings.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "sid", "n"))
-    involved = stored(common.select("sid").distinct())
-    group = involved.select("sid", F.col("sid").alias("root"))
+    postings = classes.select("sid", "n", F.inline(F.arrays_zip(F.col("k.keys").alias("key"), F.col("k.bounds").alias("bound"))))
+    common = stored(postings.join(postings.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "sid", "n", "bound"))
+    involved = stored(common.groupBy("sid").agg(F.count("*").alias("n_keys")))
+    group = involved.select("sid", "n_keys", F.col("sid").alias("root"))
     links = done = contents = None
     for turn in range(stars + 1):
         placed = common.join(group, "sid")
         mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"),
-                                          F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("draw"), "sid", "n", "root")).alias("lead")).where("x <> y")
+                                          F.min(F.struct((F.pmod(F.xxhash64("sid"), F.lit(7)) if turn else -F.col("n_keys")).alias("draw"), "sid", "n", "bound", "root")).alias("lead")).where("x <> y")
         placed = stored(placed.join(mixed.select("key", "lead"), "key"))
         if turn < stars:
-            pairs = placed.select(F.col("lead.sid").alias("l"), F.col("lead.n").alias("n_l"), F.col("lead.root").alias("root_l"), "sid", "n", "root")
+            pairs = placed.select(F.col("lead.sid").alias("l"), F.col("lead.n").alias("n_l"), F.col("lead.root").alias("root_l"), F.col("lead.bound").alias("bound_l"), "sid", "n", "bound", "root")
         else:
-            other = placed.select("key", F.col("sid").alias("l"), F.col("n").alias("n_l"), F.col("root").alias("root_l"))
-            pairs = placed.select("key", "sid", "n", "root").join(other, "key").where("l < sid")
-        near = (F.least("n", "n_l") * 100 >= F.greatest("n", "n_l") * join.percent)
+            other = placed.select("key", F.col("sid").alias("l"), F.col("n").alias("n_l"), F.col("root").alias("root_l"), F.col("bound").alias("bound_l"))
+            pairs = placed.select("key", "sid", "n", "bound", "root").join(other, "key").where("l < sid")
+        near = (F.least("n", "n_l") * 100 >= F.greatest("n", "n_l") * join.percent) & (F.least("bound", "bound_l") * (100 + join.percent) >= (F.col("n") + F.col("n_l")) * join.percent)
         pairs = (pairs.where((F.col("root") != F.col("root_l")) & near)
                  .select(F.least("sid", "l").alias("a"), F.greatest("sid", "l").alias("b"), F.when(F.col("sid") < F.col("l"), F.col("n")).otherwise(F.col("n_l")).alias("n_a"),
                          F.when(F.col("sid") < F.col("l"), F.col("n_l")).otherwise(F.col("n")).alias("n_b")).distinct())
@@ -273,8 +281,8 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
         links = found if links is None else links.unionAll(found)
         done = tried if done is None else done.unionAll(tried)
         roots = connected(links)
-        group = stored(involved.join(roots, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("root")))
-    reps = classes.select("sid", "set_id", "rep").join(group, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        group = stored(involved.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n_keys", F.coalesce("root", "sid").alias("root")))
+    reps = classes.select("sid", "set_id", "rep").join(group.drop("n_keys"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = reps.groupBy("root").agg(F.min("rep").alias("first"))
     of_set = stored(reps.join(least, "root").select(F.col("set_id").alias("s"), "first"))
     return (docs.join(of_set, F.coalesce("set_id", F.concat(F.lit("none"), F.xxhash64("doc_id").cast("string")).cast("binary")) == F.col("s"), "left")
