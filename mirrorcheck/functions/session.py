@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; a temporary one only for local masters."""
+    """Use the folder named in ``spark.checkpoint.dir``; where it is unset, one below the warehouse folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -17,9 +15,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="mirrorcheck-"))
+    sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
 def stable(df: DataFrame) -> DataFrame:

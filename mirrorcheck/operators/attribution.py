@@ -54,7 +54,7 @@ def _isolated(rows: DataFrame, row_id: str, cats: Sequence[str], radii: Mapping[
     by = [*cats, "__key", "__r"]
     bins = long.groupBy(*by, F.floor(F.col("__v") / F.col("__r")).alias("__bin")).agg(
         F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.min(row_id).alias("id"))
-    none, no_id = F.lit(None).cast("double"), F.lit(None).cast("long")
+    none, no_id = F.lit(None).cast("double"), F.lit(None).cast(rows.schema[row_id].dataType)
     spread = bins.select(*by, F.inline(F.array(
         F.struct(F.col("__bin").alias("bin"), F.col("n").alias("n"), F.col("id").alias("id"), F.col("lo").alias("v"), none.alias("below"), none.alias("above")),
         F.struct((F.col("__bin") + 1).alias("bin"), F.lit(0).cast("long").alias("n"), no_id.alias("id"), none.alias("v"), F.col("hi").alias("below"), none.alias("above")),

@@ -92,7 +92,10 @@ def top_ids(df: DataFrame, id_col: str, k: int) -> list:
 
 def feature_matrix(person: DataFrame, domains: Mapping[str, tuple[DataFrame, str]], k: int = 50,
                    genders: Sequence[int] | None = None) -> DataFrame:
-    """One row per person: birth-year classes and gender as 0/1, counts of each domain's top-k concepts."""
+    """One row per person: birth-year classes and gender as 0/1, counts of each domain's top-k concepts.
+
+    Without a list of genders, every gender id that stands in the table gives a column.
+    """
     year = F.col("year_of_birth")
     cols = [F.col("person_id")]
     for lo, hi in zip(BIRTH_EDGES, BIRTH_EDGES[1:]):
@@ -101,7 +104,7 @@ def feature_matrix(person: DataFrame, domains: Mapping[str, tuple[DataFrame, str
     cols.append(outside.cast("int").alias("yob_nan"))
     gender = F.coalesce(F.col("gender_concept_id").cast("int"), F.lit(-1))
     if genders is None:
-        genders = sorted(r[0] for r in person.select(gender.alias("g")).distinct().limit(100).collect())
+        genders = sorted(r[0] for r in person.select(gender.alias("g")).distinct().collect())
     cols += [(gender == g).cast("int").alias(f"gender_{g}" if g >= 0 else "gender_none") for g in genders]
     out = person.select(*cols)
     for prefix, (df, id_col) in domains.items():

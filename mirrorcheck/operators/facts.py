@@ -95,9 +95,12 @@ def patient_deaths(death: DataFrame, members: DataFrame, persons: DataFrame, vis
 
     The earliest plausible death-table date wins; else the latest plausible date of a visit that
     ended in death. Undated deaths and hospice discharges are kept without a date. All sources go
-    through one grouping by person.
+    through one grouping by person. Persons without the column ``data_extraction_date`` (the
+    synthetic form) have dates with a floor only.
     """
-    who = persons.select("person_id", F.col("data_extraction_date").cast("date").alias("data_extraction_date")).distinct()
+    limited = "data_extraction_date" in persons.columns
+    extraction = F.col("data_extraction_date").cast("date") if limited else F.lit(None).cast("date")
+    who = persons.select("person_id", extraction.alias("data_extraction_date")).distinct()
     kinds = newest_members(members).where(F.col("concept_set_name").isin(deceased, hospice)).select(
         F.col("concept_id").alias("discharge_to_concept_id"), (F.col("concept_set_name") == deceased).alias("is_deceased"))
     from_table = death.select("person_id", F.col("death_date").cast("date").alias("death_date"),
@@ -110,15 +113,15 @@ def patient_deaths(death: DataFrame, members: DataFrame, persons: DataFrame, vis
     limit = F.col("data_extraction_date")
 
     def plausible(c):
-        return (F.col(c) >= low) & (F.col(c) < F.date_add(limit, late_days))
+        return (F.col(c) >= low) & (F.col(c) < F.date_add(limit, late_days)) if limited else F.col(c) >= low
 
     visit_date = F.when(plausible("ve"), F.col("ve")).when(plausible("vs"), F.col("vs"))
-    table_date = F.when((F.col("death_date") >= low) & (F.col("death_date") < limit), F.col("death_date"))
+    table_date = F.when((F.col("death_date") >= low) & (F.col("death_date") < limit) if limited else F.col("death_date") >= low, F.col("death_date"))
     return (from_table.unionByName(from_visits).join(who, "person_id")
             .groupBy("person_id", "data_extraction_date")
             .agg(F.coalesce(F.min(table_date), F.max(visit_date)).alias("date"))
             .withColumn("patient_death", F.lit(1))
-            .select("person_id", "date", "data_extraction_date", "patient_death"))
+            .select("person_id", "date", *["data_extraction_date"] * limited, "patient_death"))
 
 
 def fact_days(visits: DataFrame, facts: Sequence[DataFrame], deaths: DataFrame, floor: str,
@@ -128,10 +131,10 @@ def fact_days(visits: DataFrame, facts: Sequence[DataFrame], deaths: DataFrame,
     Sources are put below each other and grouped once; a chain of outer joins on the shared columns
     followed by the same maximum gives the same rows at one shuffle per source.
     """
-    dated = deaths.where(
-        (F.col("date") >= F.lit(floor).cast("date"))
-        & (F.col("date") < F.date_add(F.col("data_extraction_date"), late_days))
-    ).select("person_id", "date", F.col("patient_death").alias("patient_death_at_visit"))
+    usable = F.col("date") >= F.lit(floor).cast("date")
+    if "data_extraction_date" in deaths.columns:
+        usable &= F.col("date") < F.date_add(F.col("data_extraction_date"), late_days)
+    dated = deaths.where(usable).select("person_id", "date", F.col("patient_death").alias("patient_death_at_visit"))
     rows = visits.select("person_id", F.col("visit_start_date").cast("date").alias("date"))
     for f in [*facts, dated]:
         rows = rows.unionByName(f, allowMissingColumns=True)

@@ -108,7 +108,7 @@ def gap_days(token: Column) -> Column:
     second = F.get(F.split(token, "-"), F.lit(1))
     tail = F.regexp_extract(token, r"(-?\d+)$", 1).try_cast("int")
     usable = F.size(F.split(token, "-")) >= 2
-    return F.coalesce(F.when(usable, F.substring(second, 2, 12).try_cast("int")), F.greatest(tail, F.lit(0)), F.lit(0))
+    return F.coalesce(F.when(usable, F.substr(second, F.lit(2)).try_cast("int")), F.greatest(tail, F.lit(0)), F.lit(0))
 
 
 def safe_int(value: Column) -> Column:
@@ -128,7 +128,7 @@ def parse_token_text(text: Column) -> Column:
 def sequence_events(seqs: DataFrame, concept: DataFrame) -> DataFrame:
     """Token arrays back to dated events with the domain of each concept.
 
-    The first day is January 1 of the year token; gap tokens move it forward. Windows hold one
+    The first day is January 1 of the year token (null if it has no year of four digits); gap tokens move it forward. Windows hold one
     sequence, which the cleaning step limits in length.
     """
     rows = seqs.select("person_id", F.posexplode(F.arrays_zip("concept_ids", "number_as_values", "concept_as_values")).alias("pos", "t")).select(
@@ -137,7 +137,7 @@ def sequence_events(seqs: DataFrame, concept: DataFrame) -> DataFrame:
     is_gap = F.col("token").startswith("i-")
     w = Window.partitionBy("person_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("person_id")
-    year = F.max(F.when(F.col("token").startswith("year:"), F.substring("token", 6, 4).try_cast("int"))).over(whole)
+    year = F.max(F.when(F.col("token").rlike("^year:[0-9]{4}$"), F.substr("token", F.lit(6)).cast("int"))).over(whole)
     dated = (rows.withColumn("offset", F.sum(F.when(is_gap, gap_days(F.col("token"))).otherwise(0)).over(w))
              .withColumn("year", year).withColumn("visit_no", F.sum((F.col("token") == VISIT_START).cast("int")).over(w)))
     ids = dated.where(F.col("token").rlike(r"^\d+$") & (F.col("visit_no") > 0)).withColumn("concept_id", F.col("token").try_cast("long"))

@@ -332,3 +332,30 @@ def test_write_read_and_registry(spark, tmp_path):
     f.write_text("﻿Data,Variable,type\nperson,sex,cat\nperson,age,cont\n", encoding="utf-8")
     reg = registry.read_variable_types(spark, str(f))
     assert registry.variables_of(reg, "person", "cat", spark.createDataFrame([("m",)], "sex string")) == ["sex"]
+
+
+def test_whole_gap_and_year_tokens(spark):
+    from mirrorcheck.operators.sequences import VISIT_START, gap_days, sequence_events
+    days = spark.createDataFrame([("i-D0000000000005",), ("i-D6",), ("i-D",)], "t string").select(gap_days(F.col("t")).alias("d")).collect()
+    assert [r["d"] for r in days] == [5, 6, 0]
+    seq = spark.createDataFrame([(1, ["year:20011", VISIT_START, "7"], [None] * 3, [None] * 3), (2, ["year:2001", VISIT_START, "7"], [None] * 3, [None] * 3)],
+                                "person_id long, concept_ids array<string>, number_as_values array<double>, concept_as_values array<string>")
+    got = {r["person_id"]: r["event_date"] for r in sequence_events(seq, spark.createDataFrame([(7, "Drug")], "concept_id long, domain_id string")).collect()}
+    assert got[1] is None and str(got[2]) == "2001-01-01"
+
+
+def test_every_gender_gives_a_column(spark):
+    from mirrorcheck.operators.explore import feature_matrix
+    persons = spark.range(300).select(F.col("id").alias("person_id"), F.lit(1950).alias("year_of_birth"), F.col("id").cast("int").alias("gender_concept_id"))
+    assert sum(c.startswith("gender_") for c in feature_matrix(persons, {}).columns) == 300
+
+
+def test_deaths_without_extraction_dates(spark):
+    from mirrorcheck.operators.facts import fact_days, patient_deaths
+    death = spark.createDataFrame([(1, "2020-05-01"), (2, "1900-01-01")], "person_id long, death_date string")
+    members = spark.createDataFrame([("deceased", True, 5)], "concept_set_name string, is_most_recent_version boolean, concept_id int")
+    visits = spark.createDataFrame([(3, 5, "2021-01-01", "2021-01-04")], "person_id long, discharge_to_concept_id int, visit_start_date string, visit_end_date string")
+    persons = spark.createDataFrame([(1,), (2,), (3,)], "person_id long")
+    deaths = patient_deaths(death, members, persons, visits, "2018-01-01")
+    assert {r["person_id"]: str(r["date"]) for r in deaths.collect()} == {1: "2020-05-01", 2: "None", 3: "2021-01-04"}
+    assert fact_days(visits, [], deaths, "2018-01-01").count() == 3
