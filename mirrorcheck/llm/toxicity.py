@@ -113,6 +113,19 @@ def features(column: pa.Array, settings: Settings, ordered: bool = True) -> tupl
     return ids_all[order], stretch[order], rows
 
 
+def _bags(texts: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams in order; where those of each stretch begin; which stretches each text has. Few texts at a time are cut."""
+    ids, sizes, counts = [], [], []
+    for i in range(0, len(texts), 32):
+        part = texts[i:i + 32]
+        own, stretch, rows = features(pa.array(part, pa.string()), settings)
+        ids.append(own)
+        sizes.append(np.bincount(stretch, minlength=len(rows)))
+        counts.append(np.bincount(rows, minlength=len(part)))
+    starts = [np.concatenate(([0], np.cumsum(np.concatenate(x)))).astype(np.int64) for x in (sizes, counts)]
+    return np.concatenate(ids), *starts
+
+
 def fit(texts: list[str], labels: np.ndarray, prior: float, settings: Settings) -> Model:
     """Train on texts in memory. ``prior``: share of the toxic class where the model is to be used.
 
@@ -129,9 +142,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, settings: Settings)
     if len(set(labels.tolist())) < 2:
         logit = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
         return Model(settings, embeddings, np.zeros_like(softmax), np.array([0, logit]), prior)
-    ids, stretch, rows = features(pa.array(texts, pa.string()), settings)
-    bounds = np.searchsorted(stretch, np.arange(len(rows) + 1))  # n-grams of each stretch
-    of_text = np.searchsorted(rows, np.arange(len(texts) + 1))  # stretches of each text
+    ids, bounds, of_text = _bags(texts, settings)
     usable = np.flatnonzero(np.diff(of_text) > 0)
     weight = np.where(labels == 1, prior / labels.mean(), (1 - prior) / (1 - labels.mean()))
     seen_e, seen_w, seen_b = (np.full(x.shape, 1e-6) for x in (embeddings, softmax, bias))
