@@ -19,13 +19,17 @@ KINDS = ("assign", "access", "hex", "example", "live")
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, rank, kind, end, value): start and end in code points, by the texts between the matches."""
+    """Array of (start, rank, kind, end, value): start and end in code points, by the texts between the matches.
+
+    Most texts hold no match; one search tells them, and only the others are cut up.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern if group == 1 else f"({pattern})"), F.lit(1))
     value = whole if group == 1 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     lengths = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("hit"), value.alias("value")),
                           lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), x["value"].alias("value")))
     rank = KINDS.index(kind) if kind in KINDS else len(KINDS)
-    seen = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>").alias("found"))
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
+    seen = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
     def step(acc, x):
         start = acc["at"] + x["gap"]
@@ -34,7 +38,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         found = F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"])
         return F.struct(end.alias("at"), found.alias("found"))
 
-    return F.aggregate(lengths, seen, step, lambda acc: acc["found"])
+    return F.when(text.rlike(pattern), F.aggregate(lengths, seen, step, lambda acc: acc["found"])).otherwise(none)
 
 
 def candidates(documents: DataFrame, text: str = "text") -> DataFrame:
