@@ -122,7 +122,8 @@ def replace_entities(documents: DataFrame, key: str, text: str = "text", salts:
     """
     id_ = documents.columns[0] if "doc_id" not in documents.columns else "doc_id"
     tie = F.xxhash64(F.col(text))
-    found = stored(documents.select(F.col(id_).alias("_id"), tie.alias("_tie"), hits(F.col(text)).alias("hits")).where("size(hits) > 0").dropDuplicates(["_id", "_tie"]))
+    rows = stored(documents.withColumn("_hits", hits(F.col(text))))  # the search costs more than one copy of the texts
+    found = stored(rows.where("size(_hits) > 0").select(F.col(id_).alias("_id"), tie.alias("_tie"), F.col("_hits").alias("hits")).dropDuplicates(["_id", "_tie"]))
     each = (found.select("_id", "_tie", F.posexplode("hits").alias("at", "hit")).select("_id", "_tie", "at", F.posexplode(parts_of(F.col("hit"))).alias("i", "p"))
             .select("_id", "_tie", "at", "i", "p.*"))
     surrogates = (assign(stored(each.select("kind", "core").distinct()), key)
@@ -130,11 +131,10 @@ def replace_entities(documents: DataFrame, key: str, text: str = "text", salts:
     made = (each.withColumn("salt", F.pmod("_tie", F.lit(salts)).cast("int")).join(surrogates, ["kind", "core", "salt"])
             .select("_id", "_tie", "at", "i", F.concat("before", _pour(F.col("raw"), F.col("surrogate"), F.col("kind"))).alias("now"))
             .groupBy("_id", "_tie").agg(F.array_sort(F.collect_list(F.struct("at", "i", "now"))).alias("now")))
-    rows = documents.withColumn("_has", F.coalesce(F.col(text).rlike(ANY), F.lit(False)))
-    clean = rows.where("not _has").drop("_has").withColumn("n_entities", F.lit(0).cast("long"))
+    clean = rows.where("size(_hits) = 0").drop("_hits").withColumn("n_entities", F.lit(0).cast("long"))
     gaps = F.split(F.col(text), ANY, -1)
     hit = lambda i: F.array_join(F.transform(F.filter("now", lambda x: x["at"] == i), lambda x: x["now"]), "")
-    done = (rows.where("_has").drop("_has").join(made, F.col(id_).eqNullSafe(F.col("_id")) & (tie == F.col("_tie")))
+    done = (rows.where("size(_hits) > 0").drop("_hits").join(made, F.col(id_).eqNullSafe(F.col("_id")) & (tie == F.col("_tie")))
             .withColumn("_text", F.array_join(F.transform(gaps, lambda g, i: F.concat(g, hit(i))), ""))
             .withColumn("n_entities", (F.size(gaps) - 1).cast("long")))
     changed = done.select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in documents.columns], "n_entities")
