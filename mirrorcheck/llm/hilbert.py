@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -64,14 +64,53 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _nearest_of(classes: DataFrame, asked: pa.Table, dim: int, k: int) -> DataFrame:
+    """The ``k`` nearest classes (q, c) of each row of ``asked`` (cid, v), by brute force over all classes."""
+    shared = classes.sparkSession.sparkContext.broadcast((asked.column("cid").to_numpy(), _unit(asked.column("v").combine_chunks(), dim)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        best, at = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                cid = batch.column("cid").to_numpy()
+                score = x @ _unit(batch.column("v"), dim).T
+                score[ids[:, None] == cid[None, :]] = -np.inf
+                score, cid = np.concatenate([best, score], axis=1), np.concatenate([at, np.broadcast_to(cid, score.shape)], axis=1)
+                top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                best, at = np.take_along_axis(score, top, 1), np.take_along_axis(cid, top, 1)
+        q, there = np.repeat(ids, k), np.isfinite(best.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(q[there]), pa.array(at.ravel()[there]), pa.array(best.ravel()[there])], ["q", "c", "score"])
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    return classes.select("cid", "v").mapInArrow(run, "q long, c long, score double").withColumn("i", F.row_number().over(best)).where(F.col("i") <= k).select("q", "c")
+
+
+def _reach_for(classes: DataFrame, place: DataFrame, dim: int, k: int, target: float, checked: int) -> int:
+    """How many rows on each side of a query hold ``target`` of the true neighbours of ``checked`` queries (all, if fewer) on one of the curves."""
+    asked = classes.where("asked").orderBy(F.xxhash64("cid", F.lit("reach"))).limit(checked).select("cid", "v").toArrow()
+    if not asked.num_rows:
+        return 0
+    pairs = stored(_nearest_of(classes, asked, dim, k))  # at most k rows a query
+    ends = pairs.select(F.col("q").alias("cid")).union(pairs.select("c")).distinct()
+    stands = stored(place.join(F.broadcast(ends), "cid").select("cid", "curve", "place"))
+    of = lambda name: F.broadcast(stands).select(F.col("cid").alias(name), "curve", F.col("place").alias(f"{name}_place"))
+    apart = (pairs.join(of("q"), "q").join(of("c"), ["c", "curve"]).groupBy("q", "c").agg(F.min(F.abs(F.col("q_place") - F.col("c_place"))).alias("apart"))
+             .select("apart").toArrow().column("apart").to_numpy())
+    return int(np.sort(apart)[math.ceil(target * len(apart)) - 1]) if len(apart) else 0
+
+
 def neighbours(embeddings: DataFrame, asked, k: int = 5, key: str = "vec_id", vector: str = "embedding", curves: int = 32, axes: int = 8,
-               width: float = 4.0, block: int = 4096, seed: int = 11, sample: int = 20_000) -> DataFrame:
+               width: float = 4.0, block: int = 4096, seed: int = 11, sample: int = 20_000, recall: float = 0.95, checked: int = 256) -> DataFrame:
     """The ``k`` nearest rows by cosine, as found, of every row for which the condition ``asked`` holds.
 
     Rows come back as (query_id, rank from 1, vec_id, score); score is the cosine in double precision. Each curve
     orders all vectors by the Hilbert key of its own ``axes`` directions on a shifted grid; a query is compared with
-    the ``width`` * sqrt(vectors) rows before and after it on every curve, and the best of all curves are ranked
-    again. Keys alone are sorted and numbered; vectors then travel once per curve, in blocks of that order, and a
+    the rows before and after it on every curve, and the best of all curves are ranked again. How many rows: at least
+    ``width`` * sqrt(vectors), and as many more as it takes to find the share ``recall`` of the true neighbours of
+    ``checked`` of the queries, which are looked up by brute force over all rows; so recall doesn't fall as the table
+    grows. Keys alone are sorted and numbered; vectors then travel once per curve, in blocks of that order, and a
     query visits each block that its window touches, so the edges of partitions lose nothing.
 
     Null and zero vectors, those with a null or non-finite component and those whose length isn't the commonest take
@@ -89,8 +128,6 @@ def neighbours(embeddings: DataFrame, asked, k: int = 5, key: str = "vec_id", ve
         return spark.createDataFrame([], out)
     dim = lengths[0]["n"]
     rows = rows.where(F.size("v") == dim)
-    from pyspark.sql import Window
-
     least = Window.partitionBy("one", "two").orderBy(F.col("vec_id").asc_nulls_last())
     firsts = (rows.select("one", "two", "vec_id", "v").withColumn("i", F.row_number().over(least)).where(F.col("i") <= k + 1)
               .groupBy("one", "two").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
@@ -98,7 +135,6 @@ def neighbours(embeddings: DataFrame, asked, k: int = 5, key: str = "vec_id", ve
     classes = stored(firsts.join(queries.select("one", "two").distinct().withColumn("asked", F.lit(True)), ["one", "two"], "left")
                      .withColumn("asked", F.col("asked").isNotNull()).withColumn("cid", F.monotonically_increasing_id()))
     n = classes.count()
-    reach = max(64, math.ceil(width * math.sqrt(n)))
     axes = max(1, min(axes, dim))
     shared = spark.sparkContext.broadcast(_frame(classes, dim, curves, axes, seed, sample))
     bits = max(1, min(6, 60 // axes))
@@ -127,6 +163,8 @@ def neighbours(embeddings: DataFrame, asked, k: int = 5, key: str = "vec_id", ve
     numbered = stored(sorted_keys.mapInArrow(number, "curve int, cid long, asked boolean, part int, at long"))
     before = numbered.groupBy("part").count().withColumn("off", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "off")
     place = numbered.join(before, "part").withColumn("place", F.col("off") + F.col("at"))
+    reach = max(64, math.ceil(width * math.sqrt(n)), _reach_for(classes, place, dim, k, recall, checked))
+    block = max(block, min(reach, 16 * block))  # a wide window touches few blocks
     low = F.greatest(F.col("place") - reach, F.col("curve").cast("long") * n)
     high = F.least(F.col("place") + reach, (F.col("curve") + 1).cast("long") * n - 1)
     visit = F.when(F.col("asked"), F.sequence(F.floor(low / block), F.floor(high / block)))

@@ -214,6 +214,17 @@ def test_neighbours_against_brute_force(spark):
     assert hilbert.neighbours(frame.where("vec_id in (1, 2, 100, 101)"), F.col("vec_id") == 100).count() == 3
 
 
+def test_recall_holds_where_the_window_is_narrow(spark):
+    x = np.random.default_rng(9).normal(size=(6000, 48))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in hilbert.neighbours(frame, F.col("vec_id") % 50 == 0, curves=4, width=0.5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = {q: set(np.argsort(-(unit @ unit[q]))[1:6].tolist()) for q in range(0, 6000, 50)}
+    assert sum(len(got.get(q, set()) & b) for q, b in best.items()) >= 0.95 * 5 * len(best)
+
+
 def test_hilbert_curve_takes_unit_steps():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = np.argsort(hilbert.hilbert_keys(cells, 3))
