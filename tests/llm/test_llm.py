@@ -249,6 +249,15 @@ def test_ownership_parts_examples_from_live_strings(spark):
     assert "example:4:24" in spans[0] and "live:5:25" in spans[3] and "access:5:25" in spans[3]
 
 
+def test_wrapped_headers_are_found(spark):
+    gpl = ("# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General\n"
+           "# Public License as published by the Free\n# Software Foundation")
+    mit = "x = 1\n/* Permission is hereby granted, free of charge,\n * to any person obtaining a copy\n *\n * of this software and associated documentation\n * files (the \"Software\") */"
+    apart = "Permission is hereby granted\n" + "other words stand here\n" * 20 + "free of charge to any person obtaining a copy of this software"
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_table(docs(spark, [gpl, mit, apart, "Released under\nthe MIT\nLicense"])).collect()}
+    assert "gpl-header" in got[0][0] and got[1] == ("mit-header", 1.0) and got[2] == ("", 0.0) and "mit-notice" in got[3][0]
+
+
 def test_pipeline_keeps_columns(spark):
     import corpus_pipeline
 
