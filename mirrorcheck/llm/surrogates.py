@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def parts_of(hit: Column) -> Column:
 
 
 def draw(key: str, kind: Column, core: Column, turn: Column) -> Column:
-    """The surrogate core of an entity at its ``turn``-th draw; the same key, entity and turn always give the same."""
+    """The surrogate core of an entity at its ``turn``-th draw; the same key, entity and turn always give the same. Names get a syllable more with every four turns."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), kind, core, turn.cast("string")), 512)
     chars = F.split(core, "")
     digit = lambda i, n=10: _at(digest, i, n).cast("string")
@@ -75,7 +77,7 @@ def draw(key: str, kind: Column, core: Column, turn: Column) -> Column:
     def name(script: str) -> Column:
         sounds = F.array(*[F.lit(s) for s in SYLLABLES[script]])
         n = len(SYLLABLES[script])
-        made = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.element_at(sounds, _at(digest, i, n) + 1)), "")
+        made = F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(2) + F.floor(turn / 4).cast("int"), F.lit(31))), lambda i: F.element_at(sounds, _at(digest, i, n) + 1)), "")
         ending = F.coalesce(*[F.when(kind == k, F.lit(e)) for k, e in ENDINGS[script].items()])
         return F.concat(made, ending)
 
@@ -87,11 +89,12 @@ def assign(entities: DataFrame, key: str, most_turns: int = 24) -> DataFrame:
     """A surrogate for each distinct (kind, core): no two of a kind share one, and none is itself a core that stands in the texts.
 
     All entities draw; of those that drew the same, one keeps it, and the others, with those that hit a real core or a
-    surrogate given before, draw again. An entity without luck in ``most_turns`` draws gets a tag with a digest.
+    surrogate given before, draw again. Names, which grow with the turns, draw until all have one; any other entity without luck in ``most_turns``
+    draws, whose form has no free value left, gets a tag with a digest.
     """
     left, given = entities, None
     real = entities.select("kind", F.col("core").alias("surrogate"))
-    for turn in range(most_turns):
+    for turn in count():
         drawn = left.select("kind", "core", draw(key, F.col("kind"), F.col("core"), F.lit(turn)).alias("surrogate"))
         free = drawn.join(real if given is None else real.unionAll(given.select("kind", "surrogate")), ["kind", "surrogate"], "left_anti")
         won = stored(free.groupBy("kind", "surrogate").agg(F.min("core").alias("core")).select("kind", "core", "surrogate"))
@@ -99,7 +102,13 @@ def assign(entities: DataFrame, key: str, most_turns: int = 24) -> DataFrame:
         left = stored(left.join(won.select("kind", "core"), ["kind", "core"], "left_anti"))
         if left.isEmpty():
             return given
-    return given.unionAll(left.select("kind", "core", F.concat(F.lit("["), "kind", F.lit("-"), F.left(F.sha2(F.concat_ws("|", F.lit(key), "kind", "core"), 256), F.lit(16)), F.lit("]")).alias("surrogate")))
+        if turn == most_turns - 1:
+            named = F.col("kind").isin(*ENDINGS["latin"])
+            tag = F.concat(F.lit("["), "kind", F.lit("-"), F.left(F.sha2(F.concat_ws("|", F.lit(key), "kind", "core"), 256), F.lit(16)), F.lit("]"))
+            given = given.unionAll(left.where(~named).select("kind", "core", tag.alias("surrogate")))
+            left = stored(left.where(named))
+            if left.isEmpty():
+                return given
 
 
 def _pour(raw: Column, surrogate: Column, kind: Column) -> Column:

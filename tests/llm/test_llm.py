@@ -120,6 +120,12 @@ def test_collisions_are_drawn_again(spark):
     assert len(out) == len({r["surrogate"] for r in out}) == 101 and not {r["surrogate"] for r in out} & {r["core"] for r in out}
 
 
+def test_names_do_not_run_out(spark):
+    many = spark.range(25_000).select(F.lit("family").alias("kind"), F.concat(F.lit("ω"), F.translate(F.col("id").cast("string"), "0123456789", "αβγδεζηθικ")).alias("core"))
+    out = surrogates.assign(many, "k").agg(F.count("*").alias("n"), F.countDistinct("surrogate").alias("d"), F.sum(F.col("surrogate").startswith("[").cast("int")).alias("tags")).first()
+    assert (out["n"], out["d"], out["tags"]) == (25_000, 25_000, 0)
+
+
 def test_mixture_meets_its_target(spark):
     tokens = np.array([1000.0, 100.0, 10.0, 0.0])
     for repeats in (1.0, 1.5, 4.0):
