@@ -13,15 +13,18 @@ from .common import stored
 MALE = ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Signor", "Господин", "г-н", "Κύριος")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Signora", "Госпожа", "г-жа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
+TITLES = "|".join((*MALE, *FEMALE, *NEUTRAL))
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+# Small words inside a name, which stay as they are.
+_PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|do|dos|das|du|la|le|zu|zur|bin|ibn|al|el|ter|ten|af|av|y|e) )*"
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"),
-    ("phone", r"(?<![0-9+])\+?[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    ("phone", r"(?<![0-9+])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9+.-])(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("name", rf"(?<![\p{{L}}])(?:{'|'.join((*MALE, *FEMALE, *NEUTRAL))})\.? {_NAME}(?: {_NAME})?"),
+    ("name", rf"(?<![\p{{L}}])(?:{TITLES})\.? {_PARTICLES}{_NAME}(?: {_PARTICLES}{_NAME})*"),
 )
 ANY = "(" + "|".join(p for _, p in PATTERNS) + ")"
 # Syllables of made-up names by script, and endings by gender.
@@ -38,23 +41,44 @@ def _at(digest: Column, i: Column, n: int) -> Column:
     return F.conv(F.substr(digest, (F.pmod(i, F.lit(32)) * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int") % n
 
 
-def hits(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(1))
+def hits(text: Column, pattern: Column | None = None) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY) if pattern is None else pattern, F.lit(1))
 
 
-def parts_of(hit: Column) -> Column:
-    """The parts of a hit that stand for an entity: kind, core (what makes it the same entity), before and raw."""
+def names_in(found: Column) -> Column:
+    """The name words of the hits of one text: an array of kind, core and raw."""
+    titled = F.filter(found, lambda h: h.rlike(rf"^(?:{TITLES})\.? "))
+    return F.array_distinct(F.transform(F.flatten(F.transform(titled, lambda h: parts_of(h))), lambda x: F.struct(x["kind"].alias("kind"), x["core"].alias("core"), x["raw"].alias("raw"))))
+
+
+def pattern_with(names: Column) -> Column:
+    """The pattern of all entities and of the given names where they stand alone; names hold letters, ' and - only."""
+    raw = F.transform(names, lambda x: x["raw"])
+    forms = F.array_distinct(F.concat(raw, F.transform(raw, lambda r: F.initcap(r)), F.transform(raw, lambda r: F.upper(r))))
+    longest_first = F.array_join(F.reverse(F.array_sort(forms)), "|")
+    return F.when(F.size(names) > 0, F.concat(F.lit(ANY[:-1] + r"|(?<![\p{L}])(?:"), longest_first, F.lit(r")(?![\p{L}]))"))).otherwise(F.lit(ANY))
+
+
+def parts_of(hit: Column, known: Column | None = None) -> Column:
+    """The parts of a hit that stand for an entity: kind, core (what makes it the same entity), before and raw.
+
+    ``known``: the names of the same text; a hit without a title is one of them.
+    """
 
     def part(kind: Column, core: Column, before: Column, raw: Column) -> Column:
         return F.struct(kind.alias("kind"), core.alias("core"), before.alias("before"), raw.alias("raw"))
 
-    title = F.regexp_extract(hit, rf"^({'|'.join((*MALE, *FEMALE, *NEUTRAL))})\.? ", 0)
+    title = F.regexp_extract(hit, rf"^({TITLES})\.? ", 0)
     bare = F.regexp_replace(title, r"\.? $", "")
     given = F.when(bare.isin(*MALE), F.lit("given_m")).when(bare.isin(*FEMALE), F.lit("given_f")).otherwise(F.lit("given_u"))
-    names = F.split(F.substr(hit, F.length(title) + 1), " ")
-    first, last = F.element_at(names, 1), F.element_at(names, -1)
-    named = F.when(F.size(names) > 1, F.array(part(given, F.lower(first), title, first), part(F.lit("family"), F.lower(last), F.lit(" "), last))).otherwise(
-        F.array(part(F.lit("family"), F.lower(last), title, last)))
+    rest = F.substr(hit, F.length(title) + 1)
+    pattern = F.lit(rf"((?:^| ){_PARTICLES})({_NAME})")
+    words, befores = F.regexp_extract_all(rest, pattern, F.lit(2)), F.regexp_extract_all(rest, pattern, F.lit(1))
+    named = F.transform(words, lambda w, i: part(F.when(i == F.size(words) - 1, F.lit("family")).otherwise(given), F.lower(w),
+                                                 F.concat(F.when(i == 0, title).otherwise(F.lit("")), F.element_at(befores, i + 1)), w))
+    if known is not None:
+        same = F.element_at(F.filter(known, lambda x: x["core"] == F.lower(hit)), 1)
+        named = F.when(title == "", F.array(part(same["kind"], F.lower(hit), F.lit(""), hit))).otherwise(named)
     kind = F.coalesce(*[F.when(hit.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS if k != "name"])
     plain = F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(hit, "[^0-9]", "")).when(kind == "iban", F.regexp_replace(hit, " ", "")).otherwise(F.lower(hit))
     return F.when(kind.isNull(), named).otherwise(F.array(part(kind, plain, F.lit(""), hit)))
@@ -131,19 +155,22 @@ def replace_entities(documents: DataFrame, key: str, text: str = "text", salts:
     """
     id_ = documents.columns[0] if "doc_id" not in documents.columns else "doc_id"
     tie = F.xxhash64(F.col(text))
-    rows = stored(documents.withColumn("_hits", hits(F.col(text))))  # the search costs more than one copy of the texts
-    found = stored(rows.where("size(_hits) > 0").select(F.col(id_).alias("_id"), tie.alias("_tie"), F.col("_hits").alias("hits")).dropDuplicates(["_id", "_tie"]))
-    each = (found.select("_id", "_tie", F.posexplode("hits").alias("at", "hit")).select("_id", "_tie", "at", F.posexplode(parts_of(F.col("hit"))).alias("i", "p"))
+    once = stored(documents.withColumn("_hits", hits(F.col(text))))  # the search costs more than one copy of the texts
+    named = once.where("size(_hits) > 0").withColumn("_names", names_in(F.col("_hits")))
+    # names are looked for again, without titles, in the texts that hold them
+    rows = stored(named.withColumn("_hits", F.when(F.size("_names") > 0, hits(F.col(text), pattern_with(F.col("_names")))).otherwise(F.col("_hits"))))
+    found = stored(rows.select(F.col(id_).alias("_id"), tie.alias("_tie"), F.col("_hits").alias("hits"), F.col("_names").alias("names")).dropDuplicates(["_id", "_tie"]))
+    each = (found.select("_id", "_tie", "names", F.posexplode("hits").alias("at", "hit")).select("_id", "_tie", "at", F.posexplode(parts_of(F.col("hit"), F.col("names"))).alias("i", "p"))
             .select("_id", "_tie", "at", "i", "p.*"))
     surrogates = (assign(stored(each.select("kind", "core").distinct()), key)
                   .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
     made = (each.withColumn("salt", F.pmod("_tie", F.lit(salts)).cast("int")).join(surrogates, ["kind", "core", "salt"])
             .select("_id", "_tie", "at", "i", F.concat("before", _pour(F.col("raw"), F.col("surrogate"), F.col("kind"))).alias("now"))
             .groupBy("_id", "_tie").agg(F.array_sort(F.collect_list(F.struct("at", "i", "now"))).alias("now")))
-    clean = rows.where("size(_hits) = 0").drop("_hits").withColumn("n_entities", F.lit(0).cast("long"))
-    gaps = F.split(F.col(text), ANY, -1)
+    clean = once.where("size(_hits) = 0").drop("_hits").withColumn("n_entities", F.lit(0).cast("long"))
+    gaps = F.split(F.col(text), pattern_with(F.col("_names")), -1)
     hit = lambda i: F.array_join(F.transform(F.filter("now", lambda x: x["at"] == i), lambda x: x["now"]), "")
-    done = (rows.where("size(_hits) > 0").drop("_hits").join(made, F.col(id_).eqNullSafe(F.col("_id")) & (tie == F.col("_tie")))
+    done = (rows.drop("_hits").join(made, F.col(id_).eqNullSafe(F.col("_id")) & (tie == F.col("_tie")))
             .withColumn("_text", F.array_join(F.transform(gaps, lambda g, i: F.concat(g, hit(i))), ""))
             .withColumn("n_entities", (F.size(gaps) - 1).cast("long")))
     changed = done.select(*[F.col("_text").alias(text) if c == text else F.col(c) for c in documents.columns], "n_entities")

@@ -120,6 +120,16 @@ def test_collisions_are_drawn_again(spark):
     assert len(out) == len({r["surrogate"] for r in out}) == 101 and not {r["surrogate"] for r in out} & {r["core"] for r in out}
 
 
+def test_whole_names_and_later_mentions(spark):
+    texts = ["Dr Anna Maria Lopez came. Later Anna Lopez left; Lopez said (377) 555-0271, LOPEZ agreed.", "Herr Jan van der Berg and Mr Berg; Bergen stays.", "Lopez is not named here."]
+    got = [r["text"] for r in surrogates.replace_entities(docs(spark, texts).select("doc_id", "text"), "k").orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Dr (\w+) (\w+) (\w+) came. Later (\w+) (\w+) left; (\w+) said (\(\d{3}\) \d{3}-\d{4}), (\w+) agreed.", got[0])
+    assert a and a[1] == a[4] and a[3] == a[5] == a[6] and a[8] == a[3].upper() and len({a[1], a[2], a[3]}) == 3 and a[7] != "(377) 555-0271"
+    assert not re.search("Anna|Maria|Lopez|LOPEZ", got[0])
+    b = re.fullmatch(r"Herr (\w+) van der (\w+) and Mr (\w+); Bergen stays.", got[1])
+    assert b and b[2] == b[3] != "Berg" and b[1] != "Jan" and got[2] == texts[2]
+
+
 def test_names_do_not_run_out(spark):
     many = spark.range(25_000).select(F.lit("family").alias("kind"), F.concat(F.lit("ω"), F.translate(F.col("id").cast("string"), "0123456789", "αβγδεζηθικ")).alias("core"))
     out = surrogates.assign(many, "k").agg(F.count("*").alias("n"), F.countDistinct("surrogate").alias("d"), F.sum(F.col("surrogate").startswith("[").cast("int")).alias("tags")).first()
