@@ -194,11 +194,19 @@ def _match(segments: DataFrame, shared, n_terms: int, slack: int, item_type: T.D
 
 def contamination_table(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: words, hit words, items and whether it is contaminated."""
-    rows = find_matches(documents, benchmark, slack=0)
+    return _table(find_matches(documents, benchmark, slack=0))
+
+
+def _table(rows: DataFrame, *more: str) -> DataFrame:
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return rows.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
-                       (F.size("hits") > 0).alias("contaminated"))
+                       (F.size("hits") > 0).alias("contaminated"), *more)
+
+
+def near_table(documents: DataFrame, benchmark: DataFrame, slack: int = 2) -> DataFrame:
+    """The rows of ``contamination_table`` with near_items: ids of items of which a window stands with each word at most ``slack`` places off."""
+    return _table(find_matches(documents, benchmark, slack=slack), "near_items")
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import sql
 from .common import table
-from .decontaminate import contamination_table
+from .decontaminate import contamination_table, near_table
 from .hilbert import neighbour_table
 from .jaccard import component_table
 from .licenses import license_table
@@ -27,6 +27,7 @@ def tokenizer_path() -> str:
 QUERIES = {
     "op1_token_blocks": lambda spark, sf_dir: token_table(table(spark, sf_dir, "documents"), tokenizer_path()),
     "op2_positional_index": lambda spark, sf_dir: contamination_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op2_positional_index_near": lambda spark, sf_dir: near_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op3_surrogates": lambda spark, sf_dir: surrogate_table(table(spark, sf_dir, "documents")),
     "op4_temperature_mixing": lambda spark, sf_dir: mix_table(table(spark, sf_dir, "documents")),
     "op5_subword_softmax": lambda spark, sf_dir: toxicity_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),

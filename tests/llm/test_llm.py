@@ -101,6 +101,15 @@ def test_near_and_exact_phrases(spark):
     assert many == {i: (r["hits"], r["items"]) for i, r in found.items()}
 
 
+def test_near_query_has_the_exact_columns_too(spark):
+    exact, near = (queries.QUERIES[q](spark, SF) for q in ("op2_positional_index", "op2_positional_index_near"))
+    rows = near.collect()
+    assert sorted(map(str, exact.collect())) == sorted(str(r) for r in near.drop("near_items").collect())
+    assert all(len(r["near_items"]) >= r["n_items"] for r in rows)
+    bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    assert decontaminate.near_table(docs(spark, ["a b q c d"]), bench).first()["near_items"] == [1]
+
+
 def test_surrogates_are_distinct_and_the_same_everywhere(spark):
     texts = [f"Mr. John Smith{i % 3 * 'e'} wrote from 10.0.{i % 256}.7 and +1 (017) 555-{7000 + i}; MRS. Mary Jones." for i in range(300)]
     rows = [r["text"] for r in surrogates.replace_entities(docs(spark, texts).select("doc_id", "text"), "k").orderBy("doc_id").collect()]
