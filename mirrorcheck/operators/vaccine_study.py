@@ -211,8 +211,11 @@ def study_estimates(analysis: DataFrame, level: float = 0.95, profile: bool = Fa
 
 
 def compare_studies(orig: DataFrame, new: DataFrame, **kw) -> DataFrame:
-    """The study on both data sets; an empty new side gives only the original rows."""
-    out = study_estimates(orig, **kw).withColumn("dataset", F.lit("Original"))
-    if not new.isEmpty():
-        out = out.unionByName(study_estimates(new, **kw).withColumn("dataset", F.lit("Synthetic")))
-    return out
+    """The study on both data sets; an empty new side gives the original rows with null figures."""
+    first = study_estimates(orig, **kw)
+    if new.isEmpty():
+        names = first.columns[0]
+        second = first.select(names, *[F.lit(None).cast(t).alias(c) for c, t in first.dtypes if c != names])
+    else:
+        second = study_estimates(new, **kw)
+    return first.withColumn("dataset", F.lit("Original")).unionByName(second.withColumn("dataset", F.lit("Synthetic")))

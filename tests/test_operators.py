@@ -359,3 +359,12 @@ def test_deaths_without_extraction_dates(spark):
     deaths = patient_deaths(death, members, persons, visits, "2018-01-01")
     assert {r["person_id"]: str(r["date"]) for r in deaths.collect()} == {1: "2020-05-01", 2: "None", 3: "2021-01-04"}
     assert fact_days(visits, [], deaths, "2018-01-01").count() == 3
+
+
+def test_empty_synthetic_side_keeps_null_rows(spark, monkeypatch):
+    from mirrorcheck.operators import vaccine_study as study
+
+    monkeypatch.setattr(study, "study_estimates", lambda df, **kw: spark.createDataFrame([("Odds Ratio", 0.5, 0.1, 0.3, 0.7)], study.ESTIMATES))
+    orig = spark.range(3)
+    rows = [tuple(r) for r in study.compare_studies(orig, orig.where("false")).orderBy("dataset").collect()]
+    assert rows == [("Odds Ratio", 0.5, 0.1, 0.3, 0.7, "Original"), ("Odds Ratio", None, None, None, None, "Synthetic")]
