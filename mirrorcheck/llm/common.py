@@ -84,6 +84,24 @@ def running_sums(df: DataFrame, group: str, uniform_hex: str, value: Column, out
             .drop("_g", "_r", "_range", "_value", "_before"))
 
 
+def in_order(df: DataFrame, order: Sequence[Column], out: str, group: Column | None = None) -> DataFrame:
+    """Number the rows from 0 in an order, or those of each ``group``, whose values must lead that order.
+
+    Spark sorts by ranges and numbers each partition by itself; then each gets what stands before it. ``_n`` is how many
+    rows the group has. What is joined has a row per partition and group in it.
+    """
+    own = F.lit(0) if group is None else group
+    rows = stored(df.withColumn("_group", own).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    runs = rows.groupBy("_group", part.alias("_part")).agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_rows").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = (runs.withColumn("_before", before).withColumn("_n", F.sum("_rows").over(whole))
+            .select(F.col("_group").alias("_g"), F.col("_part").alias("_p"), (F.col("_before") - F.col("_first")).alias("_move"), "_n"))
+    return (rows.join(runs, F.col("_group").eqNullSafe(F.col("_g")) & (part == F.col("_p")))
+            .withColumn(out, F.col("_at") + F.col("_move")).drop("_group", "_at", "_g", "_p", "_move"))
+
+
 #: Keys up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 

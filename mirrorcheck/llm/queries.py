@@ -6,9 +6,12 @@ from . import sql
 from .common import table
 from .decontaminate import contamination_table, near_table
 from .hilbert import neighbour_table
+from .hyperplanes import near_vector_table
 from .jaccard import component_table
 from .licenses import license_table
+from .merkle import manifest_table
 from .mixing import mix_table
+from .resampling import resampling_table
 from .secrets import secret_table
 from .sharding import shard_table
 from .surrogates import surrogate_table
@@ -36,6 +39,9 @@ QUERIES = {
     "op8_secret_ownership": lambda spark, sf_dir: secret_table(table(spark, sf_dir, "documents")),
     "op9_rendezvous_shards": lambda spark, sf_dir: shard_table(table(spark, sf_dir, "documents")),
     "op10_license_blocks": lambda spark, sf_dir: license_table(table(spark, sf_dir, "documents")),
+    "op11_nested_intervals": lambda spark, sf_dir: manifest_table(table(spark, sf_dir, "documents")),
+    "op12_importance_resampling": lambda spark, sf_dir: resampling_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+    "op13_sign_hashing": lambda spark, sf_dir: near_vector_table(table(spark, sf_dir, "embeddings")),
 }
 
 SQL: dict[str, str] = {
@@ -44,4 +50,7 @@ SQL: dict[str, str] = {
     "op8_secret_ownership": sql.SECRETS,
     "op9_rendezvous_shards": sql.SHARDS,
     "op10_license_blocks": sql.LICENSES,
+    "op11_nested_intervals": sql.MANIFEST,
+    "op12_importance_resampling": sql.RESAMPLING,
+    "op13_sign_hashing": sql.NEAR_VECTORS,
 }

@@ -103,3 +103,61 @@ reach AS (SELECT r AS a, r AS b FROM n UNION SELECT reach.a, links.b FROM reach
 least AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id
 FROM d LEFT JOIN n USING (r) LEFT JOIN least ON a = d.r"""
+
+
+# CRC-32 in SQL: the table of the reversed polynomial, and a checksum over the bytes of a text
+CRC_TABLE = """(SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS e)"""
+
+
+def _crc(text: str) -> str:
+    digit = "instr('0123456789ABCDEF', substr(hex(encode({0})), CAST(2 * i + {1} AS BIGINT), 1)) - 1"
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: ({digit.format(text, 1)}) * 16 + {digit.format(text, 2)})"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], {octets}), lambda c, b: xor(c >> 8, e[(xor(c, b) & 255) + 1])))"
+
+
+def _said(*values: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}::VARCHAR)::VARCHAR || ':' || {v}::VARCHAR, '-')" for v in values) + ")"
+
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, lang, {_said("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    CASE WHEN {_crc("doc_id::VARCHAR")} % 7 = 0 THEN {_said("doc_id", "source", "lang", "(n_chars + 1)", "text")} END AS changed FROM documents, {CRC_TABLE}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+up(lang, lvl, i, n, h) AS (SELECT lang, 0, i, n, leaf FROM ranked
+  UNION ALL SELECT lang, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY lang, lvl, i // 2, n),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, i, n, h) AS (SELECT 0, i, n, subroot FROM subs
+  UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+low AS (SELECT r, k.lvl, (i >> k.lvl) % 2 = 0 AS after, lang, xor(i >> k.lvl, 1) AS want FROM ranked JOIN (SELECT DISTINCT lang AS l, lvl FROM up WHERE n > 1) k ON lang IS NOT DISTINCT FROM l),
+high AS (SELECT r, k.lvl, (s.i >> k.lvl) % 2 = 0 AS after, xor(s.i >> k.lvl, 1) AS want FROM ranked q JOIN subs s ON q.lang IS NOT DISTINCT FROM s.lang, (SELECT DISTINCT lvl FROM top WHERE n > 1) k),
+steps AS (SELECT r, low.lvl AS step, after, coalesce(h, '') AS h FROM low LEFT JOIN up ON up.lang IS NOT DISTINCT FROM low.lang AND up.lvl = low.lvl AND up.i = want
+  UNION ALL SELECT r, 1000 + high.lvl, after, coalesce(h, '') FROM high LEFT JOIN top ON top.lvl = high.lvl AND top.i = want),
+paths AS (SELECT r, list(struct_pack(h := h, after := after) ORDER BY step) AS p FROM steps GROUP BY r),
+folded AS (SELECT q.*, coalesce(p, []) AS p, list_reduce(list_concat([struct_pack(h := coalesce(changed, leaf), after := false)], coalesce(p, [])),
+  lambda a, s: struct_pack(h := CASE WHEN s.after THEN sha256(a.h || s.h) ELSE sha256(s.h || a.h) END, after := false)).h AS folded_root FROM ranked q LEFT JOIN paths USING (r))
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(coalesce(array_to_string(list_transform(p, lambda x: x.h), ''), '')) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM folded JOIN subs s ON folded.lang IS NOT DISTINCT FROM s.lang, (SELECT h FROM top WHERE n = 1) t"""
+
+RESAMPLING = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '{WORD}') AS w FROM documents),
+dw AS (SELECT r, unnest(w) AS w FROM d), bw AS (SELECT unnest(regexp_extract_all({LOWERED}, '{WORD}')) AS w FROM benchmark),
+hashed AS (SELECT w, {_crc("w")} % 10000 AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw), {CRC_TABLE}),
+raw AS (SELECT b, count(*) AS n FROM dw JOIN hashed USING (w) GROUP BY b), aim AS (SELECT b, count(*) AS n FROM bw JOIN hashed USING (w) GROUP BY b),
+totals AS (SELECT (SELECT count(*) FROM dw)::DOUBLE AS s, (SELECT count(*) FROM bw)::DOUBLE AS t),
+gains AS (SELECT raw.b, floor(1000 * ln((coalesce(aim.n, 0) + 1)::DOUBLE * (s + 10000) / ((raw.n + 1)::DOUBLE * (t + 10000)))) AS g FROM raw LEFT JOIN aim USING (b), totals),
+means AS (SELECT r, floor(sum(g) / count(*)) AS weight FROM dw JOIN hashed USING (w) JOIN gains USING (b) GROUP BY r),
+scores AS (SELECT doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN means USING (r)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS k, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= n * 10 // 100 THEN k END AS rank FROM ranked"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+able AS (SELECT r, v FROM d WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT x.r AS a, y.r AS b FROM able x JOIN able y ON x.r <> y.r AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.9),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(vec_id) AS component_id FROM reach JOIN d ON d.r = b GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN least ON least.a = r LEFT JOIN counts ON counts.a = r"""
