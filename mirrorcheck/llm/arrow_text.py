@@ -18,8 +18,8 @@ LOWER[65:91] += 32
 ALNUM = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 NOT_SPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 
-_SPAN = 1 << 20
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Key of the digests of words.
+_KEY = b"words"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,25 +32,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64) -> np.ndarray:
-    return np.cumprod(np.full(_SPAN, base, np.uint64), dtype=np.uint64)
-
-
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-
-def _tables(which: int):
-    if which not in _TABLES:
-        base = _BASES[which]
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        _TABLES[which] = mix(np.arange(1, 257, dtype=np.uint64) * base), _powers(base), _powers(inverse)
-    return _TABLES[which]
-
-
 def slices(batches: Iterator[pa.RecordBatch], text_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut to about ``text_bytes`` of the column ``text``, never within a row."""
+    return sliced(batches, "text", text_bytes)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, text_bytes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             base = sizes[start - 1] if start else 0
@@ -89,20 +78,19 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of each span of bytes: sums of byte value times power of a base, moved back to power 0."""
-    values, up, down = _tables(which)
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + _SPAN, "right")))
-        if int(ends[j - 1]) - base > _SPAN:  # a span longer than the tables
-            out[i] = int.from_bytes(hashlib.blake2b(data[base:int(ends[i])].tobytes(), digest_size=8, key=bytes([which])).digest(), "little")
-        else:
-            part = data[base:int(ends[j - 1])]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(values[part] * up[:len(part)], out=sums[1:])
-            s, e = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = mix((sums[e] - sums[s]) * down[np.minimum(s, _SPAN - 1)] + (e - s).astype(np.uint64))
-        i = j
-    return out
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A keyed 64-bit BLAKE2b digest of each span of bytes. Spans stand in order and don't overlap.
+
+    Arrow tells the distinct spans apart by their bytes, and each of those is hashed once.
+    """
+    sizes = ends - starts
+    some = sizes > 0
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts[some]] += 1
+    edge[ends[some]] -= 1
+    flat = data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+    digests = b"".join([hashlib.blake2b(x, digest_size=8, key=_KEY).digest() for x in spans.dictionary.to_pylist()])
+    return np.frombuffer(digests, "<u8")[spans.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.uint64)

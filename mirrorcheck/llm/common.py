@@ -39,6 +39,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, size: int = 4_000_000):
+    """Frames stored inside give Python batches of about so many bytes at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Frames stored inside give Python at most so many rows at a time, as each of them may be large."""
@@ -102,13 +114,22 @@ def in_order(df: DataFrame, order: Sequence[Column], out: str, group: Column | N
             .withColumn(out, F.col("_at") + F.col("_move")).drop("_group", "_at", "_g", "_p", "_move"))
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that the frame doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Keys up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
 def without(documents: DataFrame, tie: Column, keys: DataFrame) -> DataFrame:
     """Documents whose (doc_id, tie) is not among ``keys`` (columns doc_id and tie; null ids match null ids)."""
-    keys = stored(keys.distinct()).withColumnsRenamed({"doc_id": "_id", "tie": "_tie"})
+    id_, tie_ = fresh("_id", documents), fresh("_tie", documents)
+    keys = stored(keys.select(F.col("doc_id").alias(id_), F.col("tie").alias(tie_)).distinct())
     if keys.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    return documents.join(keys, documents["doc_id"].eqNullSafe(keys["_id"]) & (tie == keys["_tie"]), "left_anti")
+    return documents.join(keys, F.col("doc_id").eqNullSafe(F.col(id_)) & (tie == F.col(tie_)), "left_anti")

@@ -16,6 +16,7 @@ the others are exceptions, packed as 0. The block starts let a reader decode any
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -28,8 +29,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import as_bytes, hash_spans, slices
-from .common import scratch
+from .arrow_text import as_bytes, slices
+from .common import arrow_bytes, scratch
 
 MAGIC, HEAD, BLOCK_HEAD = b"PFR1", struct.Struct("<4sIQII"), struct.Struct("<IBH")
 BLOCK, SHARE, SEGMENT_IDS = 1024, 0.9, 1 << 18
@@ -105,15 +106,17 @@ def decode_segment(body: bytes, first: int = 0, last: int | None = None) -> np.n
 
 
 class PieceEncoder:
-    """Encodes texts with a byte-level tokenizer and keeps the ids of pieces seen before.
+    """Encodes texts with a tokenizer file; keeps the ids of pieces seen before if the file is a plain byte-level one.
 
-    Such a tokenizer never joins what stands before a single space between two non-spaces with what follows. Texts
-    are cut there, pieces are told apart by two 64-bit hashes, and each is encoded once while it stays in the
-    bounded store. Texts with other white space are encoded as they are.
+    A byte-level tokenizer that cuts texts by its own expression, changes nothing beforehand and joins nothing across
+    cuts never lets what stands before a single space between two non-spaces touch what follows. Texts are cut there
+    and each distinct piece is encoded once while it stays in the store, which compares whole pieces. The file is
+    asked whether it is of that kind; texts for which a shortcut doesn't hold (other white space, strings of special
+    tokens) and all texts of other files are encoded by the library as they are.
     """
 
     #: White space other than the space and the line feed.
-    RARE_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    RARE_SPACE = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
 
     # Fixed values of byte-level tokenizers: how a text of the first Unicode blocks is cut, and the character of each byte.
     _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -121,26 +124,36 @@ class PieceEncoder:
     SIMPLE = staticmethod(re.compile("[\n -~ªµº¡-¬®-ɏ]*").fullmatch)
     TAB = chr(256 + 9)  # no such text holds a tab
     _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    NAMES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))} | {1: " ", 2: f" {TAB} "}  # 1 and 2 part the parts and pieces
+    NAMES = np.arange(256, dtype="<u4")
+    NAMES[sorted(set(range(256)) - set(_SHOWN))] = 256 + np.arange(256 - len(_SHOWN))
+    NAMES[1] = 32  # parts are parted by byte 1, pieces by bytes 1 2 1
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 400_000, special_as_text: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.special = [] if special_as_text else [t["content"] for t in spec["added_tokens"] if t["special"]]
+        cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+        self.by_piece = (spec["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+                         and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix")
+                         and not model.get("end_of_word_suffix") and not model.get("ignore_merges") and all(t["special"] for t in spec["added_tokens"]))
         self.keep = keep
         self.by_part = Tokenizer(self.tokenizer.model)
         self.by_part.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.tab_id = self.tokenizer.token_to_id(self.TAB)
+        self.by_piece &= self.tab_id is not None
         self._empty()
 
     def _empty(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.n, self.second = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.uint64)
+        self.at, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _shrink(self) -> None:
         """Make room: only what was learnt first stays, as frequent pieces come early."""
@@ -157,61 +170,60 @@ class PieceEncoder:
         out: list = [None] * len(pieces)
         if simple:
             parts = self.PARTS.findall
-            shown = "\x02".join(["\x01".join(parts(pieces[i])) for i in simple]).encode().decode("latin-1").translate(self.NAMES)
+            flat = "\x01\t\x01".join(["\x01".join(parts(pieces[i])) for i in simple]).encode()
+            shown = self.NAMES[np.frombuffer(flat, np.uint8)].tobytes().decode("utf-32-le")
             ids = np.array(self.by_part.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(ids == self.tab_id)
             for i, a, b in zip(simple, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()):
                 out[i] = ids[a:b]
         return [self._ids(x) if y is None else y for x, y in zip(pieces, out)]
 
-    def _learn(self, keys: list[int], second: np.ndarray, pieces: list[str]) -> None:
-        made = self._encoded(pieces)
+    def _learn(self, pieces: list[bytes]) -> None:
+        made = self._encoded([p.decode() for p in pieces])
         n = np.array([len(x) for x in made], np.int64)
-        first, size, total = len(self.slots), len(self.slots) + len(keys), self.used + int(n.sum())
+        first, size, total = len(self.slots), len(self.slots) + len(pieces), self.used + int(n.sum())
         if size > len(self.at):
-            for name in ("at", "n", "second"):
+            for name in ("at", "n"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate((old, np.empty(max(size, 2 * len(old)) - len(old), old.dtype))))
         if total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.empty(max(total, 2 * len(self.pool)) - len(self.pool), np.uint32)))
         self.pool[self.used:total] = np.concatenate(made)
         self.at[first:size] = self.used + np.cumsum(n) - n
-        self.n[first:size], self.second[first:size], self.used = n, second, total
-        self.slots.update(zip(keys, range(first, size)))
+        self.n[first:size], self.used = n, total
+        self.slots.update(zip(pieces, range(first, size)))
+
+    def _plain(self, text: str) -> bool:
+        return bool(text) and not ("  " in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n"
+                                   or self.RARE_SPACE.search(text) or any(s in text for s in self.special))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a column, one text after the other, and how many each has; null is empty."""
         texts = [x or "" for x in column.to_pylist()]
-        plain = np.array([bool(x) and not ("  " in x or "\n " in x or " \n" in x or x[0] in " \n" or x[-1] in " \n"
-                                           or self.RARE_SPACE.search(x)) for x in texts], bool)
+        plain = np.array([self.by_piece and self._plain(x) for x in texts], bool)
         whole = {i: self._ids(texts[i]) for i in np.flatnonzero(~plain) if texts[i]}
         data, offsets = as_bytes(column)
-        begin = np.zeros(len(data), bool)
-        begin[offsets[:-1][np.diff(offsets) > 0]] = True
-        starts = np.flatnonzero(begin | (data == 32))
-        ends = np.append(starts[1:], len(data))
-        rows = np.searchsorted(offsets, starts, "right") - 1
-        if whole:
-            starts, ends, rows = (x[plain[rows]] for x in (starts, ends, rows))
+        if whole:  # only bytes of plain texts are cut
+            sizes = np.where(plain, np.diff(offsets), 0)
+            data, offsets = data[np.repeat(plain, np.diff(offsets))], np.append(0, np.cumsum(sizes))
         counts, ids = np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
-        if len(starts):
-            one, two = hash_spans(data, starts, ends, 0), hash_spans(data, starts, ends, 1)
-            keys, first, inverse = np.unique(one, return_index=True, return_inverse=True)
-            if len(self.slots) + len(keys) > self.keep:
+        if len(data):
+            begin = data == 32
+            begin[offsets[:-1][np.diff(offsets) > 0]] = True
+            starts = np.flatnonzero(begin)
+            at = pa.py_buffer(np.append(starts, len(data)))
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, at, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+            distinct = pieces.dictionary.to_pylist()
+            if len(self.slots) + len(distinct) > self.keep:
                 self._shrink()
-            listed = keys.tolist()
-            new = [i for i, k in enumerate(listed) if k not in self.slots]
+            new = [p for p in distinct if p not in self.slots]
             if new:
-                at = first[new]
-                self._learn([listed[i] for i in new], two[at], [data[a:b].tobytes().decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            slot = np.fromiter(map(self.slots.__getitem__, listed), np.int64, len(listed))[inverse]
-            if not (self.second[slot] == two).all():  # two pieces with one hash: encode these texts as they are
-                made = [self._ids(x) for x in texts]
-                return np.concatenate([*made, ids]), np.array([len(x) for x in made], np.int64)
+                self._learn(new)
+            slot = np.fromiter(map(self.slots.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
             n = self.n[slot]
-            ends_at = np.cumsum(n)
-            ids = self.pool[np.repeat(self.at[slot] - ends_at + n, n) + np.arange(int(ends_at[-1]))]
-            counts += np.bincount(rows, n, len(texts)).astype(np.int64)
+            ends = np.cumsum(n)
+            ids = self.pool[np.repeat(self.at[slot] - ends + n, n) + np.arange(int(ends[-1]))]
+            counts += np.bincount(np.searchsorted(offsets, starts, "right") - 1, n, len(texts)).astype(np.int64)
         if whole:
             places = np.append(0, np.cumsum(counts))
             parts, last = [], 0
@@ -222,28 +234,32 @@ class PieceEncoder:
         return ids, counts
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
-def encoder_for(path: str) -> PieceEncoder:
-    """One encoder for all tasks of a Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def encoder_for(path: str, special_as_text: bool = False) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker; another file takes its place."""
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = PieceEncoder(path, special_as_text=special_as_text)
+    return _ENCODERS[key]
 
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 2, segment_ids: int = SEGMENT_IDS,
-                 key: str = "doc_id", text: str = "text") -> None:
+                 key: str = "doc_id", text: str = "text", special_as_text: bool = False) -> None:
     """Encode every text, add ``end_id`` and write segments to ``path`` in ascending order of the key.
 
     Columns written: part, segment (its number in the part), n_ids, keys, body. Parts and segments follow the
     order of the keys; nulls come first and equal keys follow a hash of the text. Null and empty texts are the end id
-    alone. A segment ends with the document that brings it to ``segment_ids``.
+    alone. A segment ends with the document that brings it to ``segment_ids``. Strings of special tokens in a text become those
+    tokens, as the library does by default, unless ``special_as_text``. Texts of any length are encoded whole; equal rows
+    stand one after the other; no documents give no segment.
     """
     key_type = documents.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, number = encoder_for(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = encoder_for(tokenizer, special_as_text), TaskContext.get().partitionId(), 0
         keys: list = []
         held: list[np.ndarray] = []
         lengths: list[int] = []
@@ -278,7 +294,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_ids", T.LongType()),
                            T.StructField("keys", T.ArrayType(key_type)), T.StructField("body", T.BinaryType())])
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text)).alias("tie"))
-    (rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").mapInArrow(run, schema).write.mode("overwrite").parquet(path))
+    with arrow_bytes(documents.sparkSession):
+        rows.repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").mapInArrow(run, schema).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark, path: str, use: Callable[[np.ndarray], object] | None = None, kind: str = "array<long>", name: str = "ids") -> DataFrame:

@@ -16,6 +16,12 @@ SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _range string, row long, found string"
 
 
+def thue_morse(k):
+    """Two words of 2 ** k letters that hashes by polynomials modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+    return ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+
+
 def docs(spark, texts, ids=None):
     ids = range(len(texts)) if ids is None else ids
     return spark.createDataFrame([(i, t, "en", None if k % 5 == 4 else f"s{k % 3}", 0, "x", 1, "y") for k, (i, t) in enumerate(zip(ids, texts))], DOCS)
@@ -81,10 +87,10 @@ def test_tokens_equal_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(queries.tokenizer_path())
-    plain.encode_special_tokens = True
-    rows = {r["doc_id"]: r for r in docs(spark, ODD, range(len(ODD), 0, -1)).transform(lambda d: token_blocks.token_table(d, queries.tokenizer_path())).collect()}
+    texts = [*ODD, "a <|endoftext|> b <|endoftext|>", "x<|endoftext|>", *thue_morse(10)]
+    rows = {r["doc_id"]: r for r in docs(spark, texts, range(len(texts), 0, -1)).transform(lambda d: token_blocks.token_table(d, queries.tokenizer_path())).collect()}
     start = 0
-    for i, text in sorted(zip(range(len(ODD), 0, -1), ODD)):
+    for i, text in sorted(zip(range(len(texts), 0, -1), texts)):
         ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
         assert (rows[i]["start"], rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
@@ -101,6 +107,14 @@ def test_near_and_exact_phrases(spark):
     assert many == {i: (r["hits"], r["items"]) for i, r in found.items()}
 
 
+def test_words_that_polynomials_confuse(spark):
+    one, two = thue_morse(10)
+    rows = docs(spark, [f"{one} x y z", f"{two} x y z", two])
+    bench = spark.createDataFrame([(1, one)], "item_id long, text string")
+    assert [r["n_hit"] for r in decontaminate.contamination_table(rows, bench).orderBy("doc_id").collect()] == [1, 0, 0]
+    assert [r["component_id"] for r in jaccard.component_table(rows).orderBy("doc_id").collect()] == [0, 1, 2]
+
+
 def test_near_query_has_the_exact_columns_too(spark):
     exact, near = (queries.QUERIES[q](spark, SF) for q in ("op2_positional_index", "op2_positional_index_near"))
     rows = near.collect()
@@ -220,12 +234,15 @@ def test_neighbours_against_brute_force(spark):
     draw = np.random.default_rng(4)
     x = draw.normal(size=(900, 16))
     x[100:400] = x[0]
+    x[400:430] *= 1e200
+    x[430:460] *= 1e-200
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, [1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got: dict = {}
     for r in hilbert.neighbours(frame, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     hits = total = 0
     for q in range(0, 900, 20):
         score = np.round(unit @ unit[q], 12)
@@ -279,7 +296,9 @@ def test_wrapped_headers_are_found(spark):
            "# Public License as published by the Free\n# Software Foundation")
     mit = "x = 1\n/* Permission is hereby granted, free of charge,\n * to any person obtaining a copy\n *\n * of this software and associated documentation\n * files (the \"Software\") */"
     apart = "Permission is hereby granted\n" + "other words stand here\n" * 20 + "free of charge to any person obtaining a copy of this software"
-    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_table(docs(spark, [gpl, mit, apart, "Released under\nthe MIT\nLicense"])).collect()}
+    prose = "The film was released " + "on many screens " * 60 + "under its old title; " + "people came " * 60 + "for the songs. A license " + "was given " * 50 + "by the town of Mitte."
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_table(docs(spark, [gpl, mit, apart, "Released under\nthe MIT\nLicense", prose])).collect()}
+    assert got[4] == ("", 0.0)
     assert "gpl-header" in got[0][0] and got[1] == ("mit-header", 1.0) and got[2] == ("", 0.0) and "mit-notice" in got[3][0]
 
 
