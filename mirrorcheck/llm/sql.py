@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER, WORD
-from .licenses import PHRASES, TEMPLATES, template_words
+from .licenses import PHRASES, TEMPLATES, template_words, window_length
 from .secrets import BASE, OPEN
 
 
@@ -62,16 +62,16 @@ def _phrase(words: list[str], label: str) -> str:
 
 
 _PLACES = ", ".join(_phrase(p.split(), label) for p, label in PHRASES)
-_TEMPLATES = " UNION ALL ".join(f"SELECT {_quoted(name)} AS template, {_list(template_words(text))} AS tw" for name, text in TEMPLATES)
+_TEMPLATES = " UNION ALL ".join(f"SELECT {_quoted(name)} AS template, {_list(template_words(text))} AS tw, {window_length(text, 0.8)} AS size" for name, text in TEMPLATES)
 
 LICENSES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {LOWERED} AS t FROM documents),
 words AS (SELECT r, regexp_extract_all(t, '{WORD}') AS w FROM d),
 places AS (SELECT r, len(w) AS n, flatten([{_PLACES}]) AS p FROM words),
 templates AS ({_TEMPLATES}),
-lines AS (SELECT r, list_distinct(regexp_extract_all(line, '{WORD}')) AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-held AS (SELECT r, template, len(list_intersect(b, tw)) / len(tw) AS c FROM lines, templates WHERE len(list_intersect(b, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
-best AS (SELECT r, list(DISTINCT template) AS names, max(c) AS c FROM held GROUP BY r)
+held AS (SELECT r, template, list_max(list_transform(range(len(w)), lambda i: len(list_intersect(w[i + 1:i + size], tw)))) / len(tw) AS c, ceil(0.8 * len(tw) - 1e-9) / len(tw) AS need
+  FROM words, templates WHERE len(list_intersect(w, tw)) >= ceil(0.8 * len(tw) - 1e-9)),
+best AS (SELECT r, list(DISTINCT template) AS names, max(c) AS c FROM held WHERE c >= need GROUP BY r)
 SELECT doc_id, n AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(list_transform(p, lambda x: x.at)) AS first_word, list_max(list_transform(p, lambda x: x.at)) AS last_word,
   array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(list_transform(p, lambda x: x.label), coalesce(names, [])))), ',') AS labels,
