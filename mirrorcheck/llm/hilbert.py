@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
+from .vectors import as_matrix
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -45,9 +46,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 def _frame(classes: DataFrame, dim: int, curves: int, axes: int, seed: int, sample: int):
     """Projections (curves x dim x axes), the mean and spread of each on a sample of vectors, and shifts of the grids."""
     rows = classes.orderBy(F.xxhash64("cid")).limit(sample).select("v").toArrow().column("v").combine_chunks()
-    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    x /= np.abs(x).max(axis=1, keepdims=True)
-    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = _unit(rows)
     draw = np.random.default_rng(seed)
     turned: list[np.ndarray] = []
     while sum(t.shape[1] for t in turned) < curves * axes:
@@ -58,15 +57,14 @@ def _frame(classes: DataFrame, dim: int, curves: int, axes: int, seed: int, samp
     return wide, placed.mean(axis=0), np.where(spread > 0, spread, 1.0), draw.uniform(-0.1, 0.1, curves * axes)
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+def _unit(column: pa.Array) -> np.ndarray:
+    x = as_matrix(column)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _nearest_of(classes: DataFrame, asked: pa.Table, dim: int, k: int) -> DataFrame:
+def _nearest_of(classes: DataFrame, asked: pa.Table, k: int) -> DataFrame:
     """The ``k`` nearest classes (q, c) of each row of ``asked`` (cid, v), by brute force over all classes."""
-    shared = classes.sparkSession.sparkContext.broadcast((asked.column("cid").to_numpy(), _unit(asked.column("v").combine_chunks(), dim)))
+    shared = classes.sparkSession.sparkContext.broadcast((asked.column("cid").to_numpy(), _unit(asked.column("v").combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x = shared.value
@@ -75,7 +73,7 @@ def _nearest_of(classes: DataFrame, asked: pa.Table, dim: int, k: int) -> DataFr
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
                 cid = batch.column("cid").to_numpy()
-                score = x @ _unit(batch.column("v"), dim).T
+                score = x @ _unit(batch.column("v")).T
                 score[ids[:, None] == cid[None, :]] = -np.inf
                 score, cid = np.concatenate([best, score], axis=1), np.concatenate([at, np.broadcast_to(cid, score.shape)], axis=1)
                 top = np.argpartition(-score, k - 1, axis=1)[:, :k]
@@ -87,12 +85,12 @@ def _nearest_of(classes: DataFrame, asked: pa.Table, dim: int, k: int) -> DataFr
     return classes.select("cid", "v").mapInArrow(run, "q long, c long, score double").withColumn("i", F.row_number().over(best)).where(F.col("i") <= k).select("q", "c")
 
 
-def _reach_for(classes: DataFrame, place: DataFrame, dim: int, k: int, target: float, checked: int) -> int:
+def _reach_for(classes: DataFrame, place: DataFrame, k: int, target: float, checked: int) -> int:
     """How many rows on each side of a query hold ``target`` of the true neighbours of ``checked`` queries (all, if fewer) on one of the curves."""
     asked = classes.where("asked").orderBy(F.xxhash64("cid", F.lit("reach"))).limit(checked).select("cid", "v").toArrow()
     if not asked.num_rows:
         return 0
-    pairs = stored(_nearest_of(classes, asked, dim, k))  # at most k rows a query
+    pairs = stored(_nearest_of(classes, asked, k))  # at most k rows a query
     ends = pairs.select(F.col("q").alias("cid")).union(pairs.select("c")).distinct()
     stands = stored(place.join(F.broadcast(ends), "cid").select("cid", "curve", "place"))
     of = lambda name: F.broadcast(stands).select(F.col("cid").alias(name), "curve", F.col("place").alias(f"{name}_place"))
@@ -144,7 +142,7 @@ def neighbours(embeddings: DataFrame, asked, k: int = 5, key: str = "vec_id", ve
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
-                placed = (_unit(batch.column("v"), dim) @ wide - mean) / spread + shift
+                placed = (_unit(batch.column("v")) @ wide - mean) / spread + shift
                 cells = np.minimum(((1 / (1 + np.exp(-1.702 * placed))) * (1 << bits)).astype(np.int64), (1 << bits) - 1)
                 for c in range(curves):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, c, np.int32)), pa.array(hilbert_keys(cells[:, c * axes:(c + 1) * axes], bits)),
@@ -163,7 +161,7 @@ def neighbours(embeddings: DataFrame, asked, k: int = 5, key: str = "vec_id", ve
     numbered = stored(sorted_keys.mapInArrow(number, "curve int, cid long, asked boolean, part int, at long"))
     before = numbered.groupBy("part").count().withColumn("off", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "off")
     place = numbered.join(before, "part").withColumn("place", F.col("off") + F.col("at"))
-    reach = max(64, math.ceil(width * math.sqrt(n)), _reach_for(classes, place, dim, k, recall, checked))
+    reach = max(64, math.ceil(width * math.sqrt(n)), _reach_for(classes, place, k, recall, checked))
     block = max(block, min(reach, 16 * block))  # a wide window touches few blocks
     low = F.greatest(F.col("place") - reach, F.col("curve").cast("long") * n)
     high = F.least(F.col("place") + reach, (F.col("curve") + 1).cast("long") * n - 1)
@@ -177,7 +175,7 @@ def neighbours(embeddings: DataFrame, asked, k: int = 5, key: str = "vec_id", ve
     def rerank(group: pa.Table) -> pa.Table:
         query = group.column("query").to_numpy().astype(bool)
         cid, at, curve = (group.column(c).to_numpy() for c in ("cid", "place", "curve"))
-        x = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        x = as_matrix(group.column("v"))
         size = np.sqrt((x * x).sum(axis=1))
         there = np.flatnonzero(~query)
         there = there[np.argsort(at[there])]
@@ -199,7 +197,9 @@ def neighbours(embeddings: DataFrame, asked, k: int = 5, key: str = "vec_id", ve
 
     pairs = stored(travelling.groupBy("block").applyInArrow(rerank, "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score")))
     own_pairs = classes.where("asked and size(ids) > 1").select(F.col("cid").alias("q"), F.col("cid").alias("c"), "v")
-    square = F.aggregate(F.transform("v", lambda c: c.cast("double") * c.cast("double")), F.lit(0.0), lambda s, c: s + c)
+    largest = F.array_max(F.transform("v", lambda c: F.abs(c.cast("double"))))
+    power = F.pow(F.lit(2.0), F.greatest(F.least(-F.floor(F.log2(largest)), F.lit(1000)), F.lit(-1000)))  # as in ``scaled``
+    square = F.aggregate(F.transform("v", lambda c: (c.cast("double") * power) * (c.cast("double") * power)), F.lit(0.0), lambda s, c: s + c)
     own_pairs = own_pairs.select("q", "c", (square / (F.sqrt(square) * F.sqrt(square))).alias("score"))
     members = classes.select(F.col("cid").alias("c"), F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
