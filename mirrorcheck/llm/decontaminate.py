@@ -193,7 +193,7 @@ def _match(segments: DataFrame, shared, n_terms: int, slack: int, item_type: T.D
 
 
 def contamination_table(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: words, hit words, items and whether it is contaminated."""
+    """One row per document: words, hit words, items and whether it is contaminated. Null texts, like empty ones, have no words."""
     return _table(find_matches(documents, benchmark, slack=0))
 
 
@@ -205,11 +205,18 @@ def _table(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def near_table(documents: DataFrame, benchmark: DataFrame, slack: int = 2) -> DataFrame:
-    """The rows of ``contamination_table`` with near_items: ids of items of which a window stands with each word at most ``slack`` places off."""
+    """The rows of ``contamination_table`` with near_items: ids of items of which a window stands with each word at most ``slack`` places off.
+
+    Null and empty texts have no words and no items; equal rows have equal results.
+    """
     return _table(find_matches(documents, benchmark, slack=slack), "near_items")
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any exact match. Documents with one id and one text share their fate."""
+    """The documents without any exact match. Documents with one id and one text share their fate.
+
+    Null and empty texts have no words and stay; texts of any length are searched whole; an item without words matches
+    nothing. Columns may have any names.
+    """
     keys = find_matches(documents, benchmark, slack=0).where("size(hits) > 0").select("doc_id", "tie")
     return without(documents, F.xxhash64("text"), keys)

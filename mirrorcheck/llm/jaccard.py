@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import LOWER, NOT_SPACE, as_bytes, find_words, hash_spans, mix, slices
-from .common import BROADCAST_KEYS, arrow_rows, stored, without
+from .common import BROADCAST_KEYS, arrow_rows, fresh, stored, without
 from .components import connected
 
 K, BINS = 2, 64
@@ -296,12 +296,17 @@ def component_table(documents: DataFrame) -> DataFrame:
 
 
 def keep_first(documents: DataFrame, join: Join = Join(size=5, percent=80)) -> DataFrame:
-    """The smallest document of each group, with all columns. Rows that repeat an id and its text are kept once."""
+    """The smallest document of each group, with all columns. Rows that repeat an id and its text are kept once.
+
+    Documents without words (null and empty texts too) are kept. Texts of any length count whole. Columns may have any names.
+    """
     groups = stored(similar_groups(documents, join))
     out = without(documents, F.xxhash64("text"), groups.where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))).select("doc_id", "tie"))
     repeated = groups.groupBy("doc_id", "tie").count().where("count > 1").select("doc_id", "tie")
     if repeated.isEmpty():
         return out
     rest = without(out, F.xxhash64("text"), repeated)
-    again = out.withColumn("_tie2", F.xxhash64("text")).join(repeated.withColumnsRenamed({"doc_id": "_id", "tie": "_tie"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie2") == F.col("_tie")), "left_semi")
-    return rest.unionByName(again.dropDuplicates(["doc_id", "_tie2"]).drop("_tie2"))
+    own, id_, tie_ = (fresh(x, out) for x in ("_own", "_id", "_tie"))
+    again = (out.withColumn(own, F.xxhash64("text"))
+             .join(repeated.select(F.col("doc_id").alias(id_), F.col("tie").alias(tie_)), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(tie_)), "left_semi"))
+    return rest.unionByName(again.dropDuplicates(["doc_id", own]).drop(own))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges_for, running_sums, stored
+from .common import BROADCAST_KEYS, fresh, ranges_for, running_sums, stored
 
 MOST_SOURCES = 100_000
 
@@ -108,12 +108,15 @@ def mix_table(documents: DataFrame, target: Target = Target()) -> DataFrame:
 
 
 def mixed(documents: DataFrame, target: Target = Target()) -> DataFrame:
-    """The documents as the mixture reads them: each as many times as it says, with its columns as they are."""
-    plan = mixture(documents, target).where("copies <> 1").groupBy("doc_id", "tie").agg(F.first("copies").alias("copies"))
-    other = stored(plan).withColumnsRenamed({"doc_id": "_id", "tie": "_tie", "copies": "_copies"})
-    from .common import BROADCAST_KEYS
+    """The documents as the mixture reads them: each as many times as it says, with its columns as they are.
 
+    Null and empty texts have no tokens and are read as often as their block; texts of any length count whole; equal rows are
+    read equally often; no documents give none. Columns may have any names.
+    """
+    id_, tie_, copies = (fresh(x, documents) for x in ("_id", "_tie", "_copies"))
+    plan = mixture(documents, target).where("copies <> 1").groupBy("doc_id", "tie").agg(F.first("copies").alias(copies))
+    other = stored(plan.withColumnsRenamed({"doc_id": id_, "tie": tie_}))
     if other.count() <= BROADCAST_KEYS:
         other = F.broadcast(other)
-    return (documents.join(other, documents["doc_id"].eqNullSafe(other["_id"]) & (F.xxhash64("text") == other["_tie"]), "left")
-            .withColumn("_copies", F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))).select(*documents.columns))
+    return (documents.join(other, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(tie_)), "left")
+            .withColumn(copies, F.explode(F.array_repeat(F.lit(0), F.coalesce(copies, F.lit(1))))).select(*documents.columns))

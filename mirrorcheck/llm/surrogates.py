@@ -152,8 +152,14 @@ def replace_entities(documents: DataFrame, key: str, text: str = "text", salts:
     A null text stays null and an empty one empty. The replacements of a text depend on the key and on the entities of all
     texts (through the collision checks), not on the order of rows. Texts without an entity are not shuffled; equal
     texts of one id are looked up once. The lookup of surrogates is salted, as one entity may stand in a third of all texts.
+    Texts of any length are searched whole. Columns may have any names; one called ``n_entities`` gives way to the new one.
     """
-    id_ = documents.columns[0] if "doc_id" not in documents.columns else "doc_id"
+    own = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    out = _replaced(documents.toDF(*own.values()), key, own.get("doc_id", "c0"), own[text], salts)
+    return out.select(*[F.col(n).alias(c) for c, n in own.items() if c != "n_entities"], "n_entities")
+
+
+def _replaced(documents: DataFrame, key: str, id_: str, text: str, salts: int) -> DataFrame:
     tie = F.xxhash64(F.col(text))
     once = stored(documents.withColumn("_hits", hits(F.col(text))))  # the search costs more than one copy of the texts
     named = once.where("size(_hits) > 0").withColumn("_names", names_in(F.col("_hits")))

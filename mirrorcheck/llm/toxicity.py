@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_text import ALNUM, LOWER, as_bytes, slices
+from .arrow_text import ALNUM, LOWER, as_bytes, sliced, slices
 
 
 @dataclass
@@ -228,6 +228,18 @@ def toxicity_table(documents: DataFrame, labels: DataFrame, settings: Settings |
 
 
 def remove_toxic(documents: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The documents that score below 0.5, with all their columns."""
+    """The documents that score below 0.5, with all their columns, whatever their names.
+
+    Rows go to Python once, and only those that stay come back. Null and empty texts score the share of
+    toxic labels; texts of any length are scored whole; equal texts score alike; no documents or labels are no error.
+    """
     model = train(documents, labels, ~held_out(F.col("doc_id")), settings)
-    return score_column(documents, model, tuple(documents.columns)).where("score < 0.5").drop("score")
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    text = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, f"c{text}", 1_000_000):
+            yield batch.filter(pa.array(shared.value.score(batch.column(f"c{text}")) < 0.5))
+
+    by_place = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
+    return by_place.mapInArrow(run, by_place.schema).toDF(*documents.columns)
