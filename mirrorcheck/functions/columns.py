@@ -52,6 +52,34 @@ def long_values(df: DataFrame, variables: Sequence[str], keep: Sequence[str], as
     return df.select(*keep, F.inline(pairs))
 
 
+#: Columns that are unfolded in one pass over a table.
+COLUMNS_PER_PASS = 32
+
+
+def column_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, n_rows, n_null, n_distinct) of each column; nulls are not counted as a value.
+
+    Columns are unfolded to (variable, value) rows, some at a time, and counted in two stages: values first, which Spark
+    combines before the shuffle, then values per column. Values are told apart by their type's own equality, as a
+    pass takes columns of one type.
+    """
+    parts = []
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for names in kinds.values():
+        for i in range(0, len(names), COLUMNS_PER_PASS):
+            cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("value")) for c in names[i:i + COLUMNS_PER_PASS]])
+            values = df.select(F.inline(cells)).groupBy("variable", "value").agg(F.count("*").alias("n"))
+            parts.append(values.groupBy("variable").agg(
+                F.sum("n").alias("n_rows"), F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"), F.count("value").alias("n_distinct")))
+    counted = union_all(parts)
+    # a table without rows still has a row per column
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "variable string")
+    return every.join(F.broadcast(counted), "variable", "left").select(
+        "variable", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_rows", "n_null", "n_distinct")])
+
+
 def count_new() -> Column:
     return F.sum(F.col("is_new"))
 

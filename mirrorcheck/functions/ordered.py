@@ -1,8 +1,7 @@
 """Running sums, exact quantiles and average ranks that do not put one group into one task.
 
-Rows are first collapsed to one row per (group, value). If few rows are left, one window per
-group is enough. Otherwise each group is cut at approximate quantiles into ranges; a window
-runs inside every range and the totals of the ranges before it are added.
+Rows are first collapsed to one row per (group, value). Spark sorts these by group and value into ranges, as many as
+the rows need; a window runs inside every range, and what stands before a range in its group is added.
 """
 
 from __future__ import annotations
@@ -15,12 +14,8 @@ from pyspark.sql import functions as F
 from .columns import null_safe_join, ratio
 from .session import stable
 
-# A plain window per group is used while the largest group has at most this many distinct values;
-# beyond it groups are cut into ranges of about a quarter of this number.
-SINGLE_WINDOW_ROWS = 250_000
-MAX_RANGES = 4096
-# Per-group frames are sent to every task only up to this many numbers (a few megabytes).
-BROADCAST_CELLS = 500_000
+#: Rows of a range; ranges follow the number of rows, and no window holds more than one range.
+RANGE_ROWS = 200_000
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, sums: dict) -> DataFrame:
@@ -30,42 +25,22 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, sums: dict) -> Da
     ))
 
 
-def _range_number(value, step: int):
-    """How many bounds lie below the value: look at every step-th bound, then at the few after it."""
-    done = F.size(F.filter("__coarse", lambda b: b < value)) * step
-    return done + F.size(F.filter(F.slice("__bounds", done + 1, F.lit(step)), lambda b: b < value))
-
-
 def running_sums(counts: DataFrame, by: Sequence[str], value: str, sums: Sequence[str],
-                 single_window_rows: int | None = None, ranges: int | None = None) -> DataFrame:
+                 range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``cum_<s>``, the sum over all values up to and including this one, and ``total_<s>`` per group.
 
     ``counts`` must hold one row per (group, value) and give the same rows each time it is read.
     """
-    limit = SINGLE_WINDOW_ROWS if single_window_rows is None else single_window_rows
-    whole = stable(counts.groupBy(*by).agg(F.count("*").alias("__rows"), *[F.sum(s).alias(f"total_{s}") for s in sums]))
-    size = whole.agg(F.count("*").alias("groups"), F.coalesce(F.max("__rows"), F.lit(0)).alias("rows")).first()
-    if size["rows"] <= limit:
-        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        run = counts.withColumns({f"cum_{s}": F.sum(s).over(w) for s in sums})
-        return null_safe_join(run, whole.drop("__rows"), by, small=size["groups"] <= BROADCAST_CELLS)
-    n = ranges or max(4, min(MAX_RANGES, 4 * size["rows"] // max(limit, 1)))
-    small = size["groups"] * n <= BROADCAST_CELLS
-    cuts = F.array(*[F.lit(i / n) for i in range(1, n)])
-    step = max(1, int(n ** 0.5))
-    bounds = stable(counts.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(F.col(value).cast("double"), cuts, F.lit(20 * n))).alias("__bounds")
-    )).withColumn("__coarse", F.filter("__bounds", lambda b, i: i % step == step - 1))
-    ranged = null_safe_join(counts, bounds, by, small=small).withColumn(
-        "__range", _range_number(F.col(value).cast("double"), step)).drop("__bounds", "__coarse")
+    ranges = counts.count() // range_rows + 1
+    ranged = stable(counts.repartitionByRange(ranges, *by, value).withColumn("__range", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "__range").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = null_safe_join(totals.select(*by, "__range", *[
-        F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums
-    ]), whole.drop("__rows"), by, small=small)
+    ranges_of = Window.partitionBy(*by)
+    before = ranges_of.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "__range", *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums],
+                            *[F.sum(f"__t_{s}").over(ranges_of).alias(f"total_{s}") for s in sums])
     inside = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
-    return (null_safe_join(local, offsets, [*by, "__range"], small=small)
+    return (null_safe_join(local, offsets, [*by, "__range"])
             .withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"__o_{s}") for s in sums})
             .drop("__range", *[f"__o_{s}" for s in sums]))
 
@@ -97,6 +72,28 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict, *
 
 
 def average_ranks(counts: DataFrame, by: Sequence[str], value: str, **kw) -> DataFrame:
-    """Average rank of every distinct value (ties share the mean of their positions)."""
+    """Average rank of every distinct value (ties share the mean of their positions), and how many rows have it."""
     run = running_sums(counts, by, value, ["n"], **kw)
-    return run.select(*by, value, (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("avg_rank"))
+    return run.select(*by, value, "n", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("avg_rank"))
+
+
+#: A value that holds more than this share of the rows of its group is hot; a group has at most 1 / share of them.
+HOT_SHARE = 1e-3
+#: Hot values go to all tasks for at most so many groups, a million values.
+MOST_HOT_GROUPS = 1_000
+
+
+def attach_by_value(rows: DataFrame, facts: DataFrame, by: Sequence[str], value: str, n: str, groups: int) -> DataFrame:
+    """Inner join of rows to the facts of their (group, value); no value shuffles more than a small share of the rows.
+
+    ``facts`` holds a row per (group, value) with ``n``, the number of rows of that value, and few ``groups``. Hot values go to
+    all tasks (at most groups / HOT_SHARE of them), the rows of all others are shuffled.
+    """
+    facts = stable(facts)
+    total = facts.groupBy(*by).agg(F.sum(n).alias("__total"))
+    marked = null_safe_join(facts, total, by).withColumn("__hot", F.col(n) > F.col("__total") * HOT_SHARE).drop("__total")
+    keys = [*by, value]
+    tried = null_safe_join(rows, marked.where("__hot").drop(n), keys, "left", small=groups <= MOST_HOT_GROUPS)
+    facts_of = [c for c in facts.columns if c not in (*keys, n)]
+    seldom = tried.where(F.col("__hot").isNull()).drop("__hot", *facts_of)
+    return tried.where("__hot").drop("__hot").unionByName(null_safe_join(seldom, marked.where("NOT __hot").drop("__hot", n), keys))

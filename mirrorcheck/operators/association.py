@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, require_columns, stack_sides, union_all
-from ..functions.ordered import average_ranks, running_sums, value_counts
+from ..functions.ordered import attach_by_value, average_ranks, running_sums, value_counts
+from ..functions.session import stable
+from .crosstabs import grouped_combinations
 
 # Pairs per aggregation; more pairs are computed in further passes so that the generated code stays small.
 PAIRS_PER_PASS = 200
@@ -76,35 +78,42 @@ def rank_correlations(orig: DataFrame, new: DataFrame, variables: Sequence[str])
         needed[key] = f"s{i}"
     values = {name: F.col(x) if cond is None else F.when(F.col(cond).isNotNull(), F.col(x))
               for (x, cond), name in needed.items()}
-    long = rows.select("is_new", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("rank_set"), v.alias("value")) for n, v in values.items()])))
-    counts = value_counts(long, ["is_new", "rank_set"], "value", {"n": F.count("*")})
-    ranks = average_ranks(counts, ["is_new", "rank_set"], "value")
-    for name, v in values.items():
-        one = ranks.where(F.col("rank_set") == name).select(
-            F.col("is_new").alias("__side"), F.col("value").alias("__v"), F.col("avg_rank").alias(f"__{name}"))
-        rows = rows.join(one, (F.col("is_new") == F.col("__side")) & (v == F.col("__v")), "left").drop("__side", "__v")
+    tuples = _tuples(rows, ["is_new", *variables], {"__n": F.count("*")})
+    wide = _ranked(tuples, values, ["is_new"], "__n", lambda long: average_ranks(
+        value_counts(long, ["is_new", "rank_set"], "value", {"n": F.sum("__n")}), ["is_new", "rank_set"], "value"), groups=2 * len(values))
 
     def columns(pair):
         a, b = pair
         return (f"__{needed[(a, b if b in holey else None)]}", f"__{needed[(b, a if a in holey else None)]}")
 
-    return _complete(_compare(_correlate(rows, _pairs(variables), columns)))
+    pairs = _pairs(variables)
+    sides = [weighted_pair_moments(wide.where(F.col("is_new") == side), pairs, "__n", columns, "__n").withColumn("is_new", F.lit(side)) for side in (0, 1)]
+    found = union_all(sides).where(F.col("r").isNotNull() & ~F.isnan("r"))
+    return _complete(_compare(found))
+
+
+def _tuples(rows: DataFrame, columns: Sequence[str], sums: dict) -> DataFrame:
+    """Equal rows as one, with a number ``__id`` and sums over them; stored, so that numbers stay."""
+    return stable(rows.groupBy(*columns).agg(*[e.alias(n) for n, e in sums.items()]).withColumn("__id", F.monotonically_increasing_id()))
 
 
-def pair_levels(rows: DataFrame, pairs: Sequence[tuple[str, str]], keep: Sequence[str]) -> DataFrame:
-    """One row per (row, pair) with the two levels as text."""
-    return rows.select(*keep, F.inline(F.array(*[
-        F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.col(a).cast("string").alias("level_1"),
-                 F.col(b).cast("string").alias("level_2")) for a, b in pairs])))
+def _ranked(tuples: DataFrame, values: dict, by: Sequence[str], n: str, ranks_of, groups: int) -> DataFrame:
+    """The tuples with ``__<name>``, the rank of each named value, put together again by number after the ranks are found.
+
+    ``ranks_of`` makes ranks (by, rank_set, value, n, avg_rank) from the long rows.
+    """
+    keep = [c for c in tuples.columns if c.startswith("__")]
+    long = tuples.select(*by, *keep, F.inline(F.array(*[F.struct(F.lit(k).alias("rank_set"), v.alias("value")) for k, v in values.items()]))).where(F.col("value").isNotNull())
+    joined = attach_by_value(long.select(*by, "__id", "rank_set", "value"), ranks_of(long), [*by, "rank_set"], "value", "n", groups)
+    wide = joined.groupBy("__id").agg(*[F.max(F.when(F.col("rank_set") == k, F.col("avg_rank"))).alias(f"__{k}") for k in values])
+    return tuples.select(*by, *keep).join(wide, "__id", "left")
 
 
 def cramers_v(orig: DataFrame, new: DataFrame, variables: Sequence[str], correct: bool = True) -> DataFrame:
     """Cramér's V of every categorical pair on both sides over rows where both are present; pairs with a
     constant variable are left out. ``correct`` applies the continuity correction to 2x2 tables."""
-    cells = (pair_levels(stack_sides(orig, new, variables), _pairs(variables), ["is_new"])
-             .where("level_1 IS NOT NULL AND level_2 IS NOT NULL")
-             .groupBy("is_new", "var_1", "var_2", "level_1", "level_2").agg(F.count("*").cast("double").alias("n")))
+    cells = (grouped_combinations(stack_sides(orig, new, variables), _pairs(variables), [F.count("*").cast("double").alias("n")], ["is_new"])
+             .where("level_1 IS NOT NULL AND level_2 IS NOT NULL").drop("crosstab"))
     by = ["is_new", "var_1", "var_2"]
     row_sums = cells.groupBy(*by, "level_1").agg(F.sum("n").alias("row_n"))
     col_sums = cells.groupBy(*by, "level_2").agg(F.sum("n").alias("col_n"))
@@ -127,18 +136,28 @@ def cramers_v(orig: DataFrame, new: DataFrame, variables: Sequence[str], correct
 
 
 def weighted_ranks(df: DataFrame, variables: Sequence[str], weight: str) -> DataFrame:
-    """Replace every variable by its weighted rank: weight below plus the mean position among ties."""
-    for v in variables:
-        counts = value_counts(df.withColumn("__v", F.col(v).cast("double")).withColumn("__one", F.lit(0)),
-                              ["__one"], "__v", {"n": F.count("*"), "w": F.sum(F.col(weight).cast("double"))})
-        run = running_sums(counts, ["__one"], "__v", ["w"])
-        rank = run.select(F.col("__v"), (F.col("cum_w") - F.col("w") + (F.col("n") + 1) / 2.0 * F.col("w") / F.col("n")).alias("__r"))
-        df = df.join(rank, F.col(v).cast("double") == F.col("__v"), "left").drop(v, "__v").withColumnRenamed("__r", v)
-    return df
-
-
-def weighted_pair_moments(df: DataFrame, pairs, weight: str, columns=None) -> DataFrame:
-    """Weighted correlation and number of complete rows per pair, from one aggregation of moments."""
+    """Weighted ranks of the variables in place of their values: weight below plus the mean position among ties.
+
+    Equal rows come back as one, with the sum of their weights and their number ``__rows``.
+    """
+    w = F.col(weight).cast("double")
+    rows = df.select(w.alias("__w"), *[F.col(v).cast("double").alias(v) for v in variables])
+    tuples = _tuples(rows, variables, {"__rows": F.count("*"), "__weight": F.sum("__w")})
+
+    def ranks(long: DataFrame) -> DataFrame:
+        run = running_sums(value_counts(long, ["rank_set"], "value", {"n": F.sum("__rows"), "w": F.sum("__weight")}), ["rank_set"], "value", ["w"])
+        return run.select("rank_set", "value", "n", (F.col("cum_w") - F.col("w") + (F.col("n") + 1) / 2.0 * F.col("w") / F.col("n")).alias("avg_rank"))
+
+    wide = _ranked(tuples, {v: F.col(v) for v in variables}, [], "__rows", ranks, groups=len(variables))
+    return wide.select("__rows", F.col("__weight").alias(weight), *[F.col(f"__{v}").alias(v) for v in variables])
+
+
+def weighted_pair_moments(df: DataFrame, pairs, weight: str, columns=None, rows: str | None = None) -> DataFrame:
+    """Weighted correlation and number of complete rows per pair, from one aggregation of moments.
+
+    ``rows``: the column that says how many rows a row stands for.
+    """
+    one = F.col(rows) if rows else F.lit(1)
     columns = columns or (lambda p: p)
     out = []
     for i in range(0, len(pairs), PAIRS_PER_PASS // 2):
@@ -150,7 +169,7 @@ def weighted_pair_moments(df: DataFrame, pairs, weight: str, columns=None) -> Da
             ok = F.when(x.isNotNull() & y.isNotNull(), F.col(weight).cast("double"))
             for name, e in (("w", ok), ("x", ok * x), ("y", ok * y), ("xx", ok * x * x), ("yy", ok * y * y), ("xy", ok * x * y)):
                 aggs.append(F.sum(e).alias(f"{name}{j}"))
-            aggs.append(F.count(F.when(x.isNotNull() & y.isNotNull(), F.lit(1))).alias(f"n{j}"))
+            aggs.append(F.coalesce(F.sum(F.when(x.isNotNull() & y.isNotNull(), one)), F.lit(0)).cast("long").alias(f"n{j}"))
             c = {k: F.col(f"{k}{j}") for k in ("w", "x", "y", "xx", "yy", "xy")}
             cov = c["xy"] / c["w"] - c["x"] * c["y"] / (c["w"] * c["w"])
             vx = c["xx"] / c["w"] - c["x"] * c["x"] / (c["w"] * c["w"])
@@ -174,8 +193,9 @@ def change_in_correlations(orig: DataFrame, new: DataFrame, variables: Sequence[
     elif method != "pearson":
         raise ValueError("method must be pearson or spearman")
     pairs = _pairs(variables)
-    a = weighted_pair_moments(old, pairs, weight).withColumnsRenamed({"r": "orig_corr", "n_pairs": "n_orig"})
-    b = weighted_pair_moments(now, pairs, weight).withColumnsRenamed({"r": "new_corr", "n_pairs": "n_new"})
+    rows = "__rows" if method == "spearman" else None
+    a = weighted_pair_moments(old, pairs, weight, rows=rows).withColumnsRenamed({"r": "orig_corr", "n_pairs": "n_orig"})
+    b = weighted_pair_moments(now, pairs, weight, rows=rows).withColumnsRenamed({"r": "new_corr", "n_pairs": "n_new"})
     gap = F.abs(F.col("orig_corr") - F.col("new_corr"))
     se = F.pow(1 - F.col("orig_corr"), F.lit(2.0)) / F.sqrt(F.col("n_orig").cast("double"))
     return a.join(b, ["var_1", "var_2"]).withColumn("abs_diff", gap).withColumn(

@@ -1,10 +1,9 @@
 """Proximity-based attribution: statistically unique rows and generalised correct-attribution measures.
 
 Rows are near each other when their categorical values are equal and a numeric value differs by less
-than a radius. Sums over near rows never pair all rows of a group: each numeric value belongs to a
-bin as wide as its radius, data is first collapsed to counts per distinct value, and only the same
-and the two neighbouring bins can meet. A statistically unique row is the only one of its kind in
-its bin, so the work grows with the data and not with its square.
+than a radius. Sums over near rows never pair rows: they are read off running counts and sums of the
+values in their order. A statistically unique row is the only one of its kind in its bin, which is as
+wide as the radius, so the work grows with the data and not with its square.
 """
 
 from __future__ import annotations
@@ -15,10 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import ratio
+from ..functions.columns import null_safe_join, ratio
+from ..functions.ordered import running_sums, value_counts
 from ..functions.session import stable
 
-TOLERANCE = 1e-12
+#: Differences up to this are none; running sums are exact to fewer digits than single products.
+TOLERANCE = 1e-9
 
 
 def _check(radii: Mapping[str, float]) -> None:
@@ -96,37 +97,72 @@ def unique_rows(data: DataFrame, row_id: str, categorical: Sequence[str], radii:
     return alone.withColumn("times", F.lit(1))
 
 
+def _groups(data: DataFrame, cats: Sequence[str], outer: str | None) -> tuple[DataFrame, list[str]]:
+    """Data rows in the groups that a query may look at, and what names a group.
+
+    Without an outer dimension these are the categories. With one, a row stands in the group of its outer value, or of
+    the missing ones, and in the group of all, which queries without an outer value look at.
+    """
+    if outer is None:
+        return data, list(cats)
+    x, null = F.col(outer).cast("double"), F.lit(None).cast("double")
+    own = F.struct(F.when(x.isNull(), "missing").otherwise("value").alias("__kind"), x.alias("__x"))
+    return data.select("*", F.inline(F.array(own, F.struct(F.lit("all").alias("__kind"), null.alias("__x"))))), [*cats, "__kind", "__x"]
+
+
+def _reached(queries: DataFrame, grouped: DataFrame, row_id: str, cats: Sequence[str], keep: Sequence[str], outer: tuple[str, float] | None) -> DataFrame:
+    """(row id, group, keep, __w): the groups that each query looks at, with the kernel of the outer dimension.
+
+    Queries meet the distinct outer values of their categories in their own bin and the two beside it.
+    """
+    if outer is None:
+        return queries.select(row_id, *cats, *keep, F.lit(1.0).alias("__w"))
+    name, r = outer
+    u, null = F.col(name).cast("double"), F.lit(None).cast("double")
+    fixed = queries.select(row_id, *cats, *keep, F.when(u.isNull(), "all").otherwise("missing").alias("__kind"), null.alias("__x"), F.lit(1.0).alias("__w"))
+    values = grouped.where(F.col("__kind") == "value").select(*cats, "__x").distinct().withColumn("__bin", F.floor(F.col("__x") / F.lit(float(r))))
+    asked = queries.where(u.isNotNull()).select(row_id, *cats, *keep, u.alias("__u"), F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(u / F.lit(float(r))) + k)).alias("__bin"))
+    near = null_safe_join(asked, values, [*cats, "__bin"]).withColumn("__w", kernel(F.col("__u"), F.col("__x"), r)).where(F.col("__w") > 0)
+    return fixed.unionByName(near.select(row_id, *cats, *keep, F.lit("value").alias("__kind"), "__x", "__w"))
+
+
 def kernel_sums(queries: DataFrame, data: DataFrame, row_id: str, cats: Sequence[str],
                 dims: Sequence[tuple[str, float]]) -> DataFrame:
-    """Per query row: sum over the data rows with equal categories of the product of the kernels."""
-    def labels(v, r, of_data):
-        b = F.floor(v / F.lit(float(r)))
-        null = F.lit(None).cast("double")
-        def item(kind, bin_, x):
-            return F.struct(F.lit(kind).alias("k"), bin_.cast("long").alias("b"), x.alias("x"))
-        zero = F.lit(0)
-        if of_data:
-            # 'v' meets present query values, 'd' stands for missing data, 'q' serves missing query values
-            there = F.array(item("v", b - 1, v), item("v", b, v), item("v", b + 1, v), item("q", zero, null))
-            return F.when(v.isNotNull(), there).otherwise(F.array(item("d", zero, null), item("q", zero, null)))
-        return F.when(v.isNotNull(), F.array(item("v", b, v), item("d", zero, null))).otherwise(F.array(item("q", zero, null)))
-
-    def spread(df, of_data, keep):
-        for i, (name, r) in enumerate(dims):
-            df = df.withColumn(f"__l{i}", F.explode(labels(F.col(name).cast("double"), r, of_data)))
-        cols = [c for i in range(len(dims)) for c in (
-            F.col(f"__l{i}.k").alias(f"k{i}"), F.col(f"__l{i}.b").alias(f"b{i}"), F.col(f"__l{i}.x").alias(f"x{i}"))]
-        return df.select(*keep, *cols)
-
-    names = [c for i in range(len(dims)) for c in (f"k{i}", f"b{i}", f"x{i}")]
-    counted = data.select(*cats, *[n for n, _ in dims]).groupBy(*cats, *[n for n, _ in dims]).agg(F.count("*").alias("__c"))
-    d = spread(counted, True, [*cats, "__c"]).groupBy(*cats, *names).agg(F.sum("__c").alias("__c"))
-    q = spread(queries, False, [row_id, *cats])
-    d = d.select(*[F.col(c).alias(f"__d_{c}") for c in [*cats, *names]], "__c")
-    keys = [*cats, *[c for i in range(len(dims)) for c in (f"k{i}", f"b{i}")]]
-    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__d_{c}")) for c in keys], F.lit(True))
-    weight = reduce(lambda a, b: a * b, [kernel(F.col(f"x{i}"), F.col(f"__d_x{i}"), r) for i, (_, r) in enumerate(dims)], F.lit(1.0))
-    return q.join(d, cond).groupBy(row_id).agg(F.sum(F.col("__c") * weight).alias("s"))
+    """Per query row: sum over the data rows with equal categories of the product of the kernels.
+
+    The kernel falls linearly on both sides of a value v, so its sum over a dimension follows from running counts and
+    running sums of the values, read at v - radius, v and v + radius; no query meets the rows themselves. With two
+    dimensions this is done for each distinct value of the first within its radius.
+    """
+    if not dims:
+        counted = data.groupBy(*cats).agg(F.count("*").cast("double").alias("s"))
+        return null_safe_join(queries.select(row_id, *cats), counted, cats).select(row_id, "s")
+    outer = dims[0] if len(dims) == 2 else None
+    name, r = dims[-1][0], float(dims[-1][1])
+    grouped, by = _groups(data, cats, outer[0] if outer else None)
+    y = F.col(name).cast("double")
+    counts = grouped.groupBy(*by, y.alias("__y")).agg(F.count("*").alias("__n"))
+    asked = stable(_reached(queries.withColumn("__v", y), grouped, row_id, cats, ["__v"], outer))
+    totals = counts.groupBy(*by).agg(F.sum("__n").alias("__all"), F.sum(F.when(F.col("__y").isNull(), F.col("__n")).otherwise(0)).alias("__missing"))
+    flat = null_safe_join(asked, totals, by).select(
+        row_id, (F.col("__w") * F.when(F.col("__v").isNull(), F.col("__all")).otherwise(F.col("__missing"))).alias("s"))
+    points = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.struct(k.alias("__side"), (F.col("__v") + k * F.lit(r)).alias("__y")))
+    probes = asked.where(F.col("__v").isNotNull()).select(row_id, *by, "__v", "__w", F.inline(points))
+    values = counts.where(F.col("__y").isNotNull()).withColumn("__ny", F.col("__n") * F.col("__y"))
+    every = values.unionByName(probes.select(*by, "__y", F.lit(0).cast("long").alias("__n"), F.lit(0.0).alias("__ny")))
+    run = running_sums(value_counts(every, by, "__y", {"__n": F.sum("__n"), "__ny": F.sum("__ny")}), by, "__y", ["__n", "__ny"])
+    # at the upper end only smaller values count, so that values at a distance of the radius are outside on both sides
+    own = (F.col("__side") == 1).cast("int")
+    read = null_safe_join(probes, run, [*by, "__y"]).select(row_id, *by, "__v", "__w", "__side", (F.col("cum___n") - own * F.col("__n")).alias("__c"), (F.col("cum___ny") - own * F.col("__ny")).alias("__t"))
+
+    def at(side: int, column: str) -> Column:
+        return F.sum(F.when(F.col("__side") == side, F.col(column)))
+
+    v = F.col("__v") / r
+    left = (at(0, "__c") - at(-1, "__c")) * (1 - v) + (at(0, "__t") - at(-1, "__t")) / r
+    right = (at(1, "__c") - at(0, "__c")) * (1 + v) - (at(1, "__t") - at(0, "__t")) / r
+    sums = read.groupBy(row_id, *by, "__v", "__w").agg(F.when(at(1, "__c") > at(-1, "__c"), left + right).otherwise(0.0).alias("__k"))
+    return flat.unionByName(sums.select(row_id, (F.col("__w") * F.col("__k")).alias("s"))).groupBy(row_id).agg(F.sum("s").alias("s"))
 
 
 def _mean_sums(queries, data, row_id, cats, groups):

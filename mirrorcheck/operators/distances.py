@@ -6,14 +6,15 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import (
-    count_new, count_orig, long_values, null_safe_join, ratio, require_columns, stack_sides, union_all,
+    column_counts, count_new, count_orig, long_values, null_safe_join, ratio, require_columns, stack_sides, union_all,
 )
 from ..functions.ordered import exact_quantiles, running_sums, value_counts
+from ..functions.session import stable
 from ..functions.stats import chi_square_tail, kolmogorov_tail
 
 PERCENTILES = {"q01": 0.01, "q05": 0.05, "q10": 0.10, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.90,
@@ -108,16 +109,28 @@ def joint_distance(orig: DataFrame, new: DataFrame, columns: Sequence[str], scal
     ).agg(hellinger("p", "q", scaled).alias("hd"))
 
 
+def _top_of_side(shares: DataFrame, side: str, share: float) -> DataFrame:
+    """Largest levels of a variable on one side until they hold ``share`` of it; of equal ones the first by name.
+
+    How many levels have which count tells at which count the share is reached, and how many levels of that count are still
+    needed; only those are put in order.
+    """
+    n = F.col(f"n_{side}")
+    sizes = stable(shares.groupBy("variable", (-n).alias("__less")).agg(F.sum(n).alias("mass")))
+    run = running_sums(sizes, ["variable"], "__less", ["mass"])
+    room = share * F.col("total_mass") - (F.col("cum_mass") - F.col("mass"))
+    last = run.withColumn("__room", room).where("__room >= 0").groupBy("variable").agg(F.max(F.struct("__less", "__room")).alias("c"))
+    cut = last.select(F.col("variable").alias("__of"), (-F.col("c.__less")).alias("__cross"), F.col("c.__room").alias("__room"))
+    marked = shares.join(F.broadcast(cut), F.col("variable") == F.col("__of"))  # a row per variable
+    tied = marked.where(n == F.col("__cross")).select("variable", "level", F.struct(F.col("level").isNull(), "level").alias("__order"), F.lit(1).alias("one"),
+                                                      F.when(n > 0, F.floor(F.col("__room") / n) + 1).alias("__need"))
+    first = running_sums(stable(tied), ["variable"], "__order", ["one"]).where(F.col("__need").isNull() | (F.col("cum_one") <= F.col("__need")))
+    return marked.where(n > F.col("__cross")).select("variable", "level").union(first.select("variable", "level"))
+
+
 def top_levels(shares: DataFrame, share: float = 0.5) -> DataFrame:
     """Levels that make up the first half of a variable on either side, the crossing level included."""
-    kept = []
-    for side in ("orig", "new"):
-        w = Window.partitionBy("variable").orderBy(F.desc(f"n_{side}"), F.col("level").asc_nulls_last())
-        before = F.coalesce(F.sum(f"n_{side}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        total = F.sum(f"n_{side}").over(Window.partitionBy("variable"))
-        kept.append(shares.withColumns({"__b": before, "__t": total})
-                    .where(F.col("__b") <= share * F.col("__t")).select("variable", "level"))
-    return kept[0].union(kept[1]).distinct()
+    return _top_of_side(shares, "orig", share).union(_top_of_side(shares, "new", share)).distinct()
 
 
 def pooled_levels(shares: DataFrame, top: DataFrame) -> DataFrame:
@@ -242,11 +255,8 @@ def missing_rates(orig: DataFrame, new: DataFrame, variables: Sequence[str] | No
     variables = variables or [c for c in orig.columns if c in new.columns]
     frames = []
     for side, df in (("orig", orig), ("new", new)):
-        wide = df.agg(*[F.avg(F.col(v).isNull().cast("int")).alias(f"m_{v}") for v in variables],
-                      *[F.count_distinct(F.col(v)).alias(f"d_{v}") for v in variables])
-        frames.append(wide.select(F.inline(F.array(*[F.struct(
-            F.lit(v).alias("variable"), F.col(f"m_{v}").alias(f"missing_{side}"),
-            F.col(f"d_{v}").alias(f"distinct_{side}")) for v in variables]))))
+        counted = column_counts(df, variables).select("variable", F.try_divide("n_null", "n_rows").alias(f"missing_{side}"), F.col("n_distinct").alias(f"distinct_{side}"))
+        frames.append(counted)
     return frames[0].join(frames[1], "variable")
 
 

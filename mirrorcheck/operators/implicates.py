@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_new, count_orig, hash_uniform, ratio, require_columns, stack_sides, union_all
+from .crosstabs import SEPARATOR, high_utility_crosstabs
 
 
 def _number(suffix: str) -> str:
@@ -101,6 +102,20 @@ def conjunction_summary(scores: DataFrame) -> DataFrame:
                       F.avg("score").alias("mean"), F.max("score").alias("max"))
 
 
+def crosstab_differences(orig: DataFrame, new: DataFrame, variables: Sequence[str], weight: str, new_suffix: str = "", dims: Sequence[int] = (2, 3)) -> DataFrame:
+    """Per dimension the mean relative difference of the weighted cell shares, over cells that the original has."""
+    cells = high_utility_crosstabs(orig, new, variables, weight, new_suffix, dims)
+    totals = cells.groupBy("crosstab").agg(F.sum("w_orig").alias("__o"), F.sum("w_new").alias("__n"))
+    p, q = ratio(F.col("w_orig"), F.col("__o")), ratio(F.col("w_new"), F.col("__n"))
+    dimension = (F.size(F.split("crosstab", SEPARATOR))).alias("dimension")
+    return cells.join(totals, "crosstab").where("w_orig > 0").groupBy(dimension).agg(F.avg(F.abs(ratio(q - p, p))).alias("rel_diff"))
+
+
+def agreement_rate(compared: DataFrame) -> DataFrame:
+    """Per outcome the share of coefficients that are significant on both sides or on none."""
+    return compared.groupBy("outcome").agg(F.avg((F.col("orig_significant") == F.col("new_significant")).cast("double")).alias("agreement"))
+
+
 def implicate_rollup(measures: Mapping[str, tuple[DataFrame, Sequence[str], str]], n_implicates: int) -> DataFrame:
     """Mean and standard deviation across implicates of many measures in one table.
 

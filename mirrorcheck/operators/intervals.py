@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import null_safe_join, ratio, require_columns
+from ..functions.columns import null_safe_join, ratio, require_columns, union_all
 from ..functions.stats import critical_value
 
 STATISTICS = {"mean": "mean", "prop": "prop", "sum": "sum", "total": "sum"}
@@ -66,22 +66,56 @@ def _simple(rows: DataFrame, statistic: str, z: float, plain_sd_for_sum: bool) -
                       (F.col("est") + z * F.col("se")).alias("upp"))
 
 
-def _survey(rows: DataFrame, statistic: str, z: float, weight: str, replicates: Sequence[str], scale: float) -> DataFrame:
+#: Sums of one aggregation; more take further passes over the rows, which are never copied per variable.
+SUMS_PER_PASS = 400
+
+
+def _cells_of(df: DataFrame, variables: Sequence[str], suffixes: Sequence[str], subsets: Sequence[str], side: str) -> list[tuple[str, str, str, Column, Column]]:
+    """(variable, implicate, subset, value, flag of the rows inside) of each wanted estimate."""
+    require_columns(df, [f"{v}{s}" for v in variables for s in suffixes], side)
+    out = []
+    for s in suffixes:
+        for sub in subsets or [None]:
+            inside = F.lit(True) if sub is None else F.coalesce(F.col(f"{sub}{s}" if f"{sub}{s}" in df.columns else sub) == 1, F.lit(False))
+            out += [(v, "".join(c for c in s if c.isdigit()), sub or "", F.col(f"{v}{s}"), inside) for v in variables]
+    return out
+
+
+def _weighted_sums(df: DataFrame, cells, statistic: str, names: Sequence[str]) -> DataFrame:
+    """(variable, implicate, subset, category, a0.., b0..): weighted sums and sums of weights for each weight.
+
+    For means and totals all cells of a pass are sums over the same rows; for proportions each cell is one grouping by its value.
+    """
+    ws = [F.col(w).cast("double") for w in names]
+
+    def labels(v, i, sub):
+        return [F.lit(v).alias("variable"), F.lit(i).alias("implicate"), F.lit(sub).alias("subset")]
+
+    if statistic == "prop":
+        parts = [df.where(inside).groupBy(x.cast("string").alias("category")).agg(*[F.sum(w).alias(f"a{j}") for j, w in enumerate(ws)]).select(*labels(v, i, sub), "*")
+                 for v, i, sub, x, inside in cells]
+        counted = union_all(parts)
+        totals = counted.groupBy(*KEYS).agg(*[F.sum(f"a{j}").alias(f"b{j}") for j in range(len(ws))])
+        return counted.join(totals, KEYS)
+    per_pass, parts = max(1, SUMS_PER_PASS // (2 * len(ws))), []
+    for start in range(0, len(cells), per_pass):
+        sums, rows = [], []
+        for k, (v, i, sub, x, inside) in enumerate(cells[start:start + per_pass]):
+            value = x.cast("double")
+            sums.append(F.count_if(inside).alias(f"n{k}"))
+            for j, w in enumerate(ws):
+                sums += [F.sum(F.when(inside, w * value)).alias(f"a{k}_{j}"), F.sum(F.when(inside & value.isNotNull(), w)).alias(f"b{k}_{j}")]
+            rows.append(F.struct(*labels(v, i, sub), F.lit(None).cast("string").alias("category"), F.col(f"n{k}").alias("rows"),
+                                 *[F.col(f"{c}{k}_{j}").alias(f"{c}{j}") for j in range(len(ws)) for c in "ab"]))
+        parts.append(df.agg(*sums).select(F.inline(F.array(*rows))))
+    return union_all(parts).where("rows > 0").drop("rows")
+
+
+def _survey(df: DataFrame, cells, statistic: str, z: float, weight: str, replicates: Sequence[str], scale: float) -> DataFrame:
     """Weighted estimate with replicate-weight variance about the full-sample estimate. Means and
     totals get normal limits, proportions logit limits."""
     names = [weight, *replicates]
-    ws = {w: F.col(w).cast("double") for w in names}
-    if statistic == "prop":
-        cells = rows.groupBy(*KEYS, F.col("value").alias("category")).agg(*[F.sum(ws[w]).alias(f"a{i}") for i, w in enumerate(names)])
-        totals = cells.groupBy(*KEYS).agg(*[F.sum(f"a{i}").alias(f"b{i}") for i in range(len(names))])
-        out = cells.join(totals, KEYS)
-    else:
-        x = F.col("value")
-        aggs = []
-        for i, w in enumerate(names):
-            aggs.append(F.sum(ws[w] * x).alias(f"a{i}"))
-            aggs.append(F.sum(F.when(x.isNotNull(), ws[w])).alias(f"b{i}"))
-        out = rows.groupBy(*KEYS).agg(*aggs).withColumn("category", F.lit(None).cast("string"))
+    out = _weighted_sums(df, cells, statistic, names)
 
     def theta(i):
         return F.col(f"a{i}") if statistic == "sum" else ratio(F.col(f"a{i}"), F.col(f"b{i}"))
@@ -144,7 +178,6 @@ def survey_ci_overlap(orig: DataFrame, new: DataFrame, variables: Sequence[str],
     statistic, z = _check(statistic), critical_value(level)
     suffixes = list(suffixes or [""])
     scale = 4.0 / len(replicates) if scale is None else scale
-    keep = [weight, *replicates]
-    a = _survey(_long(orig, variables, [""], statistic, keep, subsets, "the original data"), statistic, z, weight, replicates, scale)
-    b = _survey(_long(new, variables, suffixes, statistic, keep, subsets, "the new data"), statistic, z, weight, replicates, scale)
+    a = _survey(orig, _cells_of(orig, variables, [""], subsets, "the original data"), statistic, z, weight, replicates, scale)
+    b = _survey(new, _cells_of(new, variables, suffixes, subsets, "the new data"), statistic, z, weight, replicates, scale)
     return _combine(a, b, statistic, suffixes, subsets)

@@ -9,29 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import stack_sides
+from ..functions.newton import fitted, logistic_fits
+from ..functions.session import stable
 from ..functions.stats import chi_square_tail, critical_value, normal_two_sided
 
 U_SCHEMA = ("n long, n_new long, n_coefficients int, u double, u_half double, null_mean double, null_se double, "
             "p_value double")
 
 
-def logistic_fit(cells: DataFrame, terms: Sequence[str], share: str, size: str, offset: str | None = None):
-    """Binomial regression on collapsed rows: ``share`` of ones among ``size`` equal rows.
-
-    Collapsed shares give the fit a start close to the data; rows of 0 and 1 with large weights can
-    make the iteration diverge. Returns the model and the rows with their design vectors.
-    """
-    from pyspark.ml.feature import RFormula
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    design = RFormula(formula=f"{share} ~ {' + '.join(terms)}", featuresCol="__x", labelCol="__label").fit(cells).transform(cells)
-    glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="__x", labelCol="__label",
-                                      weightCol=size, maxIter=50, tol=1e-10)
-    if offset:
-        glm = glm.setOffsetCol(offset)
-    return glm.fit(design), design
-
-
 def propensity_u(orig: DataFrame, new: DataFrame, variables: Sequence[str]) -> DataFrame:
     """U statistic of a logistic model for membership in the new data.
 
@@ -44,24 +29,23 @@ def propensity_u(orig: DataFrame, new: DataFrame, variables: Sequence[str]) -> D
     cells = stack_sides(orig, new, variables)
     for v in variables:
         cells = cells.where(F.col(v).isNotNull())
-    cells = cells.groupBy(*variables).agg(F.count("*").cast("double").alias("__w"), F.avg("is_new").alias("share_of_ones")).persist()
-    try:
-        model, design = logistic_fit(cells, variables, "share_of_ones", "__w")
-        k = int(len(model.coefficients)) + 1
-        size = cells.agg(F.sum("__w").alias("n"), F.round(F.sum(F.col("__w") * F.col("share_of_ones"))).alias("m")).first()
-        n, m = size["n"], size["m"]
-        c = m / n
-        sq = model.transform(design).agg(
-            F.sum(F.col("__w") * F.pow(F.col("prediction") - F.lit(c), F.lit(2.0))).alias("u"),
-            F.sum(F.col("__w") * F.pow(F.col("prediction") - 0.5, F.lit(2.0))).alias("h")).first()
-    finally:
-        cells.unpersist()
+    cells = stable(cells.groupBy(*variables).agg(F.count("*").alias("__w"), F.sum("is_new").alias("__h")))
+    size = cells.agg(F.sum("__w").alias("n"), F.sum("__h").alias("m")).first()
+    n, m = size["n"], size["m"]
+    if not n:
+        return orig.sparkSession.createDataFrame([(0, 0, None, None, None, None, None, None)], U_SCHEMA)
+    fits = logistic_fits(cells, variables, [F.col("__w")], [F.col("__h")])
+    k, c = len(fits.names), m / n
+    sq = fitted(fits).agg(F.sum(F.col("size") * F.pow(F.col("p") - F.lit(c), F.lit(2.0))).alias("u"),
+                          F.sum(F.col("size") * F.pow(F.col("p") - 0.5, F.lit(2.0))).alias("h")).first()
     unit = (1 - c) ** 2 * c / n
     u = sq["u"] / n
     row = (int(n), int(m), k, u, sq["h"] / n, (k - 1) * unit, (2 * (k - 1)) ** 0.5 * unit, chi_square_tail(u / unit, k - 1))
     return orig.sparkSession.createDataFrame([row], U_SCHEMA)
 
 
+#: Sums of one aggregation; more take further passes.
+SUMS_PER_PASS = 400
 COEF_SCHEMA = "outcome string, predictor string, estimate double, se double, p_value double, ci_lower double, ci_upper double"
 
 
@@ -69,24 +53,24 @@ def _ols(df: DataFrame, outcome: str, predictors: Sequence[str], weights: Sequen
     """Coefficients for every weight column from one aggregation of cross products."""
     cols = [F.lit(1.0), *[F.col(p).cast("double") for p in predictors], F.col(outcome).cast("double")]
     d = len(cols)
-    aggs, index = [], []
-    for w in weights:
-        for i in range(d):
-            for j in range(i, d):
-                aggs.append(F.sum(F.col(w).cast("double") * cols[i] * cols[j]).alias(f"s{len(aggs)}"))
-                index.append((w, i, j))
     complete = df
     for c in [outcome, *predictors]:
         complete = complete.where(F.col(c).isNotNull())
-    sums = complete.agg(*aggs, F.count("*").alias("n")).first()
+    cells = [(w, i, j) for w in weights for i in range(d) for j in range(i, d)]
+    sums, n = {}, 0
+    for start in range(0, len(cells), SUMS_PER_PASS):
+        part = cells[start:start + SUMS_PER_PASS]
+        row = complete.agg(*[F.sum(F.col(w).cast("double") * cols[i] * cols[j]).alias(f"s{k}") for k, (w, i, j) in enumerate(part)], F.count("*").alias("n")).first()
+        sums |= {cell: row[f"s{k}"] for k, cell in enumerate(part)}
+        n = row["n"]
     out = {}
     for w in weights:
         m = np.zeros((d, d))
-        for pos, (name, i, j) in enumerate(index):
-            if name == w:
-                m[i, j] = m[j, i] = sums[f"s{pos}"]
+        for i in range(d):
+            for j in range(i, d):
+                m[i, j] = m[j, i] = sums[w, i, j]
         out[w] = (np.linalg.solve(m[:-1, :-1], m[:-1, -1]), m)
-    return out, sums["n"]
+    return out, n
 
 
 def regression_coefficients(df: DataFrame, outcome: str, predictors: Sequence[str], weight: str,
@@ -111,29 +95,13 @@ def regression_coefficients(df: DataFrame, outcome: str, predictors: Sequence[st
         ws = [weight, *replicates]
         sums = [F.sum(F.col(w).cast("double")).alias(f"__s{i}") for i, w in enumerate(ws)]
         hits = [F.sum(F.col(w).cast("double") * hit).alias(f"__h{i}") for i, w in enumerate(ws)]
-        cells = data.groupBy(*predictors).agg(*sums, *hits, F.count("*").alias("__n")).persist()
-        try:
-            total = cells.agg(*[F.sum(f"__s{i}").alias(f"s{i}") for i in range(len(ws))], F.sum("__n").alias("n")).first()
-
-            def fit(i):
-                # weights are scaled to add up to the number of rows
-                part = cells.where(F.col(f"__s{i}") > 0).select(
-                    *predictors, (F.col(f"__h{i}") / F.col(f"__s{i}")).alias("share_of_ones"),
-                    (F.col(f"__s{i}") * F.lit(total["n"] / total[f"s{i}"])).alias("__size"))
-                return logistic_fit(part, predictors, "share_of_ones", "__size")[0]
-
-            main = fit(0)
-            beta = np.array([main.intercept, *main.coefficients])
-            if replicates:
-                reps = [np.array([m.intercept, *m.coefficients]) for m in (fit(i) for i in range(1, len(ws)))]
-                se = np.sqrt(scale * sum((r - beta) ** 2 for r in reps))
-            else:
-                errors = list(main.summary.coefficientStandardErrors)
-                se = np.array([errors[-1], *errors[:-1]])
-        finally:
-            cells.unpersist()
-        if len(beta) != len(labels):
-            labels = ["(Intercept)", *[f"x{i + 1}" for i in range(len(beta) - 1)]]
+        cells = stable(data.groupBy(*predictors).agg(*sums, *hits, F.count("*").alias("__n")))
+        total = cells.agg(*[F.sum(f"__s{i}").alias(f"s{i}") for i in range(len(ws))], F.sum("__n").alias("n")).first()
+        # weights are scaled to add up to the number of rows; all weights are fitted together
+        scales = [total["n"] / total[f"s{i}"] for i in range(len(ws))]
+        fits = logistic_fits(cells, predictors, [F.col(f"__s{i}") * x for i, x in enumerate(scales)], [F.col(f"__h{i}") * x for i, x in enumerate(scales)])
+        labels, beta = fits.names, fits.beta[0]
+        se = np.sqrt(scale * ((fits.beta[1:] - beta) ** 2).sum(axis=0)) if replicates else fits.se[0]
     else:
         fits, n = _ols(data, outcome, predictors, [weight, *replicates])
         beta, m = fits[weight]

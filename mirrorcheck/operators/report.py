@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import union_all
 from ..sources.registry import variables_of
-from . import crosstabs, distances
+from . import association, crosstabs, distances
 
 
 def stars(p: Column) -> Column:
@@ -30,7 +30,7 @@ def difference_rollup(categorical: DataFrame, continuous: DataFrame, ks: DataFra
 
 
 def utility_report(orig: Mapping[str, DataFrame], new: Mapping[str, DataFrame], registry: DataFrame) -> DataFrame:
-    """All single-variable measures of all tables in one long frame (table, variable, measure, value).
+    """The measures of single variables, pairs and categories of all tables in one long frame (table, variable, measure, value).
 
     No table is left out for its size; each table is one set of jobs over all its variables.
     """
@@ -41,6 +41,9 @@ def utility_report(orig: Mapping[str, DataFrame], new: Mapping[str, DataFrame],
         cells = F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values])
         frames.append(df.select(F.lit(table).alias("table_name"), "variable", item.alias("item"), F.inline(cells)))
 
+    def pair(df):
+        return df.withColumn("variable", F.concat_ws(" x ", "var_1", "var_2"))
+
     for table in [t for t in orig if t in new]:
         a, b = distances.date_features(orig[table]), distances.date_features(new[table])
         cats = variables_of(registry, table, "cat", a, b)
@@ -56,6 +59,13 @@ def utility_report(orig: Mapping[str, DataFrame], new: Mapping[str, DataFrame],
             add(table, distances.missing_rates(a, b, [*cats, *conts]), [],
                 ["missing_orig", "missing_new", "distinct_orig", "distinct_new"])
         if len(cats) >= 2:
-            tabs = crosstabs.compare_crosstabs(a, b, cats, 2).withColumnRenamed("crosstab", "variable")
-            add(table, tabs, ["level_1", "level_2"], ["n_orig", "n_new", "p_orig", "p_new"])
+            top = distances.top_levels(distances.level_shares(distances.level_counts(a, b, cats)))
+            tabs = crosstabs.crosstab_report(a, b, cats, top).withColumnRenamed("crosstab", "variable")
+            add(table, tabs, ["level_1", "other_1", "level_2", "other_2"], ["n_orig", "n_new", "p_orig", "p_new", "diff", "rel_diff"])
+            add(table, pair(association.cramers_v(a, b, cats)), [], ["orig_v", "new_v"])
+            add(table, distances.joint_distance(a, b, cats).withColumn("variable", F.lit(" x ".join(cats))), [], ["hd"])
+        if len(conts) >= 2:
+            for method in ("pearson", "spearman"):
+                found = pair(association.pairwise_correlations(a, b, conts, method)).withColumn("method", F.lit(method))
+                add(table, found, ["method"], ["orig_corr", "new_corr", "diff", "rel_diff"])
     return union_all(frames)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import long_values, ratio, union_all
+from ..functions.columns import column_counts, long_values, ratio, union_all
 
 # Concept ids and names of the recode.
 KNOWN_ETHNICITY = (38003563, 38003564)
@@ -86,10 +86,6 @@ def id_counts(orig: Mapping[str, DataFrame], new: Mapping[str, DataFrame],
               ids: Mapping[str, Sequence[str]]) -> DataFrame:
     """Distinct values of the id columns of each table on both sides."""
     def side(tables, name):
-        frames = []
-        for table, cols in ids.items():
-            wide = tables[table].agg(*[F.count_distinct(c).alias(c) for c in cols])
-            frames.append(wide.select(F.lit(table).alias("table_name"), F.inline(F.array(*[
-                F.struct(F.lit(c).alias("id_column"), F.col(c).alias(name)) for c in cols]))))
-        return union_all(frames)
+        return union_all([column_counts(tables[table], cols).select(F.lit(table).alias("table_name"), F.col("variable").alias("id_column"), F.col("n_distinct").alias(name))
+                          for table, cols in ids.items()])
     return side(orig, "orig_distinct").join(side(new, "new_distinct"), ["table_name", "id_column"], "outer")

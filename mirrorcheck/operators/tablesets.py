@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_uniform, ratio, union_all
+from ..functions.columns import column_counts, hash_uniform, ratio, union_all
 
 
 def sample_persons(person: DataFrame, fraction: float, seed: int = 111, key: str = "person_id") -> DataFrame:
@@ -51,15 +51,8 @@ def table_parity(orig: Mapping[str, DataFrame], new: Mapping[str, DataFrame], ke
 
 
 def distinct_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Distinct non-null values of every column of every table, one pass per table."""
-    frames = []
-    for name, t in tables.items():
-        wide = t.agg(*[F.count_distinct(F.col(c)).alias(c) for c in t.columns])
-        frames.append(wide.select(
-            F.lit(name).alias("folder"),
-            F.inline(F.array(*[F.struct(F.lit(c).alias("col_name"), F.col(c).alias("n_distinct")) for c in t.columns])),
-        ))
-    return union_all(frames)
+    """Distinct non-null values of every column of every table."""
+    return union_all([column_counts(t, t.columns).select(F.lit(name).alias("folder"), F.col("variable").alias("col_name"), "n_distinct") for name, t in tables.items()])
 
 
 def column_profile(orig: Mapping[str, DataFrame], new: Mapping[str, DataFrame], registry: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import days_in, intervals_with
+from ..functions.newton import Fits, logistic_fits
+from ..functions.session import stable
 from ..functions.stats import critical_value
-from .episodes import spread_days
-from .models import logistic_fit
 
 START, END, EPISODE = "combined_macrovisit_start_date", "combined_macrovisit_end_date", "combined_macrovisit_id"
 
@@ -47,15 +49,13 @@ def episodes_with_diagnosis(episodes: DataFrame, days: DataFrame, diagnoses: Seq
     for d in diagnoses:
         cond = cond | (F.col(d) == 1)
     ill = days.where(cond).select("person_id", "date").distinct()
-    hit = spread_days(episodes.select("person_id", EPISODE, START, END), START, END).join(
-        ill, ["person_id", "date"], "left_semi").select("person_id", EPISODE).distinct()
+    hit = intervals_with(episodes.select("person_id", EPISODE, START, END), ill, ["person_id"], "date", START, END).distinct()
     return episodes.join(hit, ["person_id", EPISODE], "left_semi")
 
 
 def _window(episodes: DataFrame, first: Column, last: Column) -> DataFrame:
-    """Every (episode, day) of a window around the episode."""
-    spans = episodes.select("person_id", EPISODE, first.alias("__from"), last.alias("__to"))
-    return spread_days(spans, "__from", "__to").select("person_id", EPISODE, "date")
+    """The window around each episode, from ``__from`` to ``__to``."""
+    return episodes.select("person_id", EPISODE, first.alias("__from"), last.alias("__to"))
 
 
 def episode_tests(episodes: DataFrame, days: DataFrame, design: StudyDesign) -> DataFrame:
@@ -69,7 +69,7 @@ def episode_tests(episodes: DataFrame, days: DataFrame, design: StudyDesign) ->
         F.max(F.when(any_other, 1).otherwise(0)).alias("x"),
         F.max(F.when(F.col(design.outcome_positive) == 1, 1).otherwise(0)).alias("p"))
     window = _window(episodes, F.date_sub(START, design.days_before_test), F.date_add(END, design.days_after_test))
-    return window.join(tests, ["person_id", "date"]).groupBy("person_id", EPISODE).agg(
+    return days_in(tests, window, ["person_id"], "date", "__from", "__to").groupBy("person_id", EPISODE).agg(
         F.max("o").alias("has_influenza_test"), F.max("x").alias("has_virus_test"),
         F.max("p").alias("positive_influenza_test"))
 
@@ -81,8 +81,7 @@ def fully_tested(tests: DataFrame) -> DataFrame:
 def vaccinated_in(episodes: DataFrame, days: DataFrame, vaccination: str, first: Column, last: Column) -> DataFrame:
     """Ids of the episodes with a vaccination day in the window."""
     shots = days.where(F.col(vaccination) == 1).select("person_id", "date").distinct()
-    return _window(episodes, first, last).join(shots, ["person_id", "date"], "left_semi").select(
-        "person_id", EPISODE).distinct()
+    return intervals_with(_window(episodes, first, last), shots, ["person_id"], "date", "__from", "__to").distinct()
 
 
 def drop_recently_vaccinated(episodes: DataFrame, days: DataFrame, design: StudyDesign) -> DataFrame:
@@ -151,30 +150,38 @@ def _cells(analysis: DataFrame, covariates: Sequence[str]) -> DataFrame:
     rows = analysis.where(F.col("positive_influenza_test").isNotNull())
     for c in cols:
         rows = rows.where(F.col(c).isNotNull())
-    return rows.groupBy(*cols).agg(F.count("*").cast("double").alias("__w"), F.avg("positive_influenza_test").alias("share_of_ones"))
+    return stable(rows.groupBy(*cols).agg(F.count("*").alias("__n"), F.sum("positive_influenza_test").alias("__h")))
 
 
-def fit_logistic(cells: DataFrame, covariates: Sequence[str], exposure: str = "vaccinated", fixed: float | None = None):
-    """Logistic regression on collapsed rows; with ``fixed`` the exposure effect is held at that value."""
+def fit_logistic(cells: DataFrame, covariates: Sequence[str], exposure: str = "vaccinated", fixed: Sequence[float] | None = None) -> Fits:
+    """Logistic regression on collapsed rows; with ``fixed`` one fit for each effect at which the exposure is held."""
     if fixed is None:
-        return logistic_fit(cells, [exposure, *covariates], "share_of_ones", "__w")[0]
-    held = cells.withColumn("__off", F.col(exposure).cast("double") * F.lit(float(fixed)))
-    return logistic_fit(held, covariates, "share_of_ones", "__w", "__off")[0]
-
-
-def _profile_limit(cells, covariates, beta, se, deviance, cut, sign, rounds=25):
-    """Where the profile deviance of the exposure exceeds the best one by ``cut`` (bisection)."""
-    inside, outside = beta, beta + sign * 4.0 * se
-    for _ in range(6):
-        if fit_logistic(cells, covariates, fixed=outside).summary.deviance - deviance > cut:
+        return logistic_fits(cells, [exposure, *covariates], [F.col("__n")], [F.col("__h")])
+    return logistic_fits(cells, covariates, [F.col("__n")], [F.col("__h")], F.col(exposure), fixed)
+
+
+def _profile_limit(cells, covariates, beta, se, deviance, cut, sign, points=12, rounds=6):
+    """Where the profile deviance of the exposure exceeds the best one by ``cut``; None if that isn't found.
+
+    Each round fits several values at once and keeps the gap between those that lie inside and outside.
+    """
+    inside, outside = beta, None
+    for reach in (1, 6, 36):
+        tried = beta + sign * reach * 4.0 * se * np.arange(1, points + 1) / points
+        over = fit_logistic(cells, covariates, fixed=tried.tolist()).deviance - deviance > cut
+        if over.any():
+            first = int(np.argmax(over))
+            inside, outside = (tried[first - 1] if first else inside), tried[first]
             break
-        inside, outside = outside, outside + sign * 4.0 * se
+        inside = tried[-1]
+    if outside is None:
+        return None
     for _ in range(rounds):
-        mid = (inside + outside) / 2
-        if fit_logistic(cells, covariates, fixed=mid).summary.deviance - deviance > cut:
-            outside = mid
-        else:
-            inside = mid
+        tried = np.linspace(inside, outside, points + 2)[1:-1]
+        over = fit_logistic(cells, covariates, fixed=tried.tolist()).deviance - deviance > cut
+        edges = np.concatenate([[inside], tried, [outside]])
+        first = int(np.argmax(over)) if over.any() else points
+        inside, outside = edges[first], edges[first + 1]
         if abs(outside - inside) < 1e-6:
             break
     return (inside + outside) / 2
@@ -182,27 +189,32 @@ def _profile_limit(cells, covariates, beta, se, deviance, cut, sign, rounds=25):
 
 def adjusted_estimates(analysis: DataFrame, covariates: Sequence[str] = ("age", "sex", "race_ethnicity"),
                        level: float = 0.95, profile: bool = False) -> DataFrame:
-    """Adjusted odds ratio and vaccine effectiveness; ``profile=True`` gives profile-likelihood limits."""
-    spark = analysis.sparkSession
-    cells = _cells(analysis, covariates).persist()
-    try:
-        rows = []
-        if cells.count():
-            model = fit_logistic(cells, covariates)
-            beta = float(model.coefficients[0])
-            se = float(model.summary.coefficientStandardErrors[0])
-            z = critical_value(level)
-            if profile:
-                lo, hi = (_profile_limit(cells, covariates, beta, se, model.summary.deviance, z * z, s) for s in (-1, 1))
-            else:
-                lo, hi = beta - z * se, beta + z * se
-            odds = math.exp(beta)
-            rows = [("Adjusted Odds Ratio", odds, odds * se, math.exp(lo), math.exp(hi)),
-                    ("Vaccine Effectiveness", 100 * (1 - odds), 100 * odds * se,
-                     100 * (1 - math.exp(hi)), 100 * (1 - math.exp(lo)))]
-    finally:
-        cells.unpersist()
-    return spark.createDataFrame(rows, ESTIMATES)
+    """Adjusted odds ratio and vaccine effectiveness; ``profile=True`` gives profile-likelihood limits.
+
+    Without a complete row the figures are null; a limit that the data don't bound is null too.
+    """
+    def exp(x):
+        return None if x is None or x > 700 else math.exp(x)
+
+    def effect(x):
+        return None if x is None else 100 * (1 - x)
+
+    cells = _cells(analysis, covariates)
+    rows = [("Adjusted Odds Ratio", None, None, None, None), ("Vaccine Effectiveness", None, None, None, None)]
+    if not cells.isEmpty():
+        fits = fit_logistic(cells, covariates)
+        at = fits.names.index("vaccinated")
+        beta, se = float(fits.beta[0, at]), float(fits.se[0, at])
+        z = critical_value(level)
+        if profile:
+            lo, hi = (_profile_limit(cells, covariates, beta, se, fits.deviance[0], z * z, s) for s in (-1, 1))
+        else:
+            lo, hi = beta - z * se, beta + z * se
+        odds, lo, hi = exp(beta), exp(lo), exp(hi)
+        error = None if odds is None else odds * se
+        rows = [("Adjusted Odds Ratio", odds, error, lo, hi),
+                ("Vaccine Effectiveness", effect(odds), None if error is None else 100 * error, effect(hi), effect(lo))]
+    return analysis.sparkSession.createDataFrame(rows, ESTIMATES)
 
 
 def study_estimates(analysis: DataFrame, level: float = 0.95, profile: bool = False) -> DataFrame:

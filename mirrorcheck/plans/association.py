@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import association as ac
 from ..operators import crosstabs as ct
 from ..operators import distances as di
-from .distances import CATS, F03, NUMS
+from .distances import CATS, F03_RAW, NUMS
 from .registry import query
 
 
@@ -76,7 +76,7 @@ def _(t):
     return ct.compare_crosstabs(t.lines, t.lines_s, CATS[:3], 3)
 
 
-@query("f13_crosstab_report", F03.split("pool AS", 1)[0] + f"""top AS (SELECT variable, level FROM k WHERE bo <= 0.5 * o_all OR bn <= 0.5 * n_all), {cells_sql(CATS, 2)},
+@query("f13_crosstab_report", F03_RAW.split("pool AS", 1)[0] + f"""top AS (SELECT variable, level FROM k WHERE bo <= 0.5 * o_all OR bn <= 0.5 * n_all), {cells_sql(CATS, 2)},
 p AS (SELECT crosstab, CASE WHEN a.variable IS NULL THEN 'Other' ELSE level_1 END AS level_1, CASE WHEN b.variable IS NULL THEN 'Other' ELSE level_2 END AS level_2,
   CAST(sum(n_orig) AS BIGINT) AS n_orig, CAST(sum(n_new) AS BIGINT) AS n_new FROM cells
   LEFT JOIN top a ON a.variable = split_part(crosstab, ' x ', 1) AND a.level IS NOT DISTINCT FROM level_1
@@ -85,4 +85,4 @@ q AS (SELECT *, n_orig / sum(n_orig) OVER (PARTITION BY crosstab) AS po, n_new /
 SELECT crosstab, level_1, level_2, n_orig, n_new, round(po, 6) AS p_orig, round(pn, 6) AS p_new, round(pn - po, 6) AS diff, round((pn - po) / nullif(po, 0), 6) AS rel_diff FROM q""")
 def _(t):
     shares = di.level_shares(di.level_counts(t.lines, t.lines_s, CATS))
-    return ct.crosstab_report(t.lines, t.lines_s, CATS, di.top_levels(shares))
+    return ct.crosstab_report(t.lines, t.lines_s, CATS, di.top_levels(shares)).drop("var_1", "var_2", "other_1", "other_2")

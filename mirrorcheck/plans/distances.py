@@ -49,7 +49,19 @@ def _(t):
     return di.joint_distance(t.lines, t.lines_s, ["returnflag", "linestatus", "line_no"])
 
 
-F03 = f"""WITH {LEVELS},
+def chi_square_p(x, df):
+    """Upper tail of the chi-square law by its series; 0 where it is beyond all digits."""
+    return f"""CASE WHEN {df} < 1 OR {x} IS NULL THEN NULL WHEN {x} <= 0 THEN 1.0 WHEN {x} / 2 > 600 THEN 0.0 ELSE greatest(0.0, 1 - list_sum(list_transform(range(3000),
+  lambda n: exp(-({x}) / 2 + ({df} / 2.0 + n) * ln(({x}) / 2) - lgamma({df} / 2.0 + n + 1))))) END"""
+
+
+def kolmogorov_p(lam):
+    """Two-sided tail of the Kolmogorov law: its alternating series, or the other one for small values."""
+    return f"""CASE WHEN {lam} <= 0 THEN 1.0 WHEN {lam} < 0.5 THEN 1 - sqrt(2 * pi()) / ({lam}) * list_sum(list_transform(range(1, 6), lambda k: exp(-pow(2 * k - 1, 2) * pow(pi(), 2) / 8 / pow({lam}, 2))))
+  ELSE list_sum(list_transform(range(1, 61), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * pow({lam}, 2)))) END"""
+
+
+F03_RAW = f"""WITH {LEVELS},
 k AS (SELECT *, sum(n_orig) OVER (PARTITION BY variable ORDER BY n_orig DESC, level NULLS LAST ROWS UNBOUNDED PRECEDING) - n_orig AS bo,
   sum(n_new) OVER (PARTITION BY variable ORDER BY n_new DESC, level NULLS LAST ROWS UNBOUNDED PRECEDING) - n_new AS bn,
   sum(n_orig) OVER (PARTITION BY variable) AS o_all, sum(n_new) OVER (PARTITION BY variable) AS n_all FROM sh),
@@ -59,14 +71,15 @@ pool AS (SELECT variable, CASE WHEN bo <= 0.5 * o_all OR bn <= 0.5 * n_all THEN
 e AS (SELECT *, sum(n_orig) OVER (PARTITION BY variable) AS so, sum(n_new) OVER (PARTITION BY variable) AS sn, count(*) OVER (PARTITION BY variable) AS lv FROM pool),
 g AS (SELECT *, (n_orig + n_new) * so / (so + sn) AS eo, (n_orig + n_new) * sn / (so + sn) AS en FROM e),
 chi AS (SELECT variable, max(lv) - 1 AS df, sum(pow(abs(n_orig - eo) - CASE WHEN lv = 2 THEN least(0.5, abs(n_orig - eo)) ELSE 0 END, 2) * (1 / eo + 1 / en)) AS chi_square FROM g GROUP BY variable)
-SELECT p.variable, p.level, CAST(n_orig AS BIGINT) AS n_orig, CAST(n_new AS BIGINT) AS n_new, round(p_orig, 6) AS p_orig, round(p_new, 6) AS p_new,
-  round(h.hd, 6) AS hd, round(chi_square, 4) AS chi_square, df FROM pool p JOIN chi ON p.variable = chi.variable
+SELECT p.variable, p.level, CAST(n_orig AS BIGINT) AS n_orig, CAST(n_new AS BIGINT) AS n_new, p_orig, p_new,
+  h.hd, chi_square, df, {chi_square_p('chi_square', 'df')} AS p_value FROM pool p JOIN chi ON p.variable = chi.variable
   JOIN (SELECT variable, {HD} AS hd FROM sh GROUP BY variable) h ON p.variable = h.variable"""
+F03 = f"SELECT * REPLACE (round(p_orig, 6) AS p_orig, round(p_new, 6) AS p_new, round(hd, 6) AS hd, round(chi_square, 4) AS chi_square, round(p_value, 6) AS p_value) FROM ({F03_RAW}) z"
 
 
 @query("f03_top_levels", F03)
 def _(t):
-    return di.top_level_report(t.lines, t.lines_s, CATS, p_values=False).withColumn("chi_square", F.round("chi_square", 4))
+    return di.top_level_report(t.lines, t.lines_s, CATS).withColumn("chi_square", F.round("chi_square", 4))
 
 
 def _summary_sql():
@@ -111,14 +124,18 @@ def _(t):
     return di.paired_distances(t.implicates, PAIRED, ["_1", "_2", "_3"], weight="weight")
 
 
-@query("f06_ks_distance", f"""
+F06_RAW = f"""
 WITH u AS (SELECT variable, x, 0 AS s FROM ({long_sql('lines', NUMS, 'DOUBLE')}) a UNION ALL SELECT variable, x, 1 FROM ({long_sql('lines_s', NUMS, 'DOUBLE')}) b),
 c AS (SELECT variable, x, count(*) FILTER (WHERE s = 0) AS o, count(*) FILTER (WHERE s = 1) AS n FROM u WHERE x IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT variable, sum(o) OVER w / sum(o) OVER p AS eo, sum(n) OVER w / sum(n) OVER p AS en, sum(o) OVER p AS so, sum(n) OVER p AS sn FROM c
   WINDOW w AS (PARTITION BY variable ORDER BY x ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY variable))
-SELECT variable, CAST(max(so) AS BIGINT) AS n_orig, CAST(max(sn) AS BIGINT) AS n_new, round(max(abs(eo - en)), 6) AS ks_distance FROM k GROUP BY variable""")
+SELECT *, {kolmogorov_p('(ks_distance * sqrt(1.0 * n_orig * n_new / (n_orig + n_new)))')} AS p_value FROM (
+  SELECT variable, CAST(max(so) AS BIGINT) AS n_orig, CAST(max(sn) AS BIGINT) AS n_new, max(abs(eo - en)) AS ks_distance FROM k GROUP BY variable) x"""
+
+
+@query("f06_ks_distance", f"SELECT * REPLACE (round(ks_distance, 6) AS ks_distance, round(p_value, 6) AS p_value) FROM ({F06_RAW}) z")
 def _(t):
-    return di.ks_distance(t.lines, t.lines_s, NUMS, p_values=False)
+    return di.ks_distance(t.lines, t.lines_s, NUMS)
 
 
 ALL = ["quantity", "price", "returnflag", "linestatus", "line_no", "supplier_group", "ship_date"]

@@ -4,6 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import union_all
 from ..functions.stats import normal_quantile
 from ..operators import association as ac
 from ..operators import crosstabs as ct
@@ -12,8 +13,9 @@ from ..operators import implicates as im
 from ..operators import intervals as iv
 from ..operators import models as mo
 from ..operators import report as rp
-from .distances import CATS, NUMS
+from .distances import CATS, F03_RAW, F06_RAW, NUMS, chi_square_p
 from .registry import query
+from .tablesets import TWINS
 from .tablesets import registry as variable_types
 
 Z = normal_quantile(0.975)
@@ -21,6 +23,8 @@ SUFFIXES = ["_1", "_2", "_3"]
 REPS = [f"rep_{r}" for r in range(1, 9)]
 VARS = ["quantity", "tax", "discount"]
 CAT = ["flag", "status", "line_no"]
+MODELS = [("quantity", ["discount", "tax"]), ("cheap", ["quantity", "tax"])]
+U_VARS = ["flag", "status", "discount"]
 
 IO = "0.5 * ((least({u1}, {u2}) - greatest({l1}, {l2})) / ({u1} - {l1}) + (least({u1}, {u2}) - greatest({l1}, {l2})) / ({u2} - {l2}))"
 
@@ -43,9 +47,10 @@ WITH u AS (SELECT supplier_group AS g, 0 AS s FROM lines WHERE supplier_group IS
 t AS (SELECT count(*) AS n, sum(s) AS m, count(DISTINCT g) AS k FROM u),
 c AS (SELECT count(*) AS w, avg(s) AS p FROM u GROUP BY g),
 r AS (SELECT n, m, k, sum(w * pow(p - m / n, 2)) / n AS u, sum(w * pow(p - 0.5, 2)) / n AS h, pow(1 - m / n, 2) * (m / n) / n AS unit FROM c, t GROUP BY n, m, k)
-SELECT n, CAST(m AS BIGINT) AS n_new, CAST(k AS INT) AS n_coefficients, round(u, 6) AS u, round(h, 6) AS u_half, round((k - 1) * unit, 6) AS null_mean, round(sqrt(2 * (k - 1)) * unit, 6) AS null_se FROM r""")
+SELECT n, CAST(m AS BIGINT) AS n_new, CAST(k AS INT) AS n_coefficients, round(u, 6) AS u, round(h, 6) AS u_half, round((k - 1) * unit, 6) AS null_mean, round(sqrt(2 * (k - 1)) * unit, 6) AS null_se,
+  round(""" + chi_square_p("(u / unit)", "(k - 1)") + """, 6) AS p_value FROM r""")
 def _(t):
-    return mo.propensity_u(t.lines, t.lines_s, ["supplier_group"]).drop("p_value")
+    return mo.propensity_u(t.lines, t.lines_s, ["supplier_group"])
 
 
 @query("f14_propensity_model")
@@ -121,6 +126,35 @@ def _(t):
     return short(iv.survey_ci_overlap(t.implicates, t.implicates, VARS, "weight", REPS, SUFFIXES))
 
 
+LIMITS = ("orig", "new", "orig_low", "new_low", "orig_upp", "new_upp")
+
+
+def _svy(total=False, subsets=()):
+    """Estimates with replicate weights: means or totals, of all rows or of those with a flag."""
+    extra = ", weight, " + ", ".join(REPS)
+    theta = ", ".join(f"sum({w} * x)" + ("" if total else f" / sum(CASE WHEN x IS NOT NULL THEN {w} END)") + f" AS t{i}" for i, w in enumerate(["weight", *REPS]))
+    var = " + ".join(f"pow(t{i} - t0, 2)" for i in range(1, 9))
+
+    def side(new):
+        rows = " UNION ALL ".join(_imp_rows(extra=f", '{sub}' AS subset" + extra, where=f" WHERE {sub} = 1" if sub else "")[new] for sub in subsets or ("",))
+        keys = "variable, subset" + (", implicate" if new else "")
+        return f"SELECT *, t0 AS est, t0 - {Z} * sqrt(0.5 * ({var})) AS low, t0 + {Z} * sqrt(0.5 * ({var})) AS upp FROM (SELECT {keys}, {theta} FROM ({rows}) r GROUP BY {keys}) q"
+
+    return f"""WITH a AS ({side(0)}), b AS ({side(1)})
+{overlap_select('a.variable, b.implicate' + (', a.subset' if subsets else ''))} FROM a JOIN b ON a.variable = b.variable AND a.subset = b.subset"""
+
+
+@query("f17_survey_totals", f"SELECT * REPLACE ({', '.join(f'round({c} / 1e6, 3) AS {c}' for c in LIMITS)}) FROM ({_svy(total=True)}) z", digits=5)
+def _(t):
+    out = short(iv.survey_ci_overlap(t.implicates, t.implicates, VARS, "weight", REPS, SUFFIXES, "total"))
+    return out.withColumns({c: F.round(F.col(c) / 1e6, 3) for c in LIMITS})
+
+
+@query("g04_survey_subsets", _svy(subsets=("early", "cheap")), digits=5)
+def _(t):
+    return short(iv.survey_ci_overlap(t.implicates, t.implicates, VARS, "weight", REPS, SUFFIXES, subsets=["early", "cheap"]))
+
+
 def _svy_prop():
     extra = ", weight, " + ", ".join(REPS)
     o, n = _imp_rows("STRING", ["flag"], extra)
@@ -141,10 +175,16 @@ def _(t):
     return short(iv.survey_ci_overlap(t.implicates, t.implicates, ["flag"], "weight", REPS, SUFFIXES, "prop"))
 
 
-@query("f18_difference_rollup")
+@query("f18_difference_rollup", f"""
+WITH top AS ({F03_RAW}), ks AS ({F06_RAW}),
+m AS ({" UNION ALL ".join(f"SELECT '{v}' AS variable, (SELECT avg({v}) FROM lines_s) - (SELECT avg({v}) FROM lines) AS mean_diff, (SELECT stddev_samp({v}) FROM lines_s) - (SELECT stddev_samp({v}) FROM lines) AS sd_diff" for v in NUMS)}),
+r AS (SELECT variable, max(p_value) AS p_value, max(abs(p_new - p_orig)) AS max_diff, NULL::DOUBLE AS mean_diff, NULL::DOUBLE AS sd_diff FROM top GROUP BY variable
+  UNION ALL SELECT ks.variable, p_value, NULL, mean_diff, sd_diff FROM ks JOIN m ON ks.variable = m.variable)
+SELECT variable, round(p_value, 6) AS p_value, round(max_diff, 6) AS max_diff, round(mean_diff, 4) AS mean_diff, round(sd_diff, 4) AS sd_diff,
+  CASE WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE '' END AS sig FROM r""")
 def _(t):
-    return rp.difference_rollup(di.top_level_report(t.lines, t.lines_s, CATS), di.continuous_summary(t.lines, t.lines_s, NUMS),
-                                di.ks_distance(t.lines, t.lines_s, NUMS))
+    out = rp.difference_rollup(di.top_level_report(t.lines, t.lines_s, CATS), di.continuous_summary(t.lines, t.lines_s, NUMS), di.ks_distance(t.lines, t.lines_s, NUMS))
+    return out.withColumns({"mean_diff": F.round("mean_diff", 4), "sd_diff": F.round("sd_diff", 4)})
 
 
 @query("f18_difference_rollup_values", f"""
@@ -159,8 +199,8 @@ def _(t):
 
 @query("f19_utility_report")
 def _(t):
-    return rp.utility_report({"person": t.person, "visit_occurrence": t.visit_occurrence},
-                             {"person": t.person_s, "visit_occurrence": t.visit_occurrence_s}, variable_types(t.spark))
+    """All tables that have a twin, with every variable of the registry."""
+    return rp.utility_report({n: getattr(t, n) for n in TWINS}, {n: getattr(t, f"{n}_s") for n in TWINS}, variable_types(t.spark))
 
 
 # ------------------------------------------------------------------ G
@@ -262,22 +302,41 @@ def _(t):
                            {"visit_concept_id": 0, "discharge_to_concept_id": 0, "total_charge": 20000.0})
 
 
-def _wcorr(a, b):
+def _wcorr(a, b, table="implicates"):
     ok = f"{a} IS NOT NULL AND {b} IS NOT NULL"
     return f"""(SELECT (sum(w * x * y) / sum(w) - sum(w * x) * sum(w * y) / pow(sum(w), 2)) / sqrt((sum(w * x * x) / sum(w) - pow(sum(w * x) / sum(w), 2)) * (sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2)))
-  FROM (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, weight AS w FROM implicates WHERE {ok}) q)"""
+  FROM (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, weight AS w FROM {table} WHERE {ok}) q)"""
+
+
+def _changes(table="implicates"):
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS var_1, '{b}' AS var_2, (SELECT count(*) FROM implicates WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n_orig, {_wcorr(a, b, table)} AS o, {_wcorr(a + '_1', b + '_1', table)} AS n"
+                               for a, b in combinations(VARS, 2))
+    return f"SELECT *, abs(o - n) / (pow(1 - o, 2) / sqrt(n_orig)) AS scaled FROM ({pairs}) x"
 
 
-@query("g10_weighted_correlations", "SELECT var_1, var_2, n_orig, round(o, 6) AS orig_corr, round(n, 6) AS new_corr, round(abs(o - n), 6) AS abs_diff, round(abs(o - n) / o, 3) AS rel_diff, round(abs(o - n) / (pow(1 - o, 2) / sqrt(n_orig)), 5) AS scaled_diff FROM ("
-       + " UNION ALL ".join(f"SELECT '{a}' AS var_1, '{b}' AS var_2, (SELECT count(*) FROM implicates WHERE {a} IS NOT NULL AND {b} IS NOT NULL) AS n_orig, {_wcorr(a, b)} AS o, {_wcorr(a + '_1', b + '_1')} AS n" for a, b in combinations(VARS, 2)) + ") x")
+_ROUNDED = ("SELECT var_1, var_2, n_orig, round(o, 6) AS orig_corr, round(n, 6) AS new_corr, round(abs(o - n), 6) AS abs_diff, round(abs(o - n) / o, 3) AS rel_diff, "
+            "round(scaled, 5) AS scaled_diff FROM ({}) y")
+_RANKED = [*VARS, *[f"{v}_1" for v in VARS]]
+RANKS = ", ".join(f"""rk_{v} AS (SELECT x, sum(w) OVER (ORDER BY x ROWS UNBOUNDED PRECEDING) - w + (n + 1) / 2.0 * w / n AS r
+  FROM (SELECT CAST({v} AS DOUBLE) AS x, sum(weight) AS w, count(*) AS n FROM implicates WHERE {v} IS NOT NULL GROUP BY 1) q)""" for v in _RANKED) + (
+    ", ranked AS (SELECT weight, " + ", ".join(f"rk_{v}.r AS {v}" for v in _RANKED) + " FROM implicates i " + " ".join(f"LEFT JOIN rk_{v} ON CAST(i.{v} AS DOUBLE) = rk_{v}.x" for v in _RANKED) + ")")
+
+
+@query("g10_weighted_correlations", _ROUNDED.format(_changes()))
 def _(t):
     out = ac.change_in_correlations(t.implicates, t.implicates, VARS, "weight", "_1")
     return out.withColumns({"rel_diff": F.round("rel_diff", 3), "scaled_diff": F.round("scaled_diff", 5)})
 
 
-@query("g10_weighted_rank_correlations")
+@query("g10_weighted_rank_correlations", f"WITH {RANKS} " + _ROUNDED.format(_changes("ranked")))
 def _(t):
-    return ac.change_in_correlations(t.implicates, t.implicates, VARS, "weight", "_1", method="spearman")
+    out = ac.change_in_correlations(t.implicates, t.implicates, VARS, "weight", "_1", method="spearman")
+    return out.withColumns({"rel_diff": F.round("rel_diff", 3), "scaled_diff": F.round("scaled_diff", 5)})
+
+
+@query("g10_global_score", f"SELECT round(avg(scaled), 5) AS global_utility, count(*) AS n_pairs FROM ({_changes()}) y", digits=5)
+def _(t):
+    return ac.global_correlation_score(ac.change_in_correlations(t.implicates, t.implicates, VARS, "weight", "_1"))
 
 
 def _slope(y, x):
@@ -296,6 +355,11 @@ def _(t):
                                   "weight", suffix="_1")
 
 
+@query("g11_significance_agreement")
+def _(t):
+    return mo.significance_agreement(mo.compare_regressions(t.implicates, t.implicates, [("quantity", ["discount", "tax"]), ("cheap", ["quantity", "tax"])], "weight", REPS, suffix="_1"))
+
+
 @query("g12_implicate_rollup", f"""
 WITH c AS ({' UNION ALL '.join(f"SELECT 'records changed' AS measure, '{v}' AS item, 100.0 * avg(CASE WHEN {v}_{i} IS DISTINCT FROM {v} THEN 1 ELSE 0 END) AS x FROM implicates" for v in VARS for i in (1, 2, 3))}),
 d AS ({' UNION ALL '.join(f"SELECT 'mean distance' AS measure, '{v}' AS item, avg(abs(CAST({v} AS DOUBLE) - {v}_{i})) AS x FROM implicates" for v in VARS for i in (1, 2, 3))})
@@ -320,6 +384,9 @@ def _(t):
         "ci overlap": (iv.ci_overlap(x, x, VARS, SUFFIXES), ["variable"], "overlap"),
         "k-marginal": (marg[0].unionByName(marg[1]).unionByName(marg[2]), ["crosstab"], "tvn"),
         "correlation": (corr[0].unionByName(corr[1]).unionByName(corr[2]), ["var_1", "var_2"], "abs_diff"),
+        "crosstab difference": (union_all([im.crosstab_differences(x, x, CAT, "weight", s).withColumn("implicate", F.lit(i)) for s, i in stack.items()]), ["dimension"], "rel_diff"),
+        "significance": (union_all([im.agreement_rate(mo.compare_regressions(x, x, MODELS, "weight", suffix=s)).withColumn("implicate", F.lit(i)) for s, i in stack.items()]), ["outcome"], "agreement"),
+        "propensity": (union_all([mo.propensity_u(x.select(*U_VARS), x.select(*[F.col(v + s).alias(v) for v in U_VARS]), U_VARS).withColumn("implicate", F.lit(i)) for s, i in stack.items()]), [], "u"),
     }, 3)
 
 

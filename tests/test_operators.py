@@ -94,14 +94,18 @@ def test_running_sums_in_ranges_equal_single_window(spark, ranges):
     df = spark.createDataFrame(data, "g int, v double")
     c = ordered.value_counts(df, ["g"], "v", {"n": F.count("*")})
     one = sorted(rows(ordered.running_sums(c, ["g"], "v", ["n"]).select("g", "v", "n", "cum_n", "total_n")))
-    many = sorted(rows(ordered.running_sums(c, ["g"], "v", ["n"], single_window_rows=10, ranges=ranges).select("g", "v", "n", "cum_n", "total_n")))
+    many = sorted(rows(ordered.running_sums(c, ["g"], "v", ["n"], range_rows=800 // ranges).select("g", "v", "n", "cum_n", "total_n")))
     assert one == many
+    sums = {0: 0, 1: 0}
+    for g, _, n, cum, _ in one:
+        sums[g] += n
+        assert cum == sums[g]
 
 
 def test_quantiles_of_one_hot_group_in_ranges(spark):
     values = [i % 97 + 0.5 for i in range(3000)]
     df = spark.createDataFrame([("hot", v) for v in values] + [("cold", 1.0), ("cold", 2.0)], "g string, v double")
-    got = {r["g"]: r for r in ordered.exact_quantiles(df, ["g"], "v", {"m": 0.5, "q": 0.99}, single_window_rows=5, ranges=8).collect()}
+    got = {r["g"]: r for r in ordered.exact_quantiles(df, ["g"], "v", {"m": 0.5, "q": 0.99}, range_rows=12).collect()}
     want = {r["g"]: r for r in df.groupBy("g").agg(F.percentile("v", 0.5).alias("m"), F.percentile("v", 0.99).alias("q")).collect()}
     for g in want:
         assert got[g]["m"] == pytest.approx(want[g]["m"]) and got[g]["q"] == pytest.approx(want[g]["q"])
@@ -227,6 +231,101 @@ def test_stays_touching_and_apart(spark):
     assert hit == {"2020-01-20": "1_1", "2020-02-10": None, "2020-03-09": "1_2"}
 
 
+def test_days_in_long_and_short_intervals(spark):
+    from mirrorcheck.functions import calendar
+
+    spans = spark.createDataFrame([(1, "a", "2020-01-15", "2020-03-02"), (1, "b", "2020-02-29", "2020-02-29"), (1, "c", "2019-12-31", "9999-12-31"), (2, "d", "2020-01-01", "2023-06-30"),
+                                   (1, "e", "2020-03-05", "2020-03-01"), (None, "f", "2020-01-01", "2020-12-31")], "person_id long, name string, s string, e string").select(
+        "person_id", "name", F.to_date("s").alias("s"), F.to_date("e").alias("e"))
+    days = spark.createDataFrame([(p, d) for p in (1, 2, None) for d in ("2019-12-30", "2020-01-14", "2020-01-15", "2020-02-29", "2020-03-02", "2020-03-03", "2023-06-30", "2023-07-01", "9999-12-31", None)],
+                                 "person_id long, d string").select("person_id", F.to_date("d").alias("day"))
+    plain = [(d["person_id"], d["day"], s["name"]) for d in days.collect() for s in spans.collect()
+             if d["day"] is not None and d["person_id"] is not None and d["person_id"] == s["person_id"] and s["s"] <= d["day"] <= s["e"]]
+    joined = calendar.days_in(days, spans, ["person_id"], "day", "s", "e")
+    assert sorted((r["person_id"], r["day"], r["name"]) for r in joined.collect()) == sorted(plain)
+    held = calendar.intervals_with(spans, days, ["person_id"], "day", "s", "e").distinct().collect()
+    assert sorted((r["person_id"], r["name"]) for r in held) == sorted({(p, n) for p, _, n in plain})
+    assert calendar._spread(spans, ["person_id"], "s", "e", True).count() == 7981 + 4  # a stay without an end: one row a year
+    alone = calendar.attach_only(days, spans.where("name in ('a', 'd')"), ["person_id"], "day", "s", "e")
+    assert alone.count() == days.count()
+    assert {(r["person_id"], r["day"], r["name"]) for r in alone.collect() if r["name"]} == {x for x in plain if x[2] in "ad"}
+
+
+def test_windows_around_episodes_have_sharp_edges(spark):
+    from mirrorcheck.operators import vaccine_study as vs
+
+    def day(text):
+        return F.to_date(F.lit(text))
+
+    e = spark.createDataFrame([(1, "1_1")], f"person_id long, {vs.EPISODE} string").withColumn(vs.START, day("2020-03-20")).withColumn(vs.END, day("2020-03-25"))
+    design = vs.StudyDesign(["D"], "V")
+    names = ["D", "V", "INFLUENZA_POS", "INFLUENZA_NEG", "PCR_AG_Pos", "PCR_AG_Neg"]
+
+    def facts(name, date):
+        return spark.createDataFrame([(1, *[int(n == name) for n in names])], "person_id long, " + ", ".join(f"{n} int" for n in names)).withColumn("date", day(date))
+
+    assert [vs.episode_tests(e, facts("INFLUENZA_POS", d), design).count() for d in ("2020-03-09", "2020-03-10", "2020-03-28", "2020-03-29")] == [0, 1, 1, 0]
+    assert [vs.episodes_with_diagnosis(e, facts("D", d), ["D"]).count() for d in ("2020-03-19", "2020-03-20", "2020-03-25", "2020-03-26")] == [0, 1, 1, 0]
+    assert [vs.drop_recently_vaccinated(e, facts("V", d), design).count() for d in ("2020-03-05", "2020-03-06", "2020-03-20", "2020-03-21")] == [1, 0, 0, 1]
+    assert [vs.vaccination_status(e, facts("V", d), design).first()["vaccinated"] for d in ("2019-12-20", "2019-12-21", "2020-03-19", "2020-03-20")] == [0, 1, 1, 0]
+
+
+def test_kernel_sums_against_all_pairs(spark):
+    from mirrorcheck.operators import attribution
+
+    rng = random.Random(3)
+    pick = [None, *[x / 4 for x in range(-12, 13)]]
+    data = [(i, rng.choice(["a", "b", None]), rng.choice(pick), rng.choice(pick)) for i in range(150)]
+    ask = [(i, rng.choice(["a", "b", None, "c"]), rng.choice(pick), rng.choice(pick)) for i in range(40)]
+    d, q = (spark.createDataFrame(x, "id long, c string, x double, y double") for x in (data, ask))
+
+    def near(a, b, r):
+        return 1.0 if a is None or b is None else max(0.0, 1 - abs(a - b) / r)
+
+    for dims in ([], [("x", 0.75)], [("y", 2.0)], [("x", 0.75), ("y", 2.0)]):
+        at = {"x": 2, "y": 3}
+        want = {}
+        for a in ask:
+            for b in data:
+                if a[1] == b[1]:
+                    w = 1.0
+                    for name, r in dims:
+                        w *= near(a[at[name]], b[at[name]], r)
+                    want[a[0]] = want.get(a[0], 0.0) + w
+        got = {r["id"]: r["s"] for r in attribution.kernel_sums(q, d, "id", ["c"], dims).collect()}
+        assert {k for k, s in got.items() if s > 1e-9} == {k for k, s in want.items() if s > 0}
+        assert all(got[k] == pytest.approx(s, abs=1e-9) for k, s in want.items() if k in got)
+
+
+def test_top_levels_order_only_ties(spark):
+    counts = {"x": {"a": 5, "b": 3, "c": 3, "d": 3, None: 3}, "y": {str(i): 1 for i in range(9)}, "z": {"only": 4}}
+    shares = spark.createDataFrame([(v, level, n, n if v != "x" else 1) for v, ls in counts.items() for level, n in ls.items()], "variable string, level string, n_orig long, n_new long")
+    got = {(r["variable"], r["level"]) for r in distances._top_of_side(shares, "orig", 0.5).collect()}
+    # x: 17 rows, a and b hold 8 of the 8.5, so c is the crossing one; y: 9 rows, the first five by name
+    assert got == {("x", "a"), ("x", "b"), ("x", "c"), *[("y", str(i)) for i in range(5)], ("z", "only")}
+
+
+def test_thirty_variables_in_grouping_sets(spark):
+    from itertools import combinations as combos_of
+
+    wide = spark.range(60).select(*[F.when(F.col("id") % 7 == i % 7, None).otherwise(F.pmod(F.col("id") * (i + 1), F.lit(3))).cast("string").alias(f"v{i}") for i in range(30)]).cache()
+    names = wide.columns
+    cells = crosstabs.compare_crosstabs(wide, wide, names, 2)
+    assert cells.select("crosstab").distinct().count() == 435
+    plain = wide.groupBy("v3", "v29").count().collect()
+    one = {(r["level_1"], r["level_2"]): (r["n_orig"], r["n_new"]) for r in cells.where("crosstab = 'v3 x v29'").collect()}
+    assert one == {(r["v3"], r["v29"]): (r["count"], r["count"]) for r in plain}
+    three = crosstabs.compare_combinations(wide, wide, list(combos_of(names[:8], 3)))
+    assert three.agg(F.sum("n_orig")).first()[0] == 56 * 60
+
+
+def test_pool_is_told_from_a_level_of_its_name(spark):
+    o = spark.createDataFrame([("Other", "p"), ("Other", "q"), ("r", "p")], "x string, y string")
+    top = spark.createDataFrame([("x", "Other"), ("y", "p")], "variable string, level string")
+    got = {(r["level_1"], r["other_1"], r["level_2"], r["other_2"]): r["n_orig"] for r in crosstabs.crosstab_report(o, o, ["x", "y"], top).collect()}
+    assert got == {("Other", False, "p", False): 1, ("Other", False, "Other", True): 1, ("Other", True, "p", False): 1}
+
+
 def test_swapped_influenza_results(spark):
     members = spark.createDataFrame([("influenza test", True, 10), ("result positive", True, 1), ("result negative", True, 2)],
                                     "concept_set_name string, is_most_recent_version boolean, concept_id int")
@@ -243,13 +342,41 @@ def test_study_estimates_by_model_and_closed_form(spark):
     odds = 20 * 70 / (60 * 50)
     assert vaccine_study.unadjusted_estimates(a).first()["point_estimate"] == pytest.approx(odds)
     none = vaccine_study.fit_logistic(vaccine_study._cells(a, ["sex"]), ["sex"])
-    assert math.exp(none.coefficients[0]) == pytest.approx(odds, rel=0.05)
+    assert none.names == ["(Intercept)", "vaccinated", "sex_F"] and math.exp(none.beta[0, 1]) == pytest.approx(odds, rel=0.05)
+    alone = vaccine_study.adjusted_estimates(a, []).first()
+    assert alone["point_estimate"] == pytest.approx(odds) and alone["standard_error"] == pytest.approx(odds * math.sqrt(1 / 20 + 1 / 60 + 1 / 50 + 1 / 70))
+    assert [r["point_estimate"] for r in vaccine_study.adjusted_estimates(a.where("false")).collect()] == [None, None]
     wald = vaccine_study.adjusted_estimates(a, ["sex"]).first()
     profile = vaccine_study.adjusted_estimates(a, ["sex"], profile=True).first()
     assert profile["ci_lower"] < profile["point_estimate"] < profile["ci_upper"]
     assert profile["ci_lower"] == pytest.approx(wald["ci_lower"], rel=0.1)
 
 
+def test_newton_fits_against_plain_numpy(spark):
+    import numpy as np
+    from mirrorcheck.functions.newton import NotConverged, logistic_fits
+
+    draw = np.random.default_rng(2)
+    n = 300
+    x, g, y = draw.normal(size=n), draw.choice(["a", "b", "c"], n, p=[0.5, 0.3, 0.2]), draw.integers(0, 2, n)
+    w = draw.uniform(0.5, 2, (n, 3))
+    df = spark.createDataFrame([(float(a), str(b), int(c), *map(float, d)) for a, b, c, d in zip(x, g, y, w)], "x double, g string, y int, w0 double, w1 double, w2 double")
+    fits = logistic_fits(df, ["x", "g"], [F.col(f"w{i}") for i in range(3)], [F.col(f"w{i}") * F.col("y") for i in range(3)])
+    assert fits.names == ["(Intercept)", "x", "g_a", "g_b"]
+    design = np.stack([np.ones(n), x, g == "a", g == "b"], axis=1).astype(float)
+    for i in range(3):
+        beta = np.zeros(4)
+        for _ in range(30):
+            mu = 1 / (1 + np.exp(-design @ beta))
+            info = design.T @ (design * (w[:, i] * mu * (1 - mu))[:, None])
+            beta += np.linalg.solve(info, design.T @ (w[:, i] * (y - mu)))
+        assert np.allclose(fits.beta[i], beta, atol=1e-7) and np.allclose(fits.se[i], np.sqrt(np.diag(np.linalg.inv(info))), atol=1e-6)
+    with pytest.raises(NotConverged):
+        logistic_fits(df, ["x", "g"], [F.col("w0")], [F.col("w0") * F.col("y")], most_steps=1)
+    held = logistic_fits(df, ["g"], [F.col("w0")], [F.col("w0") * F.col("y")], F.col("x"), [float(fits.beta[0, 1]), 0.7])
+    assert held.deviance[0] == pytest.approx(fits.deviance[0], abs=1e-6) and held.deviance[1] > held.deviance[0]
+
+
 # ---------------------------------------------------------------- intervals, implicates, models
 
 
