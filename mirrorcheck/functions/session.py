@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,6 +20,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name below the checkpoint folder; what is written there goes when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write a frame to the checkpoint folder, so that all its readers see the same rows, once computed."""
     ensure_checkpoint_dir(df.sparkSession)

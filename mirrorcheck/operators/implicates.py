@@ -72,23 +72,34 @@ def missing_skip_patterns(orig: DataFrame, new: DataFrame, variable_lists: Seque
     return union_all(out)
 
 
+#: Sampled records up to this many go to all tasks.
+MOST_SENT = 10_000
+
+
 def conjunctions(orig: DataFrame, new: DataFrame, key: str, widths: Mapping[str, float], n_records: int = 100,
                  new_suffix: str = "", seed: int = 1234) -> DataFrame:
     """Higher-order conjunction of a fixed sample of original records.
 
     For every sampled record: share of rows on each side that equal it on the variables of width 0
-    and lie within the width on the others. The sample has ``n_records`` rows, so it is sent to the
-    data; the data itself is not shuffled.
+    and lie within the width on the others. A sample of at most ``MOST_SENT`` records is sent to the
+    data, a larger one is joined by a shuffle. Without a variable of width 0, rows and records meet by bins
+    of the first width.
     """
     names = list(widths)
     sample = (orig.select(key, *names).withColumn("__u", hash_uniform(seed, key)).orderBy("__u", key).limit(n_records)
               .select(F.col(key).alias("sample_id"), *[F.col(v).alias(f"__s_{v}") for v in names]))
     both = stack_sides(orig, _new_side(new, names, new_suffix), names)
     cond = F.lit(True)
+    asked = sample
+    if not any(width == 0 for width in widths.values()):
+        v = names[0]
+        bin_of = lambda c: F.floor(c / F.lit(float(widths[v])))
+        asked = sample.withColumn("__bin", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: bin_of(F.col(f"__s_{v}")) + k)))
+        cond = bin_of(F.col(v)) == F.col("__bin")
     for v, width in widths.items():
         here, there = F.col(v), F.col(f"__s_{v}")
         cond = cond & ((here == there) if width == 0 else here.between(there - width, there + width))
-    hits = both.join(F.broadcast(sample), cond).groupBy("sample_id").agg(count_orig().alias("o"), count_new().alias("n"))
+    hits = both.join(F.broadcast(asked) if n_records <= MOST_SENT else asked, cond).groupBy("sample_id").agg(count_orig().alias("o"), count_new().alias("n"))
     n_o, n_n = orig.agg(F.count("*")).scalar(), new.agg(F.count("*")).scalar()
     return (sample.select("sample_id").join(hits, "sample_id", "left")
             .select("sample_id", ratio(F.coalesce("o", F.lit(0)), n_o).alias("similarity_orig"),

@@ -125,21 +125,31 @@ def parse_token_text(text: Column) -> Column:
 # ------------------------------------------------------------------ reading back
 
 
+#: Positions of a sequence that are read together.
+CHUNK = 4096
+
+
 def sequence_events(seqs: DataFrame, concept: DataFrame) -> DataFrame:
     """Token arrays back to dated events with the domain of each concept.
 
-    The first day is January 1 of the year token (null if it has no year of four digits); gap tokens move it forward. Windows hold one
-    sequence, which the cleaning step limits in length.
+    The first day is January 1 of the year token (null if it has no year of four digits); gap tokens move it forward. Sequences are
+    read in chunks of ``CHUNK`` positions: what the chunks before it add up to is carried into each, so no window holds more
+    tokens than a chunk, however long a sequence is.
     """
     rows = seqs.select("person_id", F.posexplode(F.arrays_zip("concept_ids", "number_as_values", "concept_as_values")).alias("pos", "t")).select(
         "person_id", "pos", F.col("t.concept_ids").alias("token"), F.col("t.number_as_values").alias("value_as_number"),
         F.col("t.concept_as_values").alias("value_as_concept"))
     is_gap = F.col("token").startswith("i-")
-    w = Window.partitionBy("person_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("person_id")
-    year = F.max(F.when(F.col("token").rlike("^year:[0-9]{4}$"), F.substr("token", F.lit(6)).cast("int"))).over(whole)
-    dated = (rows.withColumn("offset", F.sum(F.when(is_gap, gap_days(F.col("token"))).otherwise(0)).over(w))
-             .withColumn("year", year).withColumn("visit_no", F.sum((F.col("token") == VISIT_START).cast("int")).over(w)))
+    marked = rows.withColumns({
+        "__chunk": F.floor(F.col("pos") / CHUNK), "__days": F.when(is_gap, gap_days(F.col("token"))).otherwise(0).cast("long"),
+        "__start": (F.col("token") == VISIT_START).cast("long"), "__year": F.when(F.col("token").rlike("^year:[0-9]{4}$"), F.substr("token", F.lit(6)).cast("int"))})
+    before = Window.partitionBy("person_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (marked.groupBy("person_id", "__chunk").agg(F.sum("__days").alias("d"), F.sum("__start").alias("s"), F.max("__year").alias("y"))
+               .select("person_id", "__chunk", F.coalesce(F.sum("d").over(before), F.lit(0)).alias("__d"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("__s"),
+                       F.max("y").over(Window.partitionBy("person_id")).alias("year")))
+    inside = Window.partitionBy("person_id", "__chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    dated = (marked.withColumns({"__in_d": F.sum("__days").over(inside), "__in_s": F.sum("__start").over(inside)}).join(carried, ["person_id", "__chunk"])
+             .withColumns({"offset": F.col("__d") + F.col("__in_d"), "visit_no": F.col("__s") + F.col("__in_s")}))
     ids = dated.where(F.col("token").rlike(r"^\d+$") & (F.col("visit_no") > 0)).withColumn("concept_id", F.col("token").try_cast("long"))
     domains = concept.groupBy(F.col("concept_id").cast("long").alias("concept_id")).agg(F.min("domain_id").alias("domain_id"))
     return ids.join(domains, "concept_id").select(
@@ -153,6 +163,12 @@ def route_by_domain(events: DataFrame, routes: Mapping[str, str]) -> dict[str, D
     return {table: events.where(F.col("domain_id") == domain).drop("domain_id") for table, domain in routes.items()}
 
 
+def write_routed(events: DataFrame, routes: Mapping[str, str], path: str) -> None:
+    """Write the events of each table of ``routes`` (table name -> domain) into its own folder, in one pass over the events."""
+    table = F.coalesce(*[F.when(F.col("domain_id") == domain, name) for name, domain in routes.items()])
+    events.withColumn("table_name", table).where(F.col("table_name").isNotNull()).drop("domain_id").write.partitionBy("table_name").mode("overwrite").parquet(path)
+
+
 # ------------------------------------------------------------------ audits
 
 

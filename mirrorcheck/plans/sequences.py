@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.session import scratch_folder
 from ..operators import episodes
 from ..operators import sequences as sq
 from .registry import query
@@ -59,7 +60,7 @@ def seqs_of(t, max_tokens=None):
 SELECT * FROM s WHERE num_of_concepts <= 120""")
 def _(t):
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-    return sq.clean_sequences(seqs_of(t, 120), 120).select(
+    return sq.clean_sequences(seqs_of(t), 120).select(
         "person_id", F.col("num_of_concepts").cast("long").alias("num_of_concepts"), total("ages").alias("age_sum"), total("dates").alias("date_sum"))
 
 
@@ -113,6 +114,21 @@ def _(t):
         F.count("*").alias("n"))
 
 
+ROUTES = {"condition_occurrence": "Condition", "drug_exposure": "Drug", "procedure_occurrence": "Procedure", "measurement": "Measurement"}
+
+
+@query("i07_routed_events", f"""WITH ev AS ({EVENTS})
+SELECT CASE c.domain_id {' '.join(f"WHEN '{d}' THEN '{n}'" for n, d in ROUTES.items())} END AS table_name, count(*) AS n_events, count(DISTINCT v.person_id) AS n_persons, count(number_value) AS n_numbers
+FROM visit_occurrence v JOIN ev ON v.person_id = ev.person_id AND v.visit_occurrence_id = ev.visit_occurrence_id
+JOIN (SELECT concept_id, min(domain_id) AS domain_id FROM concept GROUP BY 1) c ON ev.concept_id = c.concept_id WHERE c.domain_id IN ({', '.join(f"'{d}'" for d in ROUTES.values())}) GROUP BY 1""")
+def _(t):
+    """The event tables as written by domain, counted when read back."""
+    path = scratch_folder(t.spark)
+    sq.write_routed(sq.sequence_events(seqs_of(t), t.concept), ROUTES, path)
+    return t.spark.read.parquet(path).groupBy("table_name").agg(
+        F.count("*").alias("n_events"), F.count_distinct("person_id").alias("n_persons"), F.count("value_as_number").alias("n_numbers"))
+
+
 @query("i08_random_birthdays", f"""SELECT person_id, month_of_birth, CAST(1 + floor({U.format(s='7d', k='person_id')} * day(last_day(make_date(year_of_birth, month_of_birth, 1)))) AS INT) AS day_of_birth FROM (
   SELECT person_id, year_of_birth, CAST(1 + floor({U.format(s='7m', k='person_id')} * 12) AS INT) AS month_of_birth FROM person) x""")
 def _(t):

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import union_all
+from ..functions.session import scratch_folder
 from ..operators import tablesets as ts
 from ..sources import tables as src
 from .registry import query
@@ -59,6 +61,19 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
+CONCEPTS = T.StructType([T.StructField("concept_id", T.IntegerType()), T.StructField("concept_name", T.StringType()), T.StructField("domain_id", T.StringType())])
+
+
+@query("a04_delimited_files", """
+SELECT f AS format, concept_id, concept_name, domain_id FROM concept, (VALUES ('csv'), ('tsv')) x(f)""")
+def _(t):
+    """A table written as CSV and TSV and read back with its declared schema."""
+    folder = scratch_folder(t.spark)
+    paths = src.write_frames({"concept": t.concept}, folder, "csv") + src.write_frames({"concept_tabs": t.concept}, folder, "tsv")
+    return union_all([src.read_delimited(t.spark, path, CONCEPTS, sep).withColumn("format", F.lit(name))
+                      for path, sep, name in zip(paths, (",", "\t"), ("csv", "tsv"))])
+
+
 @query("a05_sample_persons", f"""
 SELECT person_id, year_of_birth FROM person WHERE {HASH.format(seed=111, key='person_id')} < 0.2""")
 def _(t):

@@ -1,8 +1,9 @@
 """The given tables seen as clinical tables, and a synthetic twin of each.
 
 Every view is plain SQL that Spark and DuckDB both understand; the text is used by both. All
-views keep every row of the table they come from. The synthetic twin holds the same rows with
-altered values, so both sides grow with the data.
+views keep every row of the table they come from, except ``death``, which takes the customers whose
+balance is lowest. The synthetic twin holds the same rows with altered values, so both sides grow
+with the data.
 """
 
 from __future__ import annotations

@@ -42,13 +42,13 @@ def run_sql(spark: SparkSession, tables: Mapping[str, DataFrame], text: str) ->
 
 
 def write_frames(frames: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> list[str]:
-    """Write each result frame into its own folder below ``folder`` (parquet or CSV with header)."""
-    if fmt not in ("parquet", "csv"):
-        raise ValueError("fmt must be parquet or csv")
+    """Write each result frame into its own folder below ``folder`` (parquet, or CSV or TSV with header)."""
+    if fmt not in ("parquet", "csv", "tsv"):
+        raise ValueError("fmt must be parquet, csv or tsv")
     paths = []
     for name, df in frames.items():
         path = f"{folder}/{name}"
         writer = df.write.mode("overwrite")
-        writer.parquet(path) if fmt == "parquet" else writer.csv(path, header=True)
+        writer.parquet(path) if fmt == "parquet" else writer.csv(path, header=True, sep="," if fmt == "csv" else "\t")
         paths.append(path)
     return paths

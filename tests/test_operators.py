@@ -352,6 +352,32 @@ def test_study_estimates_by_model_and_closed_form(spark):
     assert profile["ci_lower"] == pytest.approx(wald["ci_lower"], rel=0.1)
 
 
+def test_conjunctions_without_equal_variables(spark):
+    from mirrorcheck.operators import implicates
+
+    rng = random.Random(4)
+    data = [(i, rng.uniform(0, 20), rng.choice([None, *range(8)])) for i in range(120)]
+    df = spark.createDataFrame([(i, x, None if y is None else float(y)) for i, x, y in data], "id long, x double, y double")
+    got = {r["sample_id"]: r["similarity_orig"] for r in implicates.conjunctions(df, df, "id", {"x": 1.5, "y": 2.0}, n_records=500).collect()}
+    for i, x, y in data:
+        near = sum(abs(x - a) <= 1.5 and y is not None and b is not None and abs(y - b) <= 2 for _, a, b in data)
+        assert got[i] == pytest.approx(near / 120)
+
+
+def test_long_sequences_are_read_in_chunks(spark, monkeypatch):
+    from mirrorcheck.operators import sequences
+
+    tokens = ["year:2001", "age:40", *[t for i in range(50) for t in ([f"i-D{i % 5}"] if i else []) + ["[VS]", "7", "[VE]"]]]
+    seqs = spark.createDataFrame([(1, tokens, [None] * len(tokens), [None] * len(tokens)), (2, ["year:xx", "[VS]", "7"], [None] * 3, [None] * 3)],
+                                 "person_id long, concept_ids array<string>, number_as_values array<double>, concept_as_values array<string>")
+    concept = spark.createDataFrame([(7, "Drug")], "concept_id long, domain_id string")
+    whole = sorted(map(str, sequences.sequence_events(seqs, concept).collect()))
+    monkeypatch.setattr(sequences, "CHUNK", 3)
+    assert sorted(map(str, sequences.sequence_events(seqs, concept).collect())) == whole and len(whole) == 51
+    last = sequences.sequence_events(seqs, concept).where("person_id = 1").orderBy(F.desc("pos")).first()
+    assert last["visit_no"] == 50 and str(last["event_date"]) == "2001-04-11"
+
+
 def test_newton_fits_against_plain_numpy(spark):
     import numpy as np
     from mirrorcheck.functions.newton import NotConverged, logistic_fits
