@@ -109,28 +109,26 @@ def joint_distance(orig: DataFrame, new: DataFrame, columns: Sequence[str], scal
     ).agg(hellinger("p", "q", scaled).alias("hd"))
 
 
-def _top_of_side(shares: DataFrame, side: str, share: float) -> DataFrame:
-    """Largest levels of a variable on one side until they hold ``share`` of it; of equal ones the first by name.
+def top_levels(shares: DataFrame, share: float = 0.5) -> DataFrame:
+    """Largest levels of a variable on either side until they hold ``share`` of it; of equal ones the first by name.
 
     How many levels have which count tells at which count the share is reached, and how many levels of that count are still
-    needed; only those are put in order.
+    needed; only those are put in order. Both sides go through together.
     """
-    n = F.col(f"n_{side}")
-    sizes = stable(shares.groupBy("variable", (-n).alias("__less")).agg(F.sum(n).alias("mass")))
-    run = running_sums(sizes, ["variable"], "__less", ["mass"])
+    sides = F.array(*[F.struct(F.lit(i).alias("__side"), F.col(f"n_{side}").alias("__count")) for i, side in enumerate(("orig", "new"))])
+    by, n = ["__side", "variable"], F.col("__count")
+    rows = shares.select("variable", "level", F.inline(sides))
+    sizes = stable(rows.groupBy(*by, (-n).alias("__less")).agg(F.sum(n).alias("mass")))
     room = share * F.col("total_mass") - (F.col("cum_mass") - F.col("mass"))
-    last = run.withColumn("__room", room).where("__room >= 0").groupBy("variable").agg(F.max(F.struct("__less", "__room")).alias("c"))
-    cut = last.select(F.col("variable").alias("__of"), (-F.col("c.__less")).alias("__cross"), F.col("c.__room").alias("__room"))
-    marked = shares.join(F.broadcast(cut), F.col("variable") == F.col("__of"))  # a row per variable
-    tied = marked.where(n == F.col("__cross")).select("variable", "level", F.struct(F.col("level").isNull(), "level").alias("__order"), F.lit(1).alias("one"),
+    last = (running_sums(sizes, by, "__less", ["mass"]).withColumn("__room", room).where("__room >= 0")
+            .groupBy(*by).agg(F.max(F.struct("__less", "__room")).alias("c")))
+    cut = last.select(F.col("__side").alias("__s"), F.col("variable").alias("__of"), (-F.col("c.__less")).alias("__cross"), F.col("c.__room").alias("__room"))
+    # a row per side and variable
+    marked = rows.join(F.broadcast(cut), (F.col("__side") == F.col("__s")) & (F.col("variable") == F.col("__of")))
+    tied = marked.where(n == F.col("__cross")).select(*by, "level", F.struct(F.col("level").isNull(), "level").alias("__order"), F.lit(1).alias("one"),
                                                       F.when(n > 0, F.floor(F.col("__room") / n) + 1).alias("__need"))
-    first = running_sums(stable(tied), ["variable"], "__order", ["one"]).where(F.col("__need").isNull() | (F.col("cum_one") <= F.col("__need")))
-    return marked.where(n > F.col("__cross")).select("variable", "level").union(first.select("variable", "level"))
-
-
-def top_levels(shares: DataFrame, share: float = 0.5) -> DataFrame:
-    """Levels that make up the first half of a variable on either side, the crossing level included."""
-    return _top_of_side(shares, "orig", share).union(_top_of_side(shares, "new", share)).distinct()
+    first = running_sums(stable(tied), by, "__order", ["one"]).where(F.col("__need").isNull() | (F.col("cum_one") <= F.col("__need")))
+    return marked.where(n > F.col("__cross")).select("variable", "level").union(first.select("variable", "level")).distinct()
 
 
 def pooled_levels(shares: DataFrame, top: DataFrame) -> DataFrame:

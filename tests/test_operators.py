@@ -299,8 +299,8 @@ def test_kernel_sums_against_all_pairs(spark):
 
 def test_top_levels_order_only_ties(spark):
     counts = {"x": {"a": 5, "b": 3, "c": 3, "d": 3, None: 3}, "y": {str(i): 1 for i in range(9)}, "z": {"only": 4}}
-    shares = spark.createDataFrame([(v, level, n, n if v != "x" else 1) for v, ls in counts.items() for level, n in ls.items()], "variable string, level string, n_orig long, n_new long")
-    got = {(r["variable"], r["level"]) for r in distances._top_of_side(shares, "orig", 0.5).collect()}
+    shares = spark.createDataFrame([(v, level, n, n) for v, ls in counts.items() for level, n in ls.items()], "variable string, level string, n_orig long, n_new long")
+    got = {(r["variable"], r["level"]) for r in distances.top_levels(shares, 0.5).collect()}
     # x: 17 rows, a and b hold 8 of the 8.5, so c is the crossing one; y: 9 rows, the first five by name
     assert got == {("x", "a"), ("x", "b"), ("x", "c"), *[("y", str(i)) for i in range(5)], ("z", "only")}
 
