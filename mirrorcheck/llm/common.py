@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import uuid
 from collections.abc import Sequence
@@ -32,13 +33,39 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the frame as Parquet to the shared folder and read it back."""
+#: Paths of frames stored in the running ``temporary`` blocks.
+_BLOCKS: list[list[str]] = []
+
+
+def stored(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """Cut lineage: write the frame as Parquet to the shared folder and read it back.
+
+    Within a ``temporary`` block it goes with the block, unless ``lasting``.
+    """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    if _BLOCKS and not lasting:
+        _BLOCKS[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """Frames stored inside, and shuffle files that only they need, are given back at the end; nothing made of them may be used later."""
+    paths: list[str] = []
+    _BLOCKS.append(paths)
+    try:
+        yield
+    finally:
+        _BLOCKS.pop()
+        jvm = spark.sparkContext._jvm
+        for path in paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        gc.collect()
+        jvm.System.gc()  # Spark removes shuffle files of plans that are gone
+
+
 @contextmanager
 def arrow_bytes(spark: SparkSession, size: int = 4_000_000):
     """Frames stored inside give Python batches of about so many bytes at a time."""

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import ALNUM, LOWER, as_bytes, find_words, hash_spans, slices
-from .common import stored, without, words
+from .common import stored, temporary, without, words
 
 LENGTH = 10
 
@@ -218,5 +218,6 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame
     Null and empty texts have no words and stay; texts of any length are searched whole; an item without words matches
     nothing. Columns may have any names.
     """
-    keys = find_matches(documents, benchmark, slack=0).where("size(hits) > 0").select("doc_id", "tie")
+    with temporary(documents.sparkSession):
+        keys = stored(find_matches(documents, benchmark, slack=0).where("size(hits) > 0").select("doc_id", "tie"), lasting=True)
     return without(documents, F.xxhash64("text"), keys)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import LOWER, NOT_SPACE, as_bytes, find_words, hash_spans, mix, slices
-from .common import BROADCAST_KEYS, arrow_rows, fresh, stored, without
+from .common import BROADCAST_KEYS, arrow_rows, fresh, stored, temporary, without
 from .components import connected
 
 K, BINS = 2, 64
@@ -300,7 +300,8 @@ def keep_first(documents: DataFrame, join: Join = Join(size=5, percent=80)) -> D
 
     Documents without words (null and empty texts too) are kept. Texts of any length count whole. Columns may have any names.
     """
-    groups = stored(similar_groups(documents, join))
+    with temporary(documents.sparkSession):
+        groups = stored(similar_groups(documents, join), lasting=True)
     out = without(documents, F.xxhash64("text"), groups.where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie")))).select("doc_id", "tie"))
     repeated = groups.groupBy("doc_id", "tie").count().where("count > 1").select("doc_id", "tie")
     if repeated.isEmpty():
