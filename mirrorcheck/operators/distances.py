@@ -159,10 +159,13 @@ def chi_square(pooled: DataFrame, correct: bool = True) -> DataFrame:
 
 
 def top_level_report(orig: DataFrame, new: DataFrame, variables: Sequence[str], share: float = 0.5,
-                     correct: bool = True, p_values: bool = True) -> DataFrame:
-    """Top levels and 'Other' with both sides' shares, Hellinger distance and chi-square per variable."""
+                     correct: bool = True, p_values: bool = True, top: DataFrame | None = None) -> DataFrame:
+    """Top levels and 'Other' with both sides' shares, Hellinger distance and chi-square per variable.
+
+    ``top``: the top levels, where they are known already.
+    """
     shares = level_shares(level_counts(orig, new, variables))
-    pooled = pooled_levels(shares, top_levels(shares, share))
+    pooled = pooled_levels(shares, top_levels(shares, share) if top is None else top)
     hd = shares.groupBy("variable").agg(hellinger("p_orig", "p_new").alias("hd"))
     test = chi_square(pooled, correct)
     if p_values:
