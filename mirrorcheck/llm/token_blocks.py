@@ -109,8 +109,9 @@ class PieceEncoder:
     """Encodes texts with a tokenizer file; keeps the ids of pieces seen before if the file is a plain byte-level one.
 
     A byte-level tokenizer that cuts texts by its own expression, changes nothing beforehand and joins nothing across
-    cuts never lets what stands before a single space between two non-spaces touch what follows. Texts are cut there
-    and each distinct piece is encoded once while it stays in the store, which compares whole pieces. The file is
+    cuts never lets what stands before a single space between two non-spaces touch what follows; nor what stands
+    before the end of a run of ASCII letters, or before or after a single line feed between two non-spaces. Texts are
+    cut there and each distinct piece is encoded once while it stays in the store, which compares whole pieces. The file is
     asked whether it is of that kind; texts for which a shortcut doesn't hold (other white space, strings of special
     tokens) and all texts of other files are encoded by the library as they are.
     """
@@ -120,13 +121,16 @@ class PieceEncoder:
 
     # Fixed values of byte-level tokenizers: how a text of the first Unicode blocks is cut, and the character of each byte.
     _L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-    PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|\\s+(?!\\S)|\\s+")
-    SIMPLE = staticmethod(re.compile("[\n -~ªµº¡-¬®-ɏ]*").fullmatch)
-    TAB = chr(256 + 9)  # no such text holds a tab
+    PARTS = re.compile(f"\t|'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\\s{_L}{_N}]+|[ \n]+(?!\\S)|[ \n]+")
+    SIMPLE = staticmethod(re.compile("[\t\n -~ªµº¡-¬®-ɏ]*").fullmatch)
+    TAB = chr(256 + 9)  # stands between pieces, as none holds a tab
     _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
     NAMES = np.arange(256, dtype="<u4")
     NAMES[sorted(set(range(256)) - set(_SHOWN))] = 256 + np.arange(256 - len(_SHOWN))
-    NAMES[1] = 32  # parts are parted by byte 1, pieces by bytes 1 2 1
+    NAMES[1] = 32  # parts are parted by byte 1
+
+    #: 1 for ASCII letters, 2 for bytes beyond ASCII, else 0.
+    KIND = np.array([2 if b >= 128 else int(chr(b).isalpha()) for b in range(256)], np.uint8)
 
     def __init__(self, path: str, keep: int = 400_000, special_as_text: bool = False):
         import os
@@ -164,35 +168,52 @@ class PieceEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
-    def _encoded(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of each piece; those of the first Unicode blocks are cut into parts here and given to the model at once."""
-        simple = [i for i, x in enumerate(pieces) if self.SIMPLE(x)]
-        out: list = [None] * len(pieces)
-        if simple:
-            parts = self.PARTS.findall
-            flat = "\x01\t\x01".join(["\x01".join(parts(pieces[i])) for i in simple]).encode()
-            shown = self.NAMES[np.frombuffer(flat, np.uint8)].tobytes().decode("utf-32-le")
-            ids = np.array(self.by_part.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.tab_id)
-            for i, a, b in zip(simple, np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()):
-                out[i] = ids[a:b]
-        return [self._ids(x) if y is None else y for x, y in zip(pieces, out)]
+    def _simple(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of the first Unicode blocks, with tabs between them, and how many each has: cut into parts here, given to the model at once."""
+        flat = "\x01".join(self.PARTS.findall(text)).encode()
+        shown = self.NAMES[np.frombuffer(flat, np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.by_part.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+        between = ids == self.tab_id
+        return ids[~between], np.diff(np.concatenate(([-1], np.flatnonzero(between), [len(ids)]))) - 1
 
     def _learn(self, pieces: list[bytes]) -> None:
-        made = self._encoded([p.decode() for p in pieces])
-        n = np.array([len(x) for x in made], np.int64)
-        first, size, total = len(self.slots), len(self.slots) + len(pieces), self.used + int(n.sum())
+        text = b"\t".join(pieces).decode()
+        if not self.SIMPLE(text):
+            kinds: tuple[list, list] = ([], [])
+            for x in text.split("\t"):
+                kinds[self.SIMPLE(x) is None].append(x)
+            own = [self._ids(x) for x in kinds[1]]
+            self._store([x.encode() for x in kinds[1]], np.concatenate(own), np.array([len(x) for x in own], np.int64))
+            if not kinds[0]:
+                return
+            pieces, text = [x.encode() for x in kinds[0]], "\t".join(kinds[0])
+        self._store(pieces, *self._simple(text))
+
+    def _store(self, pieces: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        first, size, total = len(self.slots), len(self.slots) + len(pieces), self.used + len(ids)
         if size > len(self.at):
             for name in ("at", "n"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate((old, np.empty(max(size, 2 * len(old)) - len(old), old.dtype))))
         if total > len(self.pool):
             self.pool = np.concatenate((self.pool, np.empty(max(total, 2 * len(self.pool)) - len(self.pool), np.uint32)))
-        self.pool[self.used:total] = np.concatenate(made)
+        self.pool[self.used:total] = ids
         self.at[first:size] = self.used + np.cumsum(n) - n
         self.n[first:size], self.used = n, total
         self.slots.update(zip(pieces, range(first, size)))
 
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces of plain texts start."""
+        kind = self.KIND[data]
+        begin = data == 32
+        begin[1:] |= (kind[:-1] == 1) & (kind[1:] == 0)
+        line = np.flatnonzero(data == 10)
+        if len(line):  # never first or last in a plain text
+            lone = line[(data[line - 1] != 10) & (data[line + 1] != 10)]
+            begin[lone] = begin[lone + 1] = True
+        begin[offsets[:-1][np.diff(offsets) > 0]] = True
+        return np.flatnonzero(begin)
+
     def _plain(self, text: str) -> bool:
         return bool(text) and not ("  " in text or "\n " in text or " \n" in text or text[0] in " \n" or text[-1] in " \n"
                                    or self.RARE_SPACE.search(text) or any(s in text for s in self.special))
@@ -208,9 +229,7 @@ class PieceEncoder:
             data, offsets = data[np.repeat(plain, np.diff(offsets))], np.append(0, np.cumsum(sizes))
         counts, ids = np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
         if len(data):
-            begin = data == 32
-            begin[offsets[:-1][np.diff(offsets) > 0]] = True
-            starts = np.flatnonzero(begin)
+            starts = self._starts(data, offsets)
             at = pa.py_buffer(np.append(starts, len(data)))
             pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, at, pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
             distinct = pieces.dictionary.to_pylist()

@@ -1,4 +1,5 @@
 """The text operators on small tables: brute force, round trips, nulls, ties, empty tables and further columns."""
+import random
 import re
 import zlib
 
@@ -96,6 +97,20 @@ def test_tokens_equal_the_tokenizer(spark):
         start += len(ids)
 
 
+def test_pieces_equal_the_tokenizer_on_random_texts():
+    from tokenizers import Tokenizer
+
+    plain, draw = Tokenizer.from_file(queries.tokenizer_path()), random.Random(5)
+    atoms = [*"abZ019.,!'\"(-", *"'s 't 're don't ll".split(), " ", " ", "\n", "\n", "é", "Éa", "ß", "½", "²", "\u0301", "\u00a0", "\t", "\x01", "\x7f", "я", "中", "🙂", "<|endoftext|>"]
+    texts = ["".join(draw.choices(atoms[:draw.choice([8, 24, len(atoms)])], k=draw.randrange(1, 40))) for _ in range(4000)]
+    encoder = token_blocks.PieceEncoder(queries.tokenizer_path(), keep=300)
+    for i in range(0, len(texts), 100):
+        some = texts[i:i + 100]
+        ids, counts = encoder.encode(pa.array(some))
+        want = [x.ids for x in plain.encode_batch(some, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [y for x in want for y in x]
+
+
 def test_near_and_exact_phrases(spark):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "x y")], "item_id long, text string")
     rows = docs(spark, ["q a b c d e f g h i j z", "a b c Q d e f g h i j", "X, y!", "x q y", "x", "y x"])
