@@ -70,6 +70,10 @@ def test_words_and_hashes():
     x = np.frombuffer(b"xyzxyz" + b"q" * 3_000_000, np.uint8)
     h = hash_spans(x, np.array([0, 3, 6]), np.array([3, 6, len(x)]))
     assert h[0] == h[1] != h[2]
+    spans = [b"ab", b"ab\0", b"ab\0\0", b"", b"abcdefgh", b"abcdefgh\0", b"abcdefghi", b"a" * 16, b"a" * 17, b"a" * 16 + b"\0", b"b" * 15, b"\0"]
+    ends = np.cumsum([len(x) for x in spans])
+    h = hash_spans(np.frombuffer(b"".join(spans), np.uint8), ends - [len(x) for x in spans], ends)
+    assert len(set(h.tolist())) == len(spans)
 
 
 @pytest.mark.parametrize("block,share", [(1024, 0.9), (16, 0.5), (7, 1.0)])
