@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow_text import LOWER, NOT_SPACE, as_bytes, find_words, hash_spans, mix, slices
-from .common import BROADCAST_KEYS, arrow_rows, fresh, stored, temporary, without
+from .common import BROADCAST_KEYS, arrow_bytes, arrow_rows, fresh, stored, temporary, without
 from .components import connected
 
 K, BINS = 2, 64
@@ -41,7 +41,8 @@ class Join:
     frequent: int = 32
     table: int = 1_000_000
     single_from: int = 400
-    docs_per_range: int = 4_000
+    bytes_per_range: int = 12_000_000
+    grams_at_once: int = 1_000_000
 
     def least_overlap(self, n):
         return (self.percent * n + 99) // 100
@@ -89,37 +90,86 @@ def sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], value[new]
 
 
+def _merged(values: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the sum of the numbers of each."""
+    value, number = np.concatenate(values), np.concatenate(numbers)
+    order = np.argsort(value, kind="stable")
+    value, number = value[order], number[order]
+    first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+    return value[first], np.add.reduceat(number, first) if len(first) else number
+
+
 def listed_grams(documents: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
     """40-bit hashes of the listed n-grams of all texts, sorted, and how often each stands there.
 
-    Tasks send sorted hashes, five bytes each, to ranges of the hash; each range is counted by itself. Two
-    n-grams with one 40-bit hash are counted together, which only moves them back in the order.
+    Tasks count the n-grams of about ``grams_at_once`` at a time and send each of those once to ranges of the hash: five
+    bytes, and its number if that is above 1. So an n-gram that stands everywhere is as small as any other. A task
+    reads one range after the other; ranges follow the bytes of all texts. Two n-grams with one 40-bit hash are counted
+    together, which only moves them back in the order.
     """
-    n_ranges = max(32, 1 << (documents.count() // join.docs_per_range).bit_length())
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n_ranges = max(32, 1 << (size // join.bytes_per_range).bit_length())
     bits = n_ranges.bit_length() - 1
+    edges = np.arange(n_ranges + 1, dtype=np.uint64) << np.uint64(40 - bits)
+
+    def packed(value: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        value = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+        number = np.diff(np.append(first, len(value)))
+        value = value[first]
+        many = number > 1
+        some, number, one = value[many], number[many].astype("<u4"), value[~many]
+        cut_some, cut_one = np.searchsorted(some, edges), np.searchsorted(one, edges)
+        some, one = packed(some), packed(one)
+        where = np.flatnonzero((np.diff(cut_some) > 0) | (np.diff(cut_one) > 0)).tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(where, pa.int32()),
+             pa.array([some[cut_some[i]:cut_some[i + 1]].tobytes() + one[cut_one[i]:cut_one[i + 1]].tobytes() for i in where], pa.binary()),
+             pa.array([number[cut_some[i]:cut_some[i + 1]].tobytes() for i in where], pa.binary())], ["part", "hashes", "numbers"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for batch in slices(batches, 1_000_000):
-            value = np.sort(grams(batch.column("text"), join.size)[1] >> np.uint64(24))
-            cuts = np.searchsorted(value, np.arange(n_ranges + 1, dtype=np.uint64) << np.uint64(40 - bits))
-            raw = value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            where = [i for i in range(n_ranges) if cuts[i + 1] > cuts[i]]
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array([raw[cuts[i]:cuts[i + 1]].tobytes() for i in where], pa.binary())], ["part", "hashes"])
+            held.append(grams(batch.column("text"), join.size)[1] >> np.uint64(24))
+            if sum(map(len, held)) >= join.grams_at_once:
+                yield sent(held)
+                held = []
+        if held:
+            yield sent(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for part, hashes in zip(batch.column("part").to_pylist(), batch.column("hashes").to_pylist()):
-                held.setdefault(part, []).append(hashes)
-        for part in list(held):
-            raw = np.frombuffer(b"".join(held.pop(part)), np.uint8).reshape(-1, 5)
-            value = np.zeros((len(raw), 8), np.uint8)
-            value[:, :5] = raw
-            found, n = np.unique(value.view("<u8").ravel(), return_counts=True)
+        part, values, numbers = None, [], []
+
+        def counted() -> pa.RecordBatch:
+            found, n = _merged(values, numbers)
             keep = n >= join.listed
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], ["gram", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(found[keep].astype(np.int64)), pa.array(n[keep])], ["gram", "n"])
 
-    table = stored(documents.select("text").mapInArrow(send, "part int, hashes binary").repartition(n_ranges, "part").mapInArrow(count, "gram long, n long"))
+        for batch in batches:
+            for here, hashes, more in zip(*(batch.column(c) for c in ("part", "hashes", "numbers"))):
+                if here.as_py() != part:
+                    if values:
+                        yield counted()
+                    part, values, numbers = here.as_py(), [], []
+                raw = np.frombuffer(hashes.as_buffer(), np.uint8).reshape(-1, 5)
+                value, number = np.zeros((len(raw), 8), np.uint8), np.ones(len(raw), np.int64)
+                value[:, :5] = raw
+                given = np.frombuffer(more.as_buffer(), "<u4")
+                number[:len(given)] = given
+                values.append(value.view("<u8").ravel())
+                numbers.append(number)
+                if sum(map(len, values)) >= 2 * len(values[0]) + join.grams_at_once:
+                    found, n = _merged(values, numbers)
+                    values, numbers = [found], [n]
+        if values:
+            yield counted()
+
+    with arrow_bytes(documents.sparkSession):
+        table = stored(documents.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "part int, hashes binary, numbers binary")
+                       .repartition(n_ranges, "part").sortWithinPartitions("part").mapInArrow(count, "gram long, n long"))
     least = join.listed
     while table.where(F.col("n") >= least).count() > join.table:
         least += max(1, least // 2)
