@@ -201,7 +201,8 @@ def _keys(value: np.ndarray, count: np.ndarray, n: int, join: Join) -> tuple[np.
 def describe(documents: DataFrame, join: Join) -> DataFrame:
     """One row per document: doc_id, tie, set_id (16 bytes; null without n-grams), n, keys, bounds, bins (n-grams by hash range)."""
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(listed_grams(documents, join))
+    with temporary(spark):  # what the count shuffled is given back before the rest shuffles
+        shared = spark.sparkContext.broadcast(listed_grams(documents, join))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = shared.value
