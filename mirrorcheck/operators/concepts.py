@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import null_safe_join
+from ..functions.session import stable
+
+#: Lists of concepts of at most so many rows go to all tasks.
+MOST_SENT = 1_000_000
+#: Lists of at most so many codes become a filter.
+MOST_LISTED = 1_000
 
 
 def merge_sheets(required: DataFrame, custom: DataFrame) -> DataFrame:
@@ -30,11 +36,32 @@ def resolve_sets(members: DataFrame, sheet: DataFrame, domain: str, custom: Data
     return out
 
 
+def sent(codes: DataFrame) -> DataFrame:
+    """The distinct codes, stored; marked to go to all tasks where they are few enough, which is counted.
+
+    Events have few distinct concepts, so a join by a shuffle on the concept puts most of them into a few tasks.
+    """
+    codes = stable(codes.distinct())
+    return F.broadcast(codes) if codes.count() <= MOST_SENT else codes
+
+
+def with_codes(events: DataFrame, codes: DataFrame, key: str) -> DataFrame:
+    """Inner join of events to a list of codes, equal codes once.
+
+    Other events are left out first: by a filter, which Spark moves below the joins that ``events`` is made of, where the
+    codes are few, and else by a semi join.
+    """
+    few = sent(codes)
+    listed = [r[0] for r in few.select(key).where(F.col(key).isNotNull()).distinct().limit(MOST_LISTED + 1).collect()]
+    kept = events.where(F.col(key).isin(listed)) if len(listed) <= MOST_LISTED else events.join(few.select(key), key, "left_semi")
+    return kept.join(few, key)
+
+
 def label_by_set(df: DataFrame, members: DataFrame, id_col: str, label: str, names: Sequence[str]) -> DataFrame:
     """Add an array of the named concept sets that a row's concept belongs to (empty when none)."""
     sets = (newest_members(members).where(F.col("concept_set_name").isin(list(names)))
             .groupBy(F.col("concept_id").alias("__cid")).agg(F.collect_set("concept_set_name").alias("__sets")))
-    return (df.join(sets, F.col(id_col) == F.col("__cid"), "left")
+    return (df.join(sent(sets), F.col(id_col) == F.col("__cid"), "left")
             .withColumn(label, F.coalesce("__sets", F.array().cast("array<string>")))
             .drop("__cid", "__sets"))
 

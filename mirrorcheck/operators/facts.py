@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .concepts import label_by_set, newest_members, resolve_sets
+from .concepts import label_by_set, newest_members, resolve_sets, with_codes
 from .episodes import attach_episode
 
 # Accepted ranges of adult body measurements, and the obesity limit.
@@ -30,9 +30,9 @@ def domain_facts(events: DataFrame, persons: DataFrame, concepts: DataFrame, id_
     """Person-day 0/1 indicators of one event table, for cohort persons and dated events."""
     dated = events.where(F.col(date_col).isNotNull()).select(
         "person_id", F.col(date_col).cast("date").alias("date"), F.col(id_col).cast("long").alias("concept_id"))
-    return (dated.join(concepts, "concept_id")
+    wanted = concepts.where(F.col("indicator_prefix").isin(list(indicators)))
+    return (with_codes(dated, wanted, "concept_id")
             .join(persons.select("person_id").distinct(), "person_id", "left_semi")
-            .where(F.col("indicator_prefix").isin(list(indicators)))
             .groupBy("person_id", "date").agg(*[
                 F.max(F.when(F.col("indicator_prefix") == i, 1).otherwise(0)).alias(i) for i in indicators]))
 
@@ -105,7 +105,7 @@ def patient_deaths(death: DataFrame, members: DataFrame, persons: DataFrame, vis
         F.col("concept_id").alias("discharge_to_concept_id"), (F.col("concept_set_name") == deceased).alias("is_deceased"))
     from_table = death.select("person_id", F.col("death_date").cast("date").alias("death_date"),
                               F.lit(None).cast("date").alias("vs"), F.lit(None).cast("date").alias("ve"))
-    from_visits = visits.join(kinds, "discharge_to_concept_id").select(
+    from_visits = with_codes(visits, kinds, "discharge_to_concept_id").select(
         "person_id", F.lit(None).cast("date").alias("death_date"),
         F.when(F.col("is_deceased"), F.col("visit_start_date").cast("date")).alias("vs"),
         F.when(F.col("is_deceased"), F.col("visit_end_date").cast("date")).alias("ve"))
