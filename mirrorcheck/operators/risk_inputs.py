@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import column_counts, long_values, ratio, union_all
+from ..functions.session import stable
+from .concepts import with_codes
 
 # Concept ids and names of the recode.
 KNOWN_ETHNICITY = (38003563, 38003564)
@@ -23,14 +25,15 @@ def person_flags(person: DataFrame, events: Mapping[str, tuple[DataFrame, str]],
                  obesity: DataFrame | None = None) -> DataFrame:
     """0/1 flag per person and indicator; ``events`` maps a table code to (table, concept column).
 
-    Events are reduced to distinct (person, concept) before the join, so a frequent concept does not
-    travel through the shuffle row by row.
+    The rows of the sheet that raise a wanted flag go to the events, and Spark combines flags of a person before the
+    shuffle, so a frequent concept does not travel row by row.
     """
-    pairs = union_all([
-        df.where(F.col(c).isNotNull()).select("person_id", F.col(c).cast("long").alias("concept_id")).distinct()
-        .withColumn("table_code", F.lit(code)) for code, (df, c) in events.items()])
-    marks = pairs.join(sheet.withColumn("concept_id", F.col("concept_id").cast("long")), ["table_code", "concept_id"]) \
-        .select("person_id", "indicator_suffix")
+    wanted = stable(sheet.where(F.col("indicator_suffix").isin(list(indicators)))
+                  .select("table_code", F.col("concept_id").cast("long").alias("concept_id"), "indicator_suffix"))
+    marks = union_all([
+        with_codes(df.select("person_id", F.col(c).cast("long").alias("concept_id")),
+                   wanted.where(F.col("table_code") == code).select("concept_id", "indicator_suffix"), "concept_id")
+        .select("person_id", "indicator_suffix") for code, (df, c) in events.items()])
     if deaths is not None:
         marks = marks.unionByName(deaths.select("person_id", F.lit("death").alias("indicator_suffix")))
     if obesity is not None:
