@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.session import stable
+from ..functions.session import stored
 from ..operators import cohort, concepts, episodes, facts
 from .registry import query
 
@@ -132,7 +132,7 @@ def cohort_of(t):
 
 def stored_cohort(t):
     """The cohort is read by every fact table, so it is computed and stored once."""
-    return stable(cohort_of(t))
+    return stored(cohort_of(t))
 
 
 def custom_sets(t):

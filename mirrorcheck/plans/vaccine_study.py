@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.session import stable
+from ..functions.session import stable, stored
 from ..functions.stats import normal_quantile
 from ..operators import episodes, facts
 from ..operators import vaccine_study as vs
@@ -44,7 +44,7 @@ def inputs(t):
     """Fact days (stored once, several steps read them), cohort and episodes."""
     people = stored_cohort(t)
     sources, deaths = fact_days_of(t, people)
-    days = stable(facts.fact_days(t.visit_occurrence, sources, deaths, FLOOR))
+    days = stored(facts.fact_days(t.visit_occurrence, sources, deaths, FLOOR))
     return days, people, episodes.combined_episodes(t.visit_occurrence)
 
 
