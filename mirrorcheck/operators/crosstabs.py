@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_new, count_orig, null_safe_join, ratio, stack_sides, union_all
+from ..functions.session import stable
 
 SEPARATOR = " x "
 
@@ -77,14 +78,24 @@ def _cells(orig: DataFrame, new: DataFrame, combos: Sequence[tuple[str, ...]], w
         w = F.col(weight).cast("double")
         aggs += [F.sum(F.when(F.col("is_new") == 0, w).otherwise(0.0)).alias("w_orig"),
                  F.sum(F.when(F.col("is_new") == 1, w).otherwise(0.0)).alias("w_new")]
-    return grouped_combinations(both, combos, aggs)
+    if len(combos) == 1:
+        return grouped_combinations(both, combos, aggs)
+    # equal rows first become one, so that grouping sets copy each combination of levels and not each row
+    tuples = both.groupBy(*[F.col(v).cast("string").alias(v) for v in names]).agg(*aggs)
+    return grouped_combinations(tuples, combos, [F.sum(c).alias(c) for c in tuples.columns if c not in names])
+
+
+def with_totals(cells: DataFrame, orig: str, new: str) -> DataFrame:
+    """The cells with ``__o`` and ``__n``, the sums of two columns over their crosstab; cells are stored, so the rows below are read once."""
+    cells = stable(cells)
+    totals = cells.groupBy("crosstab").agg(F.sum(orig).alias("__o"), F.sum(new).alias("__n"))
+    return cells.join(totals, "crosstab")
 
 
 def compare_crosstabs(orig: DataFrame, new: DataFrame, variables: Sequence[str], k: int = 2) -> DataFrame:
     """Counts and shares of both sides for every combination of k variables."""
     cells = compare_combinations(orig, new, variable_combinations(variables, k))
-    totals = cells.groupBy("crosstab").agg(F.sum("n_orig").alias("__o"), F.sum("n_new").alias("__n"))
-    return (cells.join(totals, "crosstab")
+    return (with_totals(cells, "n_orig", "n_new")
             .withColumn("p_orig", ratio(F.col("n_orig"), F.col("__o")))
             .withColumn("p_new", ratio(F.col("n_new"), F.col("__n"))).drop("__o", "__n"))
 
@@ -102,9 +113,8 @@ def crosstab_report(orig: DataFrame, new: DataFrame, variables: Sequence[str], t
             f"level_{i}", F.when(F.col("__keep"), F.col(f"level_{i}")).otherwise("Other")).drop("__keep")
     marks = [f"other_{i}" for i in range(1, k + 1)]
     pooled = cells.groupBy("crosstab", *_variables(combos), *_levels(combos), *marks).agg(F.sum("n_orig").alias("n_orig"), F.sum("n_new").alias("n_new"))
-    totals = pooled.groupBy("crosstab").agg(F.sum("n_orig").alias("__o"), F.sum("n_new").alias("__n"))
     p, q = ratio(F.col("n_orig"), F.col("__o")), ratio(F.col("n_new"), F.col("__n"))
-    return (pooled.join(totals, "crosstab").withColumns({"p_orig": p, "p_new": q, "diff": q - p, "rel_diff": ratio(q - p, p)})
+    return (with_totals(pooled, "n_orig", "n_new").withColumns({"p_orig": p, "p_new": q, "diff": q - p, "rel_diff": ratio(q - p, p)})
             .drop("__o", "__n"))
 
 
@@ -119,9 +129,8 @@ def high_utility_crosstabs(orig: DataFrame, new: DataFrame, variables: Sequence[
 
 def total_variation(cells: DataFrame, orig: str = "w_orig", new: str = "w_new") -> DataFrame:
     """Half the summed absolute share difference per crosstab; categories are aligned, not positions."""
-    totals = cells.groupBy("crosstab").agg(F.sum(orig).alias("__o"), F.sum(new).alias("__n"))
     gap = F.abs(ratio(F.col(orig), F.col("__o")) - ratio(F.col(new), F.col("__n")))
-    return cells.join(totals, "crosstab").groupBy("crosstab").agg((0.5 * F.sum(gap)).alias("tvn"))
+    return with_totals(cells, orig, new).groupBy("crosstab").agg((0.5 * F.sum(gap)).alias("tvn"))
 
 
 def choose_combinations(variables: Sequence[str], k: int, n: int | None = None, seed: int = 1) -> list[tuple[str, ...]]:

@@ -51,32 +51,33 @@ def date_features(df: DataFrame, pairs: Sequence[tuple[str, str]] = (), birth: s
 # ------------------------------------------------------------------ categorical
 
 
-def _suffixed(df: DataFrame, variables: Sequence[str], suffix: str, keep: Sequence[str]) -> DataFrame:
-    require_columns(df, [f"{v}{suffix}" for v in variables], "the new data")
-    return df.select(*keep, *[F.col(f"{v}{suffix}").alias(v) for v in variables])
-
-
 def level_counts(orig: DataFrame, new: DataFrame, variables: Sequence[str], weight: str | None = None,
                  suffixes: Sequence[str] | None = None) -> DataFrame:
     """One row per (variable, implicate, level) with plain and weighted counts of both sides."""
     require_columns(orig, variables, "the original data")
-    keep = [weight] if weight else []
-    wide = orig.select(*keep, *variables)
-    sides = [long_values(wide, variables, keep, "string", value="level")
-             .withColumns({"is_new": F.lit(0), "implicate": F.lit(s)}) for s in (suffixes or [""])]
-    sides += [long_values(_suffixed(new, variables, s, keep), variables, keep, "string", value="level")
-              .withColumns({"is_new": F.lit(1), "implicate": F.lit(s)}) for s in (suffixes or [""])]
+    suffixes = list(suffixes or [""])
+    require_columns(new, [f"{v}{s}" for v in variables for s in suffixes], "the new data")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    counted = union_all(sides).groupBy("variable", "implicate", "level").agg(
-        count_orig().alias("n_orig"), count_new().alias("n_new"),
-        F.sum(F.when(F.col("is_new") == 0, w).otherwise(0.0)).alias("w_orig"),
-        F.sum(F.when(F.col("is_new") == 1, w).otherwise(0.0)).alias("w_new"))
+
+    def side(df, columns, tag):
+        """Each side is read once; (variable, implicate) is the place in ``columns`` until the levels are counted."""
+        cells = F.array(*[F.struct(F.lit(i).alias("__at"), F.col(c).cast("string").alias("level")) for i, (_, _, c) in enumerate(columns)])
+        named = F.array(*[F.struct(F.lit(v).alias("variable"), F.array(*[F.lit(s) for s in of]).alias("implicates")) for v, of, _ in columns])
+        counted = df.select(w.alias("__w"), F.inline(cells)).groupBy("__at", "level").agg(F.count("*").alias(f"n_{tag}"), F.sum("__w").alias(f"w_{tag}"))
+        sums = [F.col(f"{c}_{t}") if t == tag else F.lit(0).cast(kind).alias(f"{c}_{t}") for c, kind in (("n", "long"), ("w", "double")) for t in ("orig", "new")]
+        return counted.withColumn("__of", F.get(named, F.col("__at"))).select("__of.variable", F.explode("__of.implicates").alias("implicate"), "level", *sums)
+
+    # the original levels stand once in every implicate
+    sides = side(orig, [(v, suffixes, v) for v in variables], "orig").unionByName(
+        side(new, [(v, [s], f"{v}{s}") for v in variables for s in suffixes], "new"))
+    counted = sides.groupBy("variable", "implicate", "level").agg(*[F.sum(c).alias(c) for c in ("n_orig", "n_new", "w_orig", "w_new")])
     return counted.withColumn("implicate", F.regexp_extract("implicate", r"\d+", 0))
 
 
 def level_shares(counts: DataFrame, by: Sequence[str] = ("variable", "implicate")) -> DataFrame:
     """Add each level's share of its variable on both sides."""
     names = ["n_orig", "n_new", "w_orig", "w_new"]
+    counts = stable(counts)
     totals = counts.groupBy(*by).agg(*[F.sum(n).alias(f"__{n}") for n in names])
     out = counts.join(totals, list(by))
     return out.withColumns({

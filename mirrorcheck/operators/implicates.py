@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_new, count_orig, hash_uniform, ratio, require_columns, stack_sides, union_all
-from .crosstabs import SEPARATOR, high_utility_crosstabs
+from ..functions.session import stable
+from .crosstabs import SEPARATOR, high_utility_crosstabs, with_totals
 
 
 def _number(suffix: str) -> str:
@@ -115,11 +116,10 @@ def conjunction_summary(scores: DataFrame) -> DataFrame:
 
 def crosstab_differences(orig: DataFrame, new: DataFrame, variables: Sequence[str], weight: str, new_suffix: str = "", dims: Sequence[int] = (2, 3)) -> DataFrame:
     """Per dimension the mean relative difference of the weighted cell shares, over cells that the original has."""
-    cells = high_utility_crosstabs(orig, new, variables, weight, new_suffix, dims)
-    totals = cells.groupBy("crosstab").agg(F.sum("w_orig").alias("__o"), F.sum("w_new").alias("__n"))
+    cells = with_totals(high_utility_crosstabs(orig, new, variables, weight, new_suffix, dims), "w_orig", "w_new")
     p, q = ratio(F.col("w_orig"), F.col("__o")), ratio(F.col("w_new"), F.col("__n"))
     dimension = (F.size(F.split("crosstab", SEPARATOR))).alias("dimension")
-    return cells.join(totals, "crosstab").where("w_orig > 0").groupBy(dimension).agg(F.avg(F.abs(ratio(q - p, p))).alias("rel_diff"))
+    return cells.where("w_orig > 0").groupBy(dimension).agg(F.avg(F.abs(ratio(q - p, p))).alias("rel_diff"))
 
 
 def agreement_rate(compared: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def implicate_rollup(measures: Mapping[str, tuple[DataFrame, Sequence[str], str]
     for name, (df, keys, value) in measures.items():
         label = F.concat_ws(" | ", *[F.coalesce(F.col(k).cast("string"), F.lit("<null>")) for k in keys]) if keys else F.lit("all")
         rows.append(df.select(F.lit(name).alias("measure"), label.alias("item"), "implicate", F.col(value).cast("double").alias("v")))
-    long = union_all(rows)
+    long = stable(union_all(rows))  # read twice, by the check and by the result
     seen = {r["measure"]: r["n"] for r in long.groupBy("measure").agg(F.count_distinct("implicate").alias("n")).collect()}
     wrong = [m for m in measures if seen.get(m, 0) != n_implicates]
     if wrong:

@@ -46,16 +46,30 @@ def _long(df: DataFrame, variables: Sequence[str], suffixes: Sequence[str], stat
 KEYS = ["variable", "implicate", "subset"]
 
 
-def _simple(rows: DataFrame, statistic: str, z: float, plain_sd_for_sum: bool) -> DataFrame:
+def _moments(df: DataFrame, cells) -> DataFrame:
+    """(variable, implicate, subset, m, sd, n) of each cell: sums over the same rows, which are not copied per cell."""
+    parts, per_pass = [], SUMS_PER_PASS // 4
+    for start in range(0, len(cells), per_pass):
+        sums, rows = [], []
+        for k, (v, i, sub, x, inside) in enumerate(cells[start:start + per_pass]):
+            value = F.when(inside, x.cast("double"))
+            sums += [F.count_if(inside).alias(f"r{k}"), F.avg(value).alias(f"m{k}"), F.stddev_samp(value).alias(f"s{k}"), F.count(value).alias(f"n{k}")]
+            rows.append(F.struct(F.lit(v).alias("variable"), F.lit(i).alias("implicate"), F.lit(sub).alias("subset"), F.col(f"r{k}").alias("rows"),
+                                 F.col(f"m{k}").alias("m"), F.col(f"s{k}").alias("sd"), F.col(f"n{k}").alias("n")))
+        parts.append(df.agg(*sums).select(F.inline(F.array(*rows))))
+    return union_all(parts).where("rows > 0").drop("rows")
+
+
+def _simple(df: DataFrame, variables: Sequence[str], suffixes: Sequence[str], subsets: Sequence[str], side: str, statistic: str, z: float, plain_sd_for_sum: bool) -> DataFrame:
     """Estimate and normal interval from the sample size and standard deviation."""
     if statistic == "prop":
+        rows = _long(df, variables, suffixes, statistic, [], subsets, side)
         cells = rows.groupBy(*KEYS, F.col("value").alias("category")).agg(F.count("*").alias("k"))
         totals = cells.groupBy(*KEYS).agg(F.sum("k").alias("n"))
         p = ratio(F.col("k"), F.col("n"))
         out = cells.join(totals, KEYS).withColumn("est", p).withColumn("se", F.sqrt(p * (1 - p) / F.col("n")))
     else:
-        out = rows.groupBy(*KEYS).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"),
-                                      F.count("value").alias("n")).withColumn("category", F.lit(None).cast("string"))
+        out = _moments(df, _cells_of(df, variables, suffixes, subsets, side)).withColumn("category", F.lit(None).cast("string"))
         root = F.sqrt(F.col("n").cast("double"))
         if statistic == "mean":
             out = out.withColumn("est", F.col("m")).withColumn("se", ratio(F.col("sd"), root))
@@ -166,8 +180,8 @@ def ci_overlap(orig: DataFrame, new: DataFrame, variables: Sequence[str], suffix
     """
     statistic, z = _check(statistic), critical_value(level)
     suffixes = list(suffixes or [""])
-    a = _simple(_long(orig, variables, [""], statistic, [], subsets, "the original data"), statistic, z, plain_sd_for_sum)
-    b = _simple(_long(new, variables, suffixes, statistic, [], subsets, "the new data"), statistic, z, plain_sd_for_sum)
+    a = _simple(orig, variables, [""], subsets, "the original data", statistic, z, plain_sd_for_sum)
+    b = _simple(new, variables, suffixes, subsets, "the new data", statistic, z, plain_sd_for_sum)
     return _combine(a, b, statistic, suffixes, subsets)
 
 
