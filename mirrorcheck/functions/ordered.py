@@ -7,12 +7,13 @@ the rows need; a window runs inside every range, and what stands before a range
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import null_safe_join, ratio
-from .session import stable
+from .session import stored
 
 #: Rows of a range; ranges follow the number of rows, and no window holds more than one range.
 RANGE_ROWS = 200_000
@@ -20,7 +21,7 @@ RANGE_ROWS = 200_000
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, sums: dict) -> DataFrame:
     """One stored row per (group, value) with the wanted sums; the input is read once."""
-    return stable(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+    return stored(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         *[expr.alias(name) for name, expr in sums.items()]
     ))
 
@@ -32,7 +33,7 @@ def running_sums(counts: DataFrame, by: Sequence[str], value: str, sums: Sequenc
     ``counts`` must hold one row per (group, value) and give the same rows each time it is read.
     """
     ranges = counts.count() // range_rows + 1
-    ranged = stable(counts.repartitionByRange(ranges, *by, value).withColumn("__range", F.spark_partition_id()))
+    ranged = stored(counts.repartitionByRange(ranges, *by, value).withColumn("__range", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "__range").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     ranges_of = Window.partitionBy(*by)
     before = ranges_of.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,29 +72,36 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict, *
     )
 
 
-def average_ranks(counts: DataFrame, by: Sequence[str], value: str, **kw) -> DataFrame:
-    """Average rank of every distinct value (ties share the mean of their positions), and how many rows have it."""
-    run = running_sums(counts, by, value, ["n"], **kw)
-    return run.select(*by, value, "n", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("avg_rank"))
-
-
 #: A value that holds more than this share of the rows of its group is hot; a group has at most 1 / share of them.
 HOT_SHARE = 1e-3
-#: Hot values go to all tasks for at most so many groups, a million values.
-MOST_HOT_GROUPS = 1_000
+#: Rows that look for nothing are dealt to so many keys.
+SPREAD = 4096
 
 
-def attach_by_value(rows: DataFrame, facts: DataFrame, by: Sequence[str], value: str, n: str, groups: int) -> DataFrame:
-    """Inner join of rows to the facts of their (group, value); no value shuffles more than a small share of the rows.
+def attach_by_value(rows: DataFrame, facts: DataFrame, by: Sequence[str], value: str, n: str, small: bool = False) -> DataFrame:
+    """Left join of rows to the facts of their (group, value); no value shuffles more than a small share of the rows.
 
-    ``facts`` holds a row per (group, value) with ``n``, the number of rows of that value, and few ``groups``. Hot values go to
-    all tasks (at most groups / HOT_SHARE of them), the rows of all others are shuffled.
+    ``facts`` is a stored frame that holds a row per (group, value) with ``n``, the number of rows of that value, and few groups.
+    ``small`` facts go to all tasks. Of others only the hot values do; the rows of all other values are shuffled once, and rows
+    that are served or have no value are spread meanwhile.
     """
-    facts = stable(facts)
-    total = facts.groupBy(*by).agg(F.sum(n).alias("__total"))
-    marked = null_safe_join(facts, total, by).withColumn("__hot", F.col(n) > F.col("__total") * HOT_SHARE).drop("__total")
-    keys = [*by, value]
-    tried = null_safe_join(rows, marked.where("__hot").drop(n), keys, "left", small=groups <= MOST_HOT_GROUPS)
-    facts_of = [c for c in facts.columns if c not in (*keys, n)]
-    seldom = tried.where(F.col("__hot").isNull()).drop("__hot", *facts_of)
-    return tried.where("__hot").drop("__hot").unionByName(null_safe_join(seldom, marked.where("NOT __hot").drop("__hot", n), keys))
+    names = [c for c in facts.columns if c not in (*by, value, n)]
+
+    def renamed(df, mark):
+        return df.select(*[F.col(k).alias(f"__{mark}_{k}") for k in (*by, value)], *[F.col(c).alias(f"__{mark}_{c}") for c in names])
+
+    def equal(mark, key):
+        return reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{mark}_{k}") for k in by], F.col(key) == F.col(f"__{mark}_{value}"))
+
+    if small:
+        return rows.join(F.broadcast(renamed(facts, "all")), equal("all", value), "left").select(*rows.columns, *[F.col(f"__all_{c}").alias(c) for c in names])
+    totals = facts.groupBy(*by).agg(F.sum(n).alias("__total"))
+    marked = facts.join(F.broadcast(totals), list(by)) if by else facts.crossJoin(F.broadcast(totals))
+    hot = F.col(n) > F.col("__total") * HOT_SHARE
+    served = F.col(f"__hot_{value}").isNotNull() | F.col(value).isNull()
+    tried = (rows.join(F.broadcast(renamed(marked.where(hot), "hot")), equal("hot", value), "left")
+             .withColumn("__salt", F.when(served, F.monotonically_increasing_id() % SPREAD + 1).otherwise(0))
+             .withColumn("__key", F.when(~served, F.col(value))))
+    others = renamed(marked.where(~hot), "cold").withColumn("__zero", F.lit(0).cast("long"))
+    found = tried.join(others, equal("cold", "__key") & (F.col("__salt") == F.col("__zero")), "left")
+    return found.select(*rows.columns, *[F.coalesce(f"__hot_{c}", f"__cold_{c}").alias(c) for c in names])

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio, require_columns, stack_sides, union_all
-from ..functions.ordered import attach_by_value, average_ranks, running_sums, value_counts
-from ..functions.session import stable
+from ..functions.ordered import attach_by_value, running_sums, value_counts
+from ..functions.session import stored
 from .crosstabs import grouped_combinations
 
 # Pairs per aggregation; more pairs are computed in further passes so that the generated code stays small.
 PAIRS_PER_PASS = 200
+#: Ranks of so many values, over all variables, go to all tasks.
+MOST_VALUES_SENT = 200_000
 
 
 def _pairs(variables: Sequence[str]) -> list[tuple[str, str]]:
@@ -66,47 +68,68 @@ def pairwise_correlations(orig: DataFrame, new: DataFrame, variables: Sequence[s
 
 def rank_correlations(orig: DataFrame, new: DataFrame, variables: Sequence[str]) -> DataFrame:
     """Spearman correlations. Ranks are taken among the rows where both variables of a pair are present,
-    so a variable has one set of ranks, and one more for each partner that has missing values."""
-    rows = stack_sides(orig, new, variables).select("is_new", *[F.col(v).cast("double").alias(v) for v in variables])
-    nulls = rows.agg(*[F.max(F.col(v).isNull()).alias(v) for v in variables]).first()
-    holey = [v for v in variables if nulls[v]]
-    needed = {}
-    for a, b in _pairs(variables):
-        for x, partner in ((a, b), (b, a)):
-            needed[(x, partner if partner in holey else None)] = None
-    for i, key in enumerate(needed):
-        needed[key] = f"s{i}"
-    values = {name: F.col(x) if cond is None else F.when(F.col(cond).isNotNull(), F.col(x))
-              for (x, cond), name in needed.items()}
-    tuples = _tuples(rows, ["is_new", *variables], {"__n": F.count("*")})
-    wide = _ranked(tuples, values, ["is_new"], "__n", lambda long: average_ranks(
-        value_counts(long, ["is_new", "rank_set"], "value", {"n": F.sum("__n")}), ["is_new", "rank_set"], "value"), groups=2 * len(values))
-
-    def columns(pair):
-        a, b = pair
-        return (f"__{needed[(a, b if b in holey else None)]}", f"__{needed[(b, a if a in holey else None)]}")
-
+    so a variable has one set of ranks, and one more for each partner that has missing values. All sets of a variable come
+    from one count of its values, of all rows and of those where each such partner is present."""
+    variables = list(variables)
+    rows = stack_sides(orig, new, variables).select("is_new", *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(variables)])
+    nulls = rows.agg(*[F.max(F.col(f"__v{i}").isNull()) for i in range(len(variables))]).first()
+    holey = [v for v, null in zip(variables, nulls) if null]
+    flags = [F.col(f"__v{variables.index(v)}").isNotNull().cast("long").alias(f"p{k}") for k, v in enumerate(holey, 1)]
+    counts = value_counts(_unfolded(rows, ["is_new", *flags], len(variables)), ["is_new", "__var"], "value",
+                          {"n0": F.count("*"), **{f"n{k}": F.sum(f"p{k}") for k in range(1, len(holey) + 1)}})
+    names = [f"n{k}" for k in range(len(holey) + 1)]
+    run = running_sums(counts, ["is_new", "__var"], "value", names)
+    # ranks less their mean, so that a pair's correlation needs one sum over the rows
+    ranks = stored(run.select("is_new", "__var", "value", *names, *[(F.col(f"cum_{n}") - (F.col(n) + F.col(f"total_{n}")) / 2.0).alias(f"r{k}") for k, n in enumerate(names)]))
+    spread = ranks.groupBy("is_new", "__var").agg(*[F.sum(F.col(n) * F.col(f"r{k}") * F.col(f"r{k}")).alias(f"q{k}") for k, n in enumerate(names)])
+    wide = _ranked(rows, ranks.drop(*names[1:]), len(variables), ["is_new"], "n0")
     pairs = _pairs(variables)
-    sides = [weighted_pair_moments(wide.where(F.col("is_new") == side), pairs, "__n", columns, "__n").withColumn("is_new", F.lit(side)) for side in (0, 1)]
-    found = union_all(sides).where(F.col("r").isNotNull() & ~F.isnan("r"))
-    return _complete(_compare(found))
-
-
-def _tuples(rows: DataFrame, columns: Sequence[str], sums: dict) -> DataFrame:
-    """Equal rows as one, with a number ``__id`` and sums over them; stored, so that numbers stay."""
-    return stable(rows.groupBy(*columns).agg(*[e.alias(n) for n, e in sums.items()]).withColumn("__id", F.monotonically_increasing_id()))
-
+    if len(pairs) > PAIRS_PER_PASS:
+        wide = stored(wide)
 
-def _ranked(tuples: DataFrame, values: dict, by: Sequence[str], n: str, ranks_of, groups: int) -> DataFrame:
-    """The tuples with ``__<name>``, the rank of each named value, put together again by number after the ranks are found.
+    def place(x, partner):
+        """The number of the set of ranks and of the variable."""
+        return holey.index(partner) + 1 if partner in holey else 0, variables.index(x)
 
-    ``ranks_of`` makes ranks (by, rank_set, value, n, avg_rank) from the long rows.
+    out = []
+    for i in range(0, len(pairs), PAIRS_PER_PASS):
+        sums, cells = [], []
+        for j, (a, b) in enumerate(pairs[i:i + PAIRS_PER_PASS]):
+            (k, x), (m, y) = place(a, b), place(b, a)
+            sums.append(F.sum(F.col(f"__r{k}_{x}") * F.col(f"__r{m}_{y}")).alias(f"s{j}"))
+            cells.append(F.struct(F.lit(a).alias("var_1"), F.lit(b).alias("var_2"), F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(m).alias("m"), F.lit(y).alias("y"), F.col(f"s{j}").alias("s")))
+        out.append(wide.groupBy("is_new").agg(*sums).select("is_new", F.inline(F.array(*cells))))
+    q = spread.select("is_new", "__var", F.array(*[f"q{k}" for k in range(len(names))]).alias("q"))
+    found = (union_all(out).join(F.broadcast(q.select("is_new", F.col("__var").alias("x"), F.col("q").alias("__qx"))), ["is_new", "x"])
+             .join(F.broadcast(q.select("is_new", F.col("__var").alias("y"), F.col("q").alias("__qy"))), ["is_new", "y"]))
+    r = ratio(F.col("s"), F.sqrt(F.get("__qx", F.col("k"))) * F.sqrt(F.get("__qy", F.col("m"))))
+    return _complete(_compare(found.withColumn("r", r).where(F.col("r").isNotNull() & ~F.isnan("r"))))
+
+
+def _unfolded(rows: DataFrame, keep: Sequence, places: int) -> DataFrame:
+    """A row per row and variable, ``__var`` being the variable's place and ``value`` its ``__v<place>``."""
+    cells = F.array(*[F.struct(F.lit(i).alias("__var"), F.col(f"__v{i}").alias("value")) for i in range(places)])
+    return rows.select(*keep, F.inline(cells))
+
+
+def _ranked(rows: DataFrame, ranks: DataFrame, places: int, by: Sequence[str], n: str) -> DataFrame:
+    """The rows with ``__<rank>_<place>``, null where the value is null, in place of each ``__v<place>``.
+
+    ``ranks`` is a stored frame (by, __var, value, n, rank columns). Variables of few values are looked up in each task, those of
+    many by a shuffle of the rows; these come first, while rows are narrow.
     """
-    keep = [c for c in tuples.columns if c.startswith("__")]
-    long = tuples.select(*by, *keep, F.inline(F.array(*[F.struct(F.lit(k).alias("rank_set"), v.alias("value")) for k, v in values.items()]))).where(F.col("value").isNotNull())
-    joined = attach_by_value(long.select(*by, "__id", "rank_set", "value"), ranks_of(long), [*by, "rank_set"], "value", "n", groups)
-    wide = joined.groupBy("__id").agg(*[F.max(F.when(F.col("rank_set") == k, F.col("avg_rank"))).alias(f"__{k}") for k in values])
-    return tuples.select(*by, *keep).join(wide, "__id", "left")
+    sizes = dict(ranks.groupBy("__var").count().collect())
+    sent = 0
+    small = set()
+    for i in sorted(range(places), key=lambda i: sizes.get(i, 0)):
+        sent += sizes.get(i, 0)
+        if sent <= MOST_VALUES_SENT:
+            small.add(i)
+    names = [c for c in ranks.columns if c not in (*by, "__var", "value", n)]
+    for i in sorted(range(places), key=lambda i: i in small):
+        of = ranks.where(F.col("__var") == i).select(*by, F.col("value").alias(f"__v{i}"), n, *[F.col(c).alias(f"__{c}_{i}") for c in names])
+        rows = attach_by_value(rows, of, by, f"__v{i}", n, i in small).drop(f"__v{i}")
+    return rows
 
 
 def cramers_v(orig: DataFrame, new: DataFrame, variables: Sequence[str], correct: bool = True) -> DataFrame:
@@ -138,18 +161,15 @@ def cramers_v(orig: DataFrame, new: DataFrame, variables: Sequence[str], correct
 def weighted_ranks(df: DataFrame, variables: Sequence[str], weight: str) -> DataFrame:
     """Weighted ranks of the variables in place of their values: weight below plus the mean position among ties.
 
-    Equal rows come back as one, with the sum of their weights and their number ``__rows``.
+    Each row stands for itself (``__rows`` is 1).
     """
     w = F.col(weight).cast("double")
-    rows = df.select(w.alias("__w"), *[F.col(v).cast("double").alias(v) for v in variables])
-    tuples = _tuples(rows, variables, {"__rows": F.count("*"), "__weight": F.sum("__w")})
-
-    def ranks(long: DataFrame) -> DataFrame:
-        run = running_sums(value_counts(long, ["rank_set"], "value", {"n": F.sum("__rows"), "w": F.sum("__weight")}), ["rank_set"], "value", ["w"])
-        return run.select("rank_set", "value", "n", (F.col("cum_w") - F.col("w") + (F.col("n") + 1) / 2.0 * F.col("w") / F.col("n")).alias("avg_rank"))
-
-    wide = _ranked(tuples, {v: F.col(v) for v in variables}, [], "__rows", ranks, groups=len(variables))
-    return wide.select("__rows", F.col("__weight").alias(weight), *[F.col(f"__{v}").alias(v) for v in variables])
+    rows = df.select(w.alias("__w"), *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(variables)])
+    counts = value_counts(_unfolded(rows, ["__w"], len(variables)), ["__var"], "value", {"n": F.count("*"), "w": F.sum("__w")})
+    run = running_sums(counts, ["__var"], "value", ["w"])
+    ranks = stored(run.select("__var", "value", "n", (F.col("cum_w") - F.col("w") + (F.col("n") + 1) / 2.0 * F.col("w") / F.col("n")).alias("r")))
+    wide = _ranked(rows, ranks, len(variables), [], "n")
+    return wide.select(F.lit(1).alias("__rows"), F.col("__w").alias(weight), *[F.col(f"__r_{i}").alias(v) for i, v in enumerate(variables)])
 
 
 def weighted_pair_moments(df: DataFrame, pairs, weight: str, columns=None, rows: str | None = None) -> DataFrame:
