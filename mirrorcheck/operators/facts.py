@@ -25,16 +25,21 @@ MEASUREMENT_SETS = {
 LAB_FLAGS = ["INFLUENZA_POS", "INFLUENZA_NEG", "PCR_AG_Pos", "PCR_AG_Neg", "Antibody_Pos", "Antibody_Neg"]
 
 
+def _of_persons(rows: DataFrame, persons: DataFrame) -> DataFrame:
+    """The rows of the persons, left lying by person, so that groupings by person and day and their union need no other shuffle."""
+    return rows.join(persons.select("person_id").distinct().hint("shuffle_hash"), "person_id", "left_semi")
+
+
 def domain_facts(events: DataFrame, persons: DataFrame, concepts: DataFrame, id_col: str, date_col: str,
                  indicators: Sequence[str]) -> DataFrame:
     """Person-day 0/1 indicators of one event table, for cohort persons and dated events."""
     dated = events.where(F.col(date_col).isNotNull()).select(
         "person_id", F.col(date_col).cast("date").alias("date"), F.col(id_col).cast("long").alias("concept_id"))
     wanted = concepts.where(F.col("indicator_prefix").isin(list(indicators)))
-    return (with_codes(dated, wanted, "concept_id")
-            .join(persons.select("person_id").distinct(), "person_id", "left_semi")
-            .groupBy("person_id", "date").agg(*[
-                F.max(F.when(F.col("indicator_prefix") == i, 1).otherwise(0)).alias(i) for i in indicators]))
+    flagged = with_codes(dated, wanted, "concept_id").select("person_id", "date", *[
+        F.when(F.col("indicator_prefix") == i, 1).otherwise(0).cast("byte").alias(i) for i in indicators])
+    return (_of_persons(flagged, persons)
+            .groupBy("person_id", "date").agg(*[F.max(i).cast("int").alias(i) for i in indicators]))
 
 
 def measurement_facts(measurement: DataFrame, members: DataFrame, persons: DataFrame,
@@ -45,10 +50,9 @@ def measurement_facts(measurement: DataFrame, members: DataFrame, persons: DataF
     tables have them.
     """
     s = dict(MEASUREMENT_SETS, **(sets or {}))
-    rows = measurement.where(F.col("measurement_date").isNotNull()).select(
+    rows = _of_persons(measurement.where(F.col("measurement_date").isNotNull()).select(
         "person_id", F.col("measurement_date").cast("date").alias("date"), "measurement_concept_id",
-        "value_as_number", "value_as_concept_id",
-    ).join(persons.select("person_id").distinct(), "person_id", "left_semi")
+        "value_as_number", "value_as_concept_id"), persons)
     rows = label_by_set(rows, members, "measurement_concept_id", "kinds",
                         [s[k] for k in ("bmi", "height", "weight", "influenza", "virus", "antibody")])
     rows = label_by_set(rows, members, "value_as_concept_id", "results", [s["positive"], s["negative"]])
@@ -128,15 +132,16 @@ def fact_days(visits: DataFrame, facts: Sequence[DataFrame], deaths: DataFrame,
               unfilled: Sequence[str] = ("BMI_rounded",), late_days: int = 730) -> DataFrame:
     """One row per person and day over all sources: indicators are zero-filled and maximised.
 
-    Sources are put below each other and grouped once; a chain of outer joins on the shared columns
-    followed by the same maximum gives the same rows at one shuffle per source.
+    Sources are put below each other and grouped once, without a shuffle where each lies by person; a chain of outer
+    joins on the shared columns followed by the same maximum gives the same rows at one more shuffle per source.
     """
     usable = F.col("date") >= F.lit(floor).cast("date")
     if "data_extraction_date" in deaths.columns:
         usable &= F.col("date") < F.date_add(F.col("data_extraction_date"), late_days)
     dated = deaths.where(usable).select("person_id", "date", F.col("patient_death").alias("patient_death_at_visit"))
-    rows = visits.select("person_id", F.col("visit_start_date").cast("date").alias("date"))
-    for f in [*facts, dated]:
+    # facts lie by person (``_of_persons``); with visits and deaths dealt alike, the rows are grouped where they are
+    rows = visits.select("person_id", F.col("visit_start_date").cast("date").alias("date")).repartition("person_id")
+    for f in [*facts, dated.repartition("person_id")]:
         rows = rows.unionByName(f, allowMissingColumns=True)
     values = [c for c in rows.columns if c not in ("person_id", "date")]
     return rows.groupBy("person_id", "date").agg(*[
