@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import days_in, intervals_with
 from ..functions.newton import Fits, logistic_fits
-from ..functions.session import stable
+from ..functions.session import stable, stored
 from ..functions.stats import critical_value
 
 START, END, EPISODE = "combined_macrovisit_start_date", "combined_macrovisit_end_date", "combined_macrovisit_id"
@@ -98,12 +98,15 @@ def vaccination_status(episodes: DataFrame, days: DataFrame, design: StudyDesign
 
 
 def analysis_table(days: DataFrame, summary: DataFrame, episodes: DataFrame, design: StudyDesign) -> DataFrame:
-    """One row per included episode: dates, outcome, exposure and covariates."""
+    """One row per included episode: dates, outcome, exposure and covariates.
+
+    Each step reads its episodes several times, so they are stored before it.
+    """
     persons = eligible_persons(summary).select("person_id", "age", "sex", "race_ethnicity")
-    ill = episodes_with_diagnosis(long_episodes(episodes).join(persons.select("person_id"), "person_id", "left_semi"),
-                                  days, design.diagnoses)
-    tested = ill.join(fully_tested(episode_tests(ill, days, design)), ["person_id", EPISODE])
-    kept = drop_recently_vaccinated(tested, days, design)
+    longer = stored(long_episodes(episodes).join(persons.select("person_id"), "person_id", "left_semi"))
+    ill = stored(episodes_with_diagnosis(longer, days, design.diagnoses))
+    tested = stored(ill.join(fully_tested(episode_tests(ill, days, design)), ["person_id", EPISODE]))
+    kept = stored(drop_recently_vaccinated(tested, days, design))
     return (vaccination_status(kept, days, design).join(persons, "person_id", "left")
             .select("person_id", EPISODE, START, END, "positive_influenza_test", "vaccinated", "age", "sex",
                     "race_ethnicity"))

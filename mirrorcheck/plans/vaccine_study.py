@@ -49,9 +49,16 @@ def inputs(t):
 
 
 def ill_of(t):
+    """Each step reads its episodes several times, so they are stored before it."""
     days, people, eps = inputs(t)
     elig = vs.eligible_persons(people).select("person_id")
-    return days, vs.episodes_with_diagnosis(vs.long_episodes(eps).join(elig, "person_id", "left_semi"), days, DESIGN.diagnoses)
+    longer = stored(vs.long_episodes(eps).join(elig, "person_id", "left_semi"))
+    return days, vs.episodes_with_diagnosis(longer, days, DESIGN.diagnoses)
+
+
+def stored_ill_of(t):
+    days, ill = ill_of(t)
+    return days, stored(ill)
 
 
 @query("c01_eligible_persons", upto(1, "SELECT * FROM elig"))
@@ -71,20 +78,20 @@ def _(t):
 
 @query("c04_episode_tests", upto(4, "SELECT * FROM tests"))
 def _(t):
-    days, ill = ill_of(t)
+    days, ill = stored_ill_of(t)
     return vs.episode_tests(ill, days, DESIGN)
 
 
 @query("c05_fully_tested", upto(4, "SELECT * FROM tests WHERE has_influenza_test = 1 AND has_virus_test = 1"))
 def _(t):
-    days, ill = ill_of(t)
+    days, ill = stored_ill_of(t)
     return vs.fully_tested(vs.episode_tests(ill, days, DESIGN))
 
 
 def tested_of(t):
-    days, ill = ill_of(t)
+    days, ill = stored_ill_of(t)
     tests = vs.fully_tested(vs.episode_tests(ill, days, DESIGN)).select("person_id", vs.EPISODE, "positive_influenza_test")
-    return days, ill.join(tests, ["person_id", vs.EPISODE])
+    return days, stored(ill.join(tests, ["person_id", vs.EPISODE]))
 
 
 @query("c06_drop_recently_vaccinated", upto(5, "SELECT * FROM kept"))
@@ -96,7 +103,7 @@ def _(t):
 @query("c07_vaccination_status", upto(6, "SELECT * FROM status"))
 def _(t):
     days, tested = tested_of(t)
-    return vs.vaccination_status(vs.drop_recently_vaccinated(tested, days, DESIGN), days, DESIGN)
+    return vs.vaccination_status(stored(vs.drop_recently_vaccinated(tested, days, DESIGN)), days, DESIGN)
 
 
 def analysis_of(t):
