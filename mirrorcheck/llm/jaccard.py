@@ -254,7 +254,10 @@ def _may_link(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
 
 
 def _links(pairs: DataFrame, contents: DataFrame, join: Join) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough."""
+    """Those pairs (a, b) whose whole sets are similar enough. Only the sets of these pairs are shuffled."""
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    if needed.count() <= BROADCAST_KEYS:
+        contents = contents.join(F.broadcast(needed), "sid", "left_semi")
     both = (pairs.join(contents.withColumnsRenamed({"sid": "a", "grams": "grams_a"}), "a").join(contents.withColumnsRenamed({"sid": "b", "grams": "grams_b"}), "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +296,8 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
     that a large group of near copies is joined by about as many pairs as it has classes; then, where a key still has
     classes of different groups, against another leader; and last, all pairs of different groups. The first leader is the
     class with the most shared keys, which has the fewest n-grams of its own and so stands in the middle of its copies. Null and empty texts
-    have no n-grams and are groups of their own, each document by itself. Null ids come after all others.
+    have no n-grams and are groups of their own, each document by itself. Null ids come after all others. Groups only
+    grow, so a key whose classes are of one group is left out of all later turns.
     """
     spark = documents.sparkSession
     with arrow_rows(spark, 1_000):
@@ -304,10 +308,9 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
     postings = classes.select("sid", "n", F.inline(F.arrays_zip(F.col("k.keys").alias("key"), F.col("k.bounds").alias("bound"))))
     common = stored(postings.join(postings.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "sid", "n", "bound"))
     involved = stored(common.groupBy("sid").agg(F.count("*").alias("n_keys")))
-    group = involved.select("sid", "n_keys", F.col("sid").alias("root"))
+    placed = common.join(involved, "sid").withColumn("root", F.col("sid"))
     links = done = contents = None
     for turn in range(stars + 1):
-        placed = common.join(group, "sid")
         mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"),
                                           F.min(F.struct((F.pmod(F.xxhash64("sid"), F.lit(7)) if turn else -F.col("n_keys")).alias("draw"), "sid", "n", "bound", "root")).alias("lead")).where("x <> y")
         placed = stored(placed.join(mixed.select("key", "lead"), "key"))
@@ -332,8 +335,10 @@ def similar_groups(documents: DataFrame, join: Join = Join(), stars: int = 2) ->
         links = found if links is None else links.unionAll(found)
         done = tried if done is None else done.unionAll(tried)
         roots = connected(links)
-        group = stored(involved.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n_keys", F.coalesce("root", "sid").alias("root")))
-    reps = classes.select("sid", "set_id", "rep").join(group.drop("n_keys"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        placed = (placed.select("key", "sid", "n", "bound", "n_keys").join(roots, F.col("sid") == F.col("node"), "left")
+                  .select("key", "sid", "n", "bound", "n_keys", F.coalesce("root", "sid").alias("root")))
+    reps = (classes.select("sid", "set_id", "rep").join(roots, F.col("sid") == F.col("node"), "left")
+            .select("sid", "set_id", "rep", F.coalesce("root", "sid").alias("root")))
     least = reps.groupBy("root").agg(F.min("rep").alias("first"))
     of_set = stored(reps.join(least, "root").select(F.col("set_id").alias("s"), "first"))
     return (docs.join(of_set, F.coalesce("set_id", F.concat(F.lit("none"), F.xxhash64("doc_id").cast("string")).cast("binary")) == F.col("s"), "left")
