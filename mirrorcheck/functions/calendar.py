@@ -20,10 +20,19 @@ def _month(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day)
 
 
+def _by_years(first: Column, last: Column) -> Column:
+    return _month(last) - _month(first) >= MOST_MONTHS
+
+
+def any_long(intervals: DataFrame, start: str, end: str) -> bool:
+    """Whether any interval goes by years. It reads the intervals, so they should be stored."""
+    return not intervals.where(_by_years(F.col(start).cast("date"), F.col(end).cast("date"))).isEmpty()
+
+
 def _spread(intervals: DataFrame, keys: Sequence[str], start: str, end: str, by_year: bool) -> DataFrame:
     """The intervals of one kind with ``__bucket``, and with keys and ends renamed; empty intervals give no row."""
     first, last = F.col(start).cast("date"), F.col(end).cast("date")
-    long = _month(last) - _month(first) >= MOST_MONTHS
+    long = _by_years(first, last)
     unit = F.year if by_year else _month
     named = intervals.where((first <= last) & (long if by_year else ~long))
     others = [c for c in intervals.columns if c not in (*keys, start, end)]
@@ -39,24 +48,30 @@ def _holds(keys: Sequence[str], day: str, start: str, end: str, by_year: bool) -
     return cond & (date >= F.col(f"__f_{start}")) & (date <= F.col(f"__l_{end}"))
 
 
-def days_in(days: DataFrame, intervals: DataFrame, keys: Sequence[str], day: str, start: str, end: str) -> DataFrame:
-    """Every row of ``days`` with each interval that holds its day: the columns of both, once."""
+def days_in(days: DataFrame, intervals: DataFrame, keys: Sequence[str], day: str, start: str, end: str, long: bool = True) -> DataFrame:
+    """Every row of ``days`` with each interval that holds its day: the columns of both, once.
+
+    Without ``long`` no interval goes by years (``any_long``), and the days are not shuffled for a join with none.
+    """
     parts = []
-    for by_year in (False, True):
+    for by_year in (False, True) if long else (False,):
         spread = _spread(intervals, keys, start, end, by_year)
         joined = days.join(spread, _holds(keys, day, start, end, by_year))
         parts.append(joined.withColumnsRenamed({f"__f_{start}": start, f"__l_{end}": end}).drop("__bucket", *[f"__k_{k}" for k in keys]))
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]) if long else parts[0]
 
 
-def intervals_with(intervals: DataFrame, days: DataFrame, keys: Sequence[str], day: str, start: str, end: str) -> DataFrame:
-    """The columns of ``intervals`` but keys and ends of those that hold any of the days; repeated where several buckets do."""
+def intervals_with(intervals: DataFrame, days: DataFrame, keys: Sequence[str], day: str, start: str, end: str, long: bool = True) -> DataFrame:
+    """The columns of ``intervals`` but keys and ends of those that hold any of the days; repeated where several buckets do.
+
+    ``long`` as for ``days_in``.
+    """
     parts = []
-    for by_year in (False, True):
+    for by_year in (False, True) if long else (False,):
         spread = _spread(intervals, keys, start, end, by_year)
         kept = [c for c in spread.columns if c != "__bucket" and not c.startswith(("__f_", "__l_"))]
         parts.append(spread.join(days.select(*keys, day), _holds(keys, day, start, end, by_year), "left_semi").select(*kept).withColumnsRenamed({f"__k_{k}": k for k in keys}))
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]) if long else parts[0]
 
 
 def attach_only(days: DataFrame, intervals: DataFrame, keys: Sequence[str], day: str, start: str, end: str) -> DataFrame:

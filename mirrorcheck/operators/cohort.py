@@ -108,7 +108,7 @@ def cohort_persons(person: DataFrame, visits: DataFrame, manifest: DataFrame | N
         "person_id", "year_of_birth", "month_of_birth", "day_of_birth", "ethnicity_concept_name",
         "race_concept_name", F.col("gender_concept_name").alias("sex"),
         *(["data_partner_id"] if manifest is not None else []),
-    ).distinct()
+    ).repartition("person_id").distinct()  # where the visits of the person are joined
     site = []
     if manifest is not None:
         people = attach_manifest(people, manifest)

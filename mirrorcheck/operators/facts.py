@@ -22,6 +22,8 @@ MEASUREMENT_SETS = {
     "bmi": "bmi", "height": "height", "weight": "weight", "influenza": "influenza test", "virus": "virus test",
     "antibody": "antibody test", "positive": "result positive", "negative": "result negative",
 }
+TEST_OF = {"INFLUENZA_POS": "influenza", "INFLUENZA_NEG": "influenza", "PCR_AG_Pos": "virus", "PCR_AG_Neg": "virus",
+           "Antibody_Pos": "antibody", "Antibody_Neg": "antibody"}
 LAB_FLAGS = ["INFLUENZA_POS", "INFLUENZA_NEG", "PCR_AG_Pos", "PCR_AG_Neg", "Antibody_Pos", "Antibody_Neg"]
 
 
@@ -43,16 +45,21 @@ def domain_facts(events: DataFrame, persons: DataFrame, concepts: DataFrame, id_
 
 
 def measurement_facts(measurement: DataFrame, members: DataFrame, persons: DataFrame,
-                      sets: Mapping[str, str] | None = None, swapped_influenza: bool = False) -> DataFrame:
+                      sets: Mapping[str, str] | None = None, swapped_influenza: bool = False,
+                      indicators: Sequence[str] | None = None) -> DataFrame:
     """Person-day BMI, obesity and test-result flags in one grouping.
 
     ``swapped_influenza`` exchanges the positive and negative influenza results, as the published
-    tables have them.
+    tables have them. With ``indicators`` (some of ``LAB_FLAGS``) only these columns and the days on which one of them is 1.
     """
     s = dict(MEASUREMENT_SETS, **(sets or {}))
-    rows = _of_persons(measurement.where(F.col("measurement_date").isNotNull()).select(
+    rows = measurement.where(F.col("measurement_date").isNotNull()).select(
         "person_id", F.col("measurement_date").cast("date").alias("date"), "measurement_concept_id",
-        "value_as_number", "value_as_concept_id"), persons)
+        "value_as_number", "value_as_concept_id")
+    if indicators is not None:  # left out before any join
+        kinds = sorted({s[TEST_OF[i]] for i in indicators})
+        tests = newest_members(members).where(F.col("concept_set_name").isin(kinds)).select(F.col("concept_id").alias("measurement_concept_id"))
+        rows = with_codes(rows, tests, "measurement_concept_id")
     rows = label_by_set(rows, members, "measurement_concept_id", "kinds",
                         [s[k] for k in ("bmi", "height", "weight", "influenza", "virus", "antibody")])
     rows = label_by_set(rows, members, "value_as_concept_id", "results", [s["positive"], s["negative"]])
@@ -65,24 +72,32 @@ def measurement_facts(measurement: DataFrame, members: DataFrame, persons: DataF
         F.col("value_as_concept_id") == EXTRA_NEGATIVE_RESULT, F.lit(False))
     flu_pos, flu_neg = (negative, positive) if swapped_influenza else (positive, negative)
 
-    def flag(cond):
-        return F.max(F.when(cond, 1).otherwise(0))
+    v = F.col("value_as_number")
+    flags = {
+        "INFLUENZA_POS": is_kind("influenza") & flu_pos, "INFLUENZA_NEG": is_kind("influenza") & flu_neg,
+        "PCR_AG_Pos": is_kind("virus") & positive, "PCR_AG_Neg": is_kind("virus") & negative,
+        "Antibody_Pos": is_kind("antibody") & positive, "Antibody_Neg": is_kind("antibody") & negative,
+    }
+    values = {"recorded": is_kind("bmi") & v.between(*BMI_RANGE), "height": is_kind("height") & v.between(*HEIGHT_RANGE),
+              "weight": is_kind("weight") & v.between(*WEIGHT_RANGE)}
 
-    def within(k, bounds):
-        v = F.col("value_as_number")
-        return F.max(F.when(is_kind(k) & v.between(*bounds), v))
+    # a row is shuffled as what it says in one number and its value, not as concepts
+    def bits(of):
+        return sum((F.when(cond, 1 << i).otherwise(0) for i, cond in enumerate(of.values())), F.lit(0)).cast("short")
+
+    if indicators is not None:
+        flags = {i: flags[i] for i in indicators}
+        rows = _of_persons(rows.select("person_id", "date", bits(flags).alias("__flags")).where("__flags <> 0"), persons)
+        return rows.groupBy("person_id", "date").agg(*[F.max(F.when(F.col("__flags").bitwiseAND(1 << i) != 0, 1).otherwise(0)).alias(c) for i, c in enumerate(flags)])
+
+    rows = _of_persons(rows.select("person_id", "date", bits(flags).alias("__flags"), bits(values).alias("__kinds"), v.alias("__v")), persons)
+
+    def has(c, i):
+        return F.col(c).bitwiseAND(1 << i) != 0
 
     day = rows.groupBy("person_id", "date").agg(
-        flag(is_kind("influenza") & flu_pos).alias("INFLUENZA_POS"),
-        flag(is_kind("influenza") & flu_neg).alias("INFLUENZA_NEG"),
-        flag(is_kind("virus") & positive).alias("PCR_AG_Pos"),
-        flag(is_kind("virus") & negative).alias("PCR_AG_Neg"),
-        flag(is_kind("antibody") & positive).alias("Antibody_Pos"),
-        flag(is_kind("antibody") & negative).alias("Antibody_Neg"),
-        within("bmi", BMI_RANGE).alias("recorded"),
-        within("height", HEIGHT_RANGE).alias("height"),
-        within("weight", WEIGHT_RANGE).alias("weight"),
-    )
+        *[F.max(F.when(has("__flags", i), 1).otherwise(0)).alias(c) for i, c in enumerate(flags)],
+        *[F.max(F.when(has("__kinds", i), F.col("__v"))).alias(c) for i, c in enumerate(values)])
     bmi = F.coalesce("recorded", F.try_divide(F.col("weight"), F.col("height") * F.col("height")))
     return (day.withColumn("HAS_INFLUENZA_TEST_RESULT", F.greatest("INFLUENZA_POS", "INFLUENZA_NEG"))
             .withColumn("bmi", bmi)

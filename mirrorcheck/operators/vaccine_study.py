@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import days_in, intervals_with
+from ..functions.calendar import any_long, days_in, intervals_with
 from ..functions.newton import Fits, logistic_fits
 from ..functions.session import stable, stored
 from ..functions.stats import critical_value
@@ -43,13 +43,23 @@ def long_episodes(episodes: DataFrame) -> DataFrame:
     return episodes.select("person_id", EPISODE, START, END).distinct().where(F.col(START) < F.col(END))
 
 
+def study_days(days: DataFrame, design: StudyDesign) -> DataFrame:
+    """What the steps of the study read of the fact days: days with a diagnosis, a test or a vaccination, and their columns."""
+    used = list(dict.fromkeys([*design.diagnoses, design.vaccination, design.outcome_positive, design.outcome_negative, *design.other_tests]))
+    cond = F.lit(False)
+    for c in used:
+        cond = cond | (F.col(c) == 1)
+    return days.select("person_id", "date", *used).where(cond)
+
+
 def episodes_with_diagnosis(episodes: DataFrame, days: DataFrame, diagnoses: Sequence[str]) -> DataFrame:
     """Episodes with a day of one of the diagnoses inside them."""
     cond = F.lit(False)
     for d in diagnoses:
         cond = cond | (F.col(d) == 1)
-    ill = days.where(cond).select("person_id", "date").distinct()
-    hit = intervals_with(episodes.select("person_id", EPISODE, START, END), ill, ["person_id"], "date", START, END).distinct()
+    ill = days.where(cond).select("person_id", "date")
+    hit = intervals_with(episodes.select("person_id", EPISODE, START, END), ill, ["person_id"], "date", START, END,
+                         any_long(episodes, START, END)).distinct()
     return episodes.join(hit, ["person_id", EPISODE], "left_semi")
 
 
@@ -64,12 +74,11 @@ def episode_tests(episodes: DataFrame, days: DataFrame, design: StudyDesign) ->
     any_other = F.lit(False)
     for c in design.other_tests:
         any_other = any_other | (F.col(c) == 1)
-    tests = days.where(any_outcome | any_other).groupBy("person_id", "date").agg(
-        F.max(F.when(any_outcome, 1).otherwise(0)).alias("o"),
-        F.max(F.when(any_other, 1).otherwise(0)).alias("x"),
-        F.max(F.when(F.col(design.outcome_positive) == 1, 1).otherwise(0)).alias("p"))
+    tests = days.where(any_outcome | any_other).select(
+        "person_id", "date", F.when(any_outcome, 1).otherwise(0).alias("o"), F.when(any_other, 1).otherwise(0).alias("x"),
+        F.when(F.col(design.outcome_positive) == 1, 1).otherwise(0).alias("p"))
     window = _window(episodes, F.date_sub(START, design.days_before_test), F.date_add(END, design.days_after_test))
-    return days_in(tests, window, ["person_id"], "date", "__from", "__to").groupBy("person_id", EPISODE).agg(
+    return days_in(tests, window, ["person_id"], "date", "__from", "__to", any_long(window, "__from", "__to")).groupBy("person_id", EPISODE).agg(
         F.max("o").alias("has_influenza_test"), F.max("x").alias("has_virus_test"),
         F.max("p").alias("positive_influenza_test"))
 
@@ -80,8 +89,9 @@ def fully_tested(tests: DataFrame) -> DataFrame:
 
 def vaccinated_in(episodes: DataFrame, days: DataFrame, vaccination: str, first: Column, last: Column) -> DataFrame:
     """Ids of the episodes with a vaccination day in the window."""
-    shots = days.where(F.col(vaccination) == 1).select("person_id", "date").distinct()
-    return intervals_with(_window(episodes, first, last), shots, ["person_id"], "date", "__from", "__to").distinct()
+    shots = days.where(F.col(vaccination) == 1).select("person_id", "date")
+    window = _window(episodes, first, last)
+    return intervals_with(window, shots, ["person_id"], "date", "__from", "__to", any_long(window, "__from", "__to")).distinct()
 
 
 def drop_recently_vaccinated(episodes: DataFrame, days: DataFrame, design: StudyDesign) -> DataFrame:

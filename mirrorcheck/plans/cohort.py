@@ -150,9 +150,10 @@ def deaths_of(t, people):
     return facts.patient_deaths(t.death, t.concept_set_members, people, t.visit_occurrence, FLOOR)
 
 
-def fact_days_of(t, people):
+def fact_days_of(t, people, lab_flags=None):
+    """The sources of the fact days and the deaths; with ``lab_flags`` only these columns and days of the measurements."""
     sources = [domain_of(t, people, d) for d in DOMAINS]
-    sources.append(facts.measurement_facts(t.measurement, t.concept_set_members, people))
+    sources.append(facts.measurement_facts(t.measurement, t.concept_set_members, people, indicators=lab_flags))
     return sources, deaths_of(t, people)
 
 

@@ -41,10 +41,10 @@ def upto(n, tail):
 
 
 def inputs(t):
-    """Fact days (stored once, several steps read them), cohort and episodes."""
+    """What the study reads of the fact days (stored once, several steps read it), cohort and episodes."""
     people = stored_cohort(t)
-    sources, deaths = fact_days_of(t, people)
-    days = stored(facts.fact_days(t.visit_occurrence, sources, deaths, FLOOR))
+    sources, deaths = fact_days_of(t, people, [DESIGN.outcome_positive, DESIGN.outcome_negative, *DESIGN.other_tests])
+    days = stored(vs.study_days(facts.fact_days(t.visit_occurrence, sources, deaths, FLOOR), DESIGN))
     return days, people, episodes.combined_episodes(t.visit_occurrence)
 
 
