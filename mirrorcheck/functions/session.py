@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,23 @@ def scratch_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def pieces(spark: SparkSession, size: str = "16MB", most: int = 1000):
+    """Frames stored inside read their shuffles in pieces of about that size, of which there are ``most`` before small ones are put together.
+
+    So the memory of a task stays the same as the input grows, up to ``size`` times ``most`` in a shuffle.
+    """
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": size, "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(most)}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write a frame to the checkpoint folder, so that all its readers see the same rows, once computed."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform, ratio, union_all
 from ..functions.ordered import exact_quantiles
+from ..functions.session import pieces, stable
 
 # Markers of the token language, the length limit and the death concepts of the audit.
 VISIT_START, VISIT_END = "[VS]", "[VE]"
@@ -23,10 +24,14 @@ def match_rate(linked: DataFrame, id_col: str = "visit_occurrence_id") -> DataFr
 
 
 def qualified_concepts(tables: Sequence[tuple[DataFrame, str]], min_persons: int = 100) -> DataFrame:
-    """Concepts that occur in at least ``min_persons`` persons over all the event tables."""
+    """Concepts that occur in at least ``min_persons`` persons over all the event tables.
+
+    Tasks hold the distinct pairs of person and concept of what they read, so that is kept small; the counts are stored.
+    """
     pairs = union_all([t.where(F.col(c).isNotNull()).select("person_id", F.col(c).cast("long").alias("concept_id"))
                        for t, c in tables]).distinct()
-    return pairs.groupBy("concept_id").agg(F.count("*").alias("n_persons")).where(F.col("n_persons") >= min_persons)
+    with pieces(pairs.sparkSession):
+        return stable(pairs.groupBy("concept_id").agg(F.count("*").alias("n_persons")).where(F.col("n_persons") >= min_persons))
 
 
 # ------------------------------------------------------------------ building
