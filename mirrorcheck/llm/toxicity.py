@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,20 +114,26 @@ def features(column: pa.Array, settings: Settings, ordered: bool = True) -> tupl
     return ids_all[order], stretch[order], rows
 
 
-def _bags(texts: list[str], settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All n-grams in order; where those of each stretch begin; which stretches each text has. Few texts at a time are cut."""
-    ids, sizes, counts = [], [], []
-    for i in range(0, len(texts), 32):
-        part = texts[i:i + 32]
-        own, stretch, rows = features(pa.array(part, pa.string()), settings)
-        ids.append(own)
+def _bags(texts: list[str] | pa.Array | pa.ChunkedArray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All n-grams in order; where those of each stretch begin; which stretches each text has. Few texts at a time are cut.
+
+    N-grams are written to one array, whose unused end takes no memory, since the driver would hold a list of parts and its whole at once.
+    """
+    column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
+    most = (pc.sum(pc.binary_length(column)).as_py() or 0) + 2 * len(column) + 1  # more than the places at which n-grams of one size can begin
+    ids, n, sizes, counts = np.empty(most * len(settings.sizes), np.int32), 0, [], []
+    for i in range(0, len(column), 32):
+        part = column.slice(i, 32)
+        own, stretch, rows = features(part, settings)
+        ids[n:n + len(own)] = own
+        n += len(own)
         sizes.append(np.bincount(stretch, minlength=len(rows)))
         counts.append(np.bincount(rows, minlength=len(part)))
     starts = [np.concatenate(([0], np.cumsum(np.concatenate(x)))).astype(np.int64) for x in (sizes, counts)]
-    return np.concatenate(ids), *starts
+    return ids[:n], *starts
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, settings: Settings) -> Model:
+def fit(texts: list[str] | pa.Array | pa.ChunkedArray, labels: np.ndarray, prior: float, settings: Settings) -> Model:
     """Train on texts in memory. ``prior``: share of the toxic class where the model is to be used.
 
     Each step takes some texts, finds the stretch of each that now looks most toxic, and moves the embeddings of
@@ -199,7 +206,7 @@ def train(documents: DataFrame, labels: DataFrame, allowed: Column, settings: Se
     rows = (documents.select("doc_id", "text").where(F.length("text").between(1, settings.longest))
             .join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(3 * settings.rows_per_class)
             .select("text", "toxic").toArrow())
-    return fit(rows.column("text").to_pylist(), np.array(rows.column("toxic").to_pylist(), np.int64), prior, settings)
+    return fit(rows.column("text"), np.array(rows.column("toxic").to_pylist(), np.int64), prior, settings)
 
 
 def score_column(documents: DataFrame, model: Model, extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
