@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 
 from .arrow_text import ALNUM, LOWER, as_bytes, sliced, slices
 
+#: Bytes of texts that a task scores together; arrays of their n-grams take some hundred times as much.
+AT_ONCE = 250_000
+
 
 @dataclass
 class Settings:
@@ -216,7 +219,7 @@ def score_column(documents: DataFrame, model: Model, extra: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, 1_000_000):
+        for batch in slices(batches, AT_ONCE):
             yield pa.RecordBatch.from_arrays([*[batch.column(f"_{i}") for i in range(len(extra))], pa.array(model.score(batch.column("text")))], [*extra, "score"])
 
     kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(extra)]
@@ -245,7 +248,7 @@ def remove_toxic(documents: DataFrame, labels: DataFrame, settings: Settings | N
     text = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, f"c{text}", 1_000_000):
+        for batch in sliced(batches, f"c{text}", AT_ONCE):
             yield batch.filter(pa.array(shared.value.score(batch.column(f"c{text}")) < 0.5))
 
     by_place = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
