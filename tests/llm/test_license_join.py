@@ -47,3 +47,9 @@ def test_phrases_may_overlap(spark):
     phrases = [("apache license", "p"), ("license version", "q"), ("license", "r"), ("a a", "s")]
     got = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.license_table(docs, phrases, []).collect()}
     assert got == {1: (5, 1, 6, "p,q,r,s"), 2: (0, None, None, "")}
+
+
+def test_templates_may_share_a_name(spark):
+    docs = spark.createDataFrame([(1, "free to use by all"), (2, "no right is kept"), (3, "other")], "doc_id long, text string")
+    templates = [("my own", "Free to use by all"), ("my own", "No right is kept")]
+    assert {r.doc_id: (r.labels, r.score) for r in licenses.license_table(docs, templates=templates).collect()} == {1: ("my own", 1.0), 2: ("my own", 1.0), 3: ("", 0.0)}
